@@ -7,6 +7,8 @@ from typing import TYPE_CHECKING, NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from geoquarry.functions.bindings import as_column, let, record
+
 if TYPE_CHECKING:
     from collections.abc import Callable
 
@@ -53,34 +55,17 @@ class UrlParts(NamedTuple):
         return F.concat(self.path, _prefixed("?", self.query), _prefixed("#", self.fragment))
 
 
-def as_column(value: Column | str | None) -> Column:
-    """Return a column for a column or a literal text."""
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 def _prefixed(mark: str, text: Column) -> Column:
     return F.when(text != "", F.concat(F.lit(mark), text)).otherwise(F.lit(""))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and pass it to ``body``.
-
-    Long URL rules name the same piece many times. Without the binding every
-    mention would copy the whole expression below it into the plan.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def with_parts(url: Column, body: Callable[[UrlParts], Column]) -> Column:
     """Split a URL once and build an expression from its parts."""
 
     def split(text: Column) -> Column:
         pieces = [F.regexp_extract(text, _URL, index) for index in range(1, 6)]
         names = UrlParts._fields
-        parts = F.struct(
-            F.lower(pieces[0]).alias(names[0]),
-            *(piece.alias(name) for piece, name in zip(pieces[1:], names[1:], strict=True)),
-        )
+        parts = record(**dict(zip(names, [F.lower(pieces[0]), *pieces[1:]], strict=True)))
         return let(parts, lambda found: body(UrlParts(*(found[name] for name in names))))
 
     return let(url, split)
@@ -113,7 +98,7 @@ def _fold_dots(segments: Column) -> Column:
 def join_url(href: Column, base: Column) -> Column:
     """Resolve ``href`` against ``base`` (RFC 3986, section 5.2)."""
     return let(
-        F.struct(href.alias("href"), base.alias("base")),
+        record(href=href, base=base),
         lambda pair: F.when(F.coalesce(pair["base"], F.lit("")) == "", pair["href"])
         .when(pair["href"] == "", pair["base"])
         .when(pair["href"].rlike(r"^(?i:https?)://[^?#]+$"), pair["href"])
@@ -172,9 +157,9 @@ def catalog_href(href: Column) -> Column:
 
     def rest(url: Column, parts: UrlParts) -> Column:
         return let(
-            F.struct(
-                F.regexp_extract(parts.host, S3_WEBSITE, 1).alias("bucket"),
-                F.regexp_extract(parts.host, S3_WEBSITE, 2).alias("region"),
+            record(
+                bucket=F.regexp_extract(parts.host, S3_WEBSITE, 1),
+                region=F.regexp_extract(parts.host, S3_WEBSITE, 2),
             ),
             lambda site: F.when(site["bucket"] == "", url)
             .when(
@@ -234,14 +219,14 @@ def asset_href(
         azure = let(
             F.when(
                 parts.host.endswith(DFS_SUFFIX),
-                F.struct(
-                    percent_decode(parts.user).alias("container"),
-                    F.regexp_replace(parts.host, r"\.dfs\.core\.windows\.net$", "").alias("account"),
+                record(
+                    container=percent_decode(parts.user),
+                    account=F.regexp_replace(parts.host, r"\.dfs\.core\.windows\.net$", ""),
                 ),
             ).otherwise(
-                F.struct(
-                    parts.host.alias("container"),
-                    F.coalesce(as_column(account).cast("string"), F.lit("")).alias("account"),
+                record(
+                    container=parts.host,
+                    account=F.coalesce(as_column(account).cast("string"), F.lit("")),
                 )
             ),
             lambda place: F.when(
