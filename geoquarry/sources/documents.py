@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions import extents, urls, variants
 from geoquarry.functions.assets import asset_format, is_data, is_tabular
-from geoquarry.functions.bindings import let
+from geoquarry.functions.bindings import let, record
 
 # The document types of the STAC specification.
 KINDS = {"Catalog": "catalog", "Collection": "collection", "Feature": "item"}
@@ -177,94 +177,116 @@ def assets_of(documents: DataFrame) -> DataFrame:
     Columns: ``url, pos, key, href, title, type, roles, size, checksum,
     format, tabular, glob, read_url``. ``read_url`` is what a scan reads: the
     href, or the bucket form of the glob, NULL when only HTTPS serves it.
+
+    The list is built inside the row of its document and exploded last, so
+    the rule that looks at all assets of a document needs no join.
     """
-    read = documents.where("error is null")
     raw = F.col("raw")
     shared = F.coalesce(
         _unless_null(variants.member(raw, "table:columns")),
         variants.member(raw, "properties", "table:columns"),
     )
-    exploded = read.select(
+    prepared = documents.where("error is null").select(
         "url",
         "base",
         variants.text_at(raw, "properties", "table:storage_options", "account_name").alias("account"),
         shared.alias("shared"),
+        is_tabular(variants.member(raw, "table:columns")).alias("shared_tabular"),
         _partition_glob(raw, F.col("base")).alias("shared_glob"),
-        F.posexplode(variants.ordered_object(F.col("body"), "$.assets")).alias("pos", "key", "asset"),
-    )
-    asset = F.col("asset")
-    resolved = exploded.withColumn("target", variants.text_at(asset, "href")).where(
-        "target is not null"
+        F.map_entries(variants.ordered_object(F.col("body"), "$.assets")).alias("entries"),
     )
-    account = F.coalesce(
-        variants.text_at(asset, "table:storage_options", "account_name"), F.col("account")
+    built = F.transform(
+        F.coalesce(F.col("entries"), F.array().cast("array<struct<key:string,value:variant>>")),
+        lambda entry, place: _asset(entry["key"], entry["value"], place),
     )
-    own_columns = variants.member(asset, "table:columns")
-    shaped = resolved.select(
+    listed = prepared.select("url", "shared_glob", "shared_tabular", built.alias("built")).select(
         "url",
-        "pos",
-        "key",
-        urls.asset_href(F.col("target"), F.col("base"), account).alias("href"),
-        variants.text_at(asset, "title").alias("title"),
-        variants.text_at(asset, "type").alias("type"),
-        F.coalesce(
-            variants.texts_of(variants.list_at(asset, "roles")), F.array().cast("array<string>")
-        ).alias("roles"),
-        variants.integer_at(asset, "file:size").alias("size"),
-        variants.text_at(asset, "file:checksum").alias("checksum"),
-        F.coalesce(own_columns, F.col("shared")).alias("columns"),
-        _partition_glob(asset, F.col("base")).alias("own_glob"),
         "shared_glob",
+        "shared_tabular",
+        F.filter("built", lambda asset: asset.isNotNull()).alias("own"),
+    )
+    holds_parquet = F.exists(
+        F.col("own"),
+        lambda asset: F.coalesce(asset["format"] == "parquet", F.lit(False))
+        & is_data(asset["roles"], asset["type"]),
     )
-    formatted = shaped.select(
-        "*",
-        asset_format(F.col("href"), F.col("type")).alias("format"),
-        F.coalesce("own_glob", F.when(urls.is_glob(F.col("href")), F.col("href"))).alias("glob"),
+    stand_in = F.array(_partition_asset())
+    every = F.when(
+        F.col("shared_glob").isNotNull() & ~holds_parquet, F.concat(F.col("own"), stand_in)
+    ).otherwise(F.col("own"))
+    return listed.select("url", F.explode(every).alias("asset")).select("url", "asset.*")
+
+
+def _asset(key: Column, value: Column, place: Column) -> Column:
+    """Return one asset as a struct; its href is NULL when it is not well formed."""
+    account = F.coalesce(
+        variants.text_at(value, "table:storage_options", "account_name"), F.col("account")
     )
-    listed = formatted.withColumn(
-        "glob",
-        F.when(
-            F.col("glob").isNotNull() & F.col("shared_glob").isNotNull()
-            & urls.bucket_url(F.col("glob")).isNull(),
-            F.col("shared_glob"),
-        ).otherwise(F.col("glob")),
+    target = let(
+        variants.text_at(value, "href"),
+        lambda href: F.when(href.isNotNull(), urls.asset_href(href, F.col("base"), account)),
     )
-    names = [
-        "url", "pos", "key", "href", "title", "type", "roles", "size", "checksum", "format",
-        "tabular", "glob",
-    ]
-    declared = listed.withColumn(
-        "tabular", (F.coalesce(F.col("format") == "parquet", F.lit(False))) & is_tabular(F.col("columns"))
-    ).select(*names)
-    read_url = F.when(F.col("glob").isNull(), F.col("href")).otherwise(urls.bucket_url(F.col("glob")))
-    return declared.unionByName(_partition_assets(read, declared)).withColumn("read_url", read_url)
+    columns = F.coalesce(variants.member(value, "table:columns"), F.col("shared"))
+    none = F.array().cast("array<string>")
+
+    def shaped(href: Column) -> Column:
+        media = variants.text_at(value, "type")
+        own_glob = F.coalesce(
+            _partition_glob(value, F.col("base")), F.when(urls.is_glob(href), href)
+        )
+
+        def with_read_url(glob: Column) -> Column:
+            shared = F.col("shared_glob")
+            unlisted = glob.isNotNull() & shared.isNotNull() & urls.bucket_url(glob).isNull()
+            return let(
+                F.when(unlisted, shared).otherwise(glob),
+                lambda chosen: record(
+                    glob=chosen, read_url=F.when(chosen.isNull(), href).otherwise(urls.bucket_url(chosen))
+                ),
+            )
+
+        return let(
+            record(
+                format=asset_format(href, media), type=media, place=let(own_glob, with_read_url)
+            ),
+            lambda found: record(
+                pos=place,
+                key=key,
+                href=href,
+                title=variants.text_at(value, "title"),
+                type=found["type"],
+                roles=F.coalesce(variants.texts_of(variants.list_at(value, "roles")), none),
+                size=variants.integer_at(value, "file:size"),
+                checksum=variants.text_at(value, "file:checksum"),
+                format=found["format"],
+                tabular=F.coalesce(found["format"] == "parquet", F.lit(False)) & is_tabular(columns),
+                glob=found["place"]["glob"],
+                read_url=found["place"]["read_url"],
+            ),
+        )
+
+    return let(target, lambda href: F.when(href.isNotNull(), shaped(href)))
 
 
 def _unless_null(value: Column) -> Column:
     return F.when(variants.kind_of(value) != "VOID", value)
 
 
-def _partition_assets(documents: DataFrame, declared: DataFrame) -> DataFrame:
-    """Return one asset per document whose glob stands in for missing Parquet data."""
-    globbed = documents.select(
-        "url",
-        _partition_glob(F.col("raw"), F.col("base")).alias("glob"),
-        is_tabular(variants.member(F.col("raw"), "table:columns")).alias("tabular"),
-    ).where("glob is not null")
-    parquet = declared.where((F.col("format") == "parquet") & is_data(F.col("roles"), F.col("type")))
-    missing = globbed.join(parquet.select("url"), "url", "left_anti")
+def _partition_asset() -> Column:
+    """Return the asset that reads a document's own glob when it has no Parquet data."""
     none = F.lit(None)
-    return missing.select(
-        "url",
-        F.lit(LAST_POSITION).alias("pos"),
-        F.lit("partition:glob").alias("key"),
-        F.col("glob").alias("href"),
-        F.lit("All partitions").alias("title"),
-        F.lit(PARQUET_MEDIA).alias("type"),
-        F.array(F.lit("data")).alias("roles"),
-        none.cast("bigint").alias("size"),
-        none.cast("string").alias("checksum"),
-        F.lit("parquet").alias("format"),
-        "tabular",
-        "glob",
+    glob = F.col("shared_glob")
+    return record(
+        pos=F.lit(LAST_POSITION),
+        key=F.lit("partition:glob"),
+        href=glob,
+        title=F.lit("All partitions"),
+        type=F.lit(PARQUET_MEDIA),
+        roles=F.array(F.lit("data")),
+        size=none.cast("bigint"),
+        checksum=none.cast("string"),
+        format=F.lit("parquet"),
+        tabular=F.col("shared_tabular"),
+        glob=glob,
+        read_url=urls.bucket_url(glob),
     )
