@@ -194,15 +194,14 @@ def assets_of(documents: DataFrame) -> DataFrame:
         is_tabular(variants.member(raw, "table:columns")).alias("shared_tabular"),
         _partition_glob(raw, F.col("base")).alias("shared_glob"),
         F.map_entries(variants.ordered_object(F.col("body"), "$.assets")).alias("entries"),
-    )
+    ).withColumn("shared_url", urls.bucket_url(F.col("shared_glob")))
     built = F.transform(
         F.coalesce(F.col("entries"), F.array().cast("array<struct<key:string,value:variant>>")),
         lambda entry, place: _asset(entry["key"], entry["value"], place),
     )
-    listed = prepared.select("url", "shared_glob", "shared_tabular", built.alias("built")).select(
-        "url",
-        "shared_glob",
-        "shared_tabular",
+    context = ["url", "shared_glob", "shared_url", "shared_tabular"]
+    listed = prepared.select(*context, built.alias("built")).select(
+        *context,
         F.filter("built", lambda asset: asset.isNotNull()).alias("own"),
     )
     holds_parquet = F.exists(
@@ -217,40 +216,46 @@ def assets_of(documents: DataFrame) -> DataFrame:
     return listed.select("url", F.explode(every).alias("asset")).select("url", "asset.*")
 
 
-def _asset(key: Column, value: Column, place: Column) -> Column:
+def _asset(key: Column, value: Column, place_number: Column) -> Column:
     """Return one asset as a struct; its href is NULL when it is not well formed."""
     account = F.coalesce(
         variants.text_at(value, "table:storage_options", "account_name"), F.col("account")
     )
-    target = let(
-        variants.text_at(value, "href"),
-        lambda href: F.when(href.isNotNull(), urls.asset_href(href, F.col("base"), account)),
+    # Both addresses of an asset resolve in one pass: its href, and the glob of its partitions.
+    addresses = F.transform(
+        F.array(
+            record(text=variants.text_at(value, "href"), account=account),
+            record(
+                text=variants.filled_text_at(value, "partition:glob"),
+                account=F.lit(None).cast("string"),
+            ),
+        ),
+        lambda item: F.when(
+            item["text"].isNotNull(), urls.asset_href(item["text"], F.col("base"), item["account"])
+        ),
     )
     columns = F.coalesce(variants.member(value, "table:columns"), F.col("shared"))
     none = F.array().cast("array<string>")
 
-    def shaped(href: Column) -> Column:
-        media = variants.text_at(value, "type")
-        own_glob = F.coalesce(
-            _partition_glob(value, F.col("base")), F.when(urls.is_glob(href), href)
+    def place_of(found: Column) -> Column:
+        """Return glob and read URL; a glob nobody can list gives way to the document's own."""
+        href = found["href"]
+        unlisted = found["glob"].isNotNull() & found["url"].isNull() & F.col("shared_glob").isNotNull()
+        return (
+            F.when(unlisted, record(glob=F.col("shared_glob"), read_url=F.col("shared_url")))
+            .when(found["glob"].isNull(), record(glob=found["glob"], read_url=href))
+            .otherwise(record(glob=found["glob"], read_url=found["url"]))
         )
 
-        def with_read_url(glob: Column) -> Column:
-            shared = F.col("shared_glob")
-            unlisted = glob.isNotNull() & shared.isNotNull() & urls.bucket_url(glob).isNull()
-            return let(
-                F.when(unlisted, shared).otherwise(glob),
-                lambda chosen: record(
-                    glob=chosen, read_url=F.when(chosen.isNull(), href).otherwise(urls.bucket_url(chosen))
-                ),
-            )
-
-        return let(
-            record(
-                format=asset_format(href, media), type=media, place=let(own_glob, with_read_url)
-            ),
+    def shaped(resolved: Column) -> Column:
+        href = F.get(resolved, F.lit(0))
+        glob = F.coalesce(F.get(resolved, F.lit(1)), F.when(urls.is_glob(href), href))
+        place = let(glob, lambda text: record(href=href, glob=text, url=urls.bucket_url(text)))
+        media = variants.text_at(value, "type")
+        made = let(
+            record(format=asset_format(href, media), type=media, place=let(place, place_of)),
             lambda found: record(
-                pos=place,
+                pos=place_number,
                 key=key,
                 href=href,
                 title=variants.text_at(value, "title"),
@@ -264,8 +269,9 @@ def _asset(key: Column, value: Column, place: Column) -> Column:
                 read_url=found["place"]["read_url"],
             ),
         )
+        return F.when(href.isNotNull(), made)
 
-    return let(target, lambda href: F.when(href.isNotNull(), shaped(href)))
+    return let(addresses, shaped)
 
 
 def _unless_null(value: Column) -> Column:
@@ -288,5 +294,5 @@ def _partition_asset() -> Column:
         format=F.lit("parquet"),
         tabular=F.col("shared_tabular"),
         glob=glob,
-        read_url=urls.bucket_url(glob),
+        read_url=F.col("shared_url"),
     )
