@@ -441,3 +441,18 @@ def target_path(folder: str, path: Column) -> Column:
     )
     inside = ~path.startswith("/") & (depth >= 0)
     return F.when(inside, F.concat(F.lit(folder.rstrip("/") + "/"), tidy))
+
+
+def url_parts_of(url: Column) -> Column:
+    """Return a struct of ``scheme, netloc, host, path, query, fragment``."""
+    return with_parts(
+        url,
+        lambda parts: record(
+            scheme=parts.scheme,
+            netloc=parts.netloc,
+            host=parts.host,
+            path=parts.path,
+            query=parts.query,
+            fragment=parts.fragment,
+        ),
+    )

@@ -25,48 +25,67 @@ def first_by(
     return grouped.select(*keys, *(F.col("_first")[name].alias(name) for name in keep))
 
 
-def numbered(
+def running_sums(
     rows: DataFrame,
     keys: Sequence[str],
     position: str,
+    values: dict[str, Column],
     *,
-    alias: str = "number",
     bits: int = 32,
 ) -> DataFrame:
-    """Number the rows of each group from 1 in the order of an integer position.
+    """Add running sums of values in each group, in the order of an integer position.
 
     ``position`` is not negative, below ``2 ** bits`` and unique in its group.
-    The group is cut into chunks of ``2 ** CHUNK_BITS`` positions: rows are
-    numbered inside a chunk and shifted by the sizes of the chunks before it.
-    No task ever holds more than one chunk of one group.
+    The group is cut into chunks of ``2 ** CHUNK_BITS`` positions: sums run
+    inside a chunk and are shifted by the totals of the chunks before it. No
+    task ever holds more than one chunk of one group.
     """
-    chunked = rows.withColumn("_chunk", F.shiftright(F.col(position).cast("bigint"), CHUNK_BITS))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(position)
-    local = chunked.withColumn("_local", F.row_number().over(inside))
-    sizes = chunked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
-    shifts = _shifts(sizes, list(keys), bits - CHUNK_BITS)
-    names = [*keys, "_chunk"]
-    shifts = shifts.select(*(F.col(name).alias(f"_r{index}") for index, name in enumerate(names)), "_shift")
+    names = list(values)
+    chunked = rows.select(
+        "*",
+        F.shiftright(F.col(position).cast("bigint"), CHUNK_BITS).alias("_chunk"),
+        *(value.cast("bigint").alias(f"_value_{name}") for name, value in values.items()),
+    )
+    inside = (
+        Window.partitionBy(*keys, "_chunk")
+        .orderBy(position)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = chunked.select("*", *(F.sum(f"_value_{name}").over(inside).alias(f"_local_{name}") for name in names))
+    totals = chunked.groupBy(*keys, "_chunk").agg(*(F.sum(f"_value_{name}").alias(name) for name in names))
+    shifts = _shifts(totals, list(keys), names, bits - CHUNK_BITS)
+    places = [*keys, "_chunk"]
+    shifts = shifts.select(*(F.col(place).alias(f"_r{index}") for index, place in enumerate(places)), *names)
     same = F.lit(True)
-    for index, name in enumerate(names):
-        same = same & F.col(name).eqNullSafe(F.col(f"_r{index}"))
+    for index, place in enumerate(places):
+        same = same & local[place].eqNullSafe(shifts[f"_r{index}"])
     joined = local.join(shifts, same, "left")
-    return joined.select(*rows.columns, (F.col("_local") + F.col("_shift")).cast("bigint").alias(alias))
+    return joined.select(
+        *(local[name] for name in rows.columns),
+        *((local[f"_local_{name}"] + shifts[name]).alias(name) for name in names),
+    )
+
+
+def _shifts(totals: DataFrame, keys: list[str], names: list[str], bits: int) -> DataFrame:
+    """Turn the total of each chunk into the sum of the chunks before it in its group."""
 
+    def before(sums: DataFrame, groups: list[str], prefix: str) -> list[Column]:
+        window = Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(name).over(window), F.lit(0)).alias(prefix + name) for name in names]
 
-def _shifts(sizes: DataFrame, keys: list[str], bits: int) -> DataFrame:
-    """Return how many rows of the group come before each chunk, as ``_shift``."""
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     if bits <= CHUNK_BITS:
-        in_group = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        return sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(in_group if keys else before), F.lit(0)))
-    upper = sizes.withColumn("_upper", F.shiftright("_chunk", CHUNK_BITS))
-    in_upper = (
-        Window.partitionBy(*keys, "_upper").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inner = upper.withColumn("_inner", F.coalesce(F.sum("_size").over(in_upper), F.lit(0)))
-    coarse = upper.groupBy(*keys, F.col("_upper").alias("_chunk")).agg(F.sum("_size").alias("_size"))
-    outer = _shifts(coarse, keys, bits - CHUNK_BITS).withColumnRenamed("_chunk", "_upper")
-    return inner.join(outer.drop("_size"), [*keys, "_upper"], "left").select(
-        *keys, "_chunk", "_size", (F.col("_inner") + F.col("_shift")).alias("_shift")
+        return totals.select(*keys, "_chunk", *before(totals, keys, ""))
+    upper = totals.withColumn("_upper", F.shiftright("_chunk", CHUNK_BITS))
+    inner = upper.select(*keys, "_upper", "_chunk", *before(upper, [*keys, "_upper"], "_in_"))
+    coarse = upper.groupBy(*keys, F.col("_upper").alias("_chunk")).agg(*(F.sum(name).alias(name) for name in names))
+    outer = _shifts(coarse, keys, names, bits - CHUNK_BITS).withColumnRenamed("_chunk", "_upper")
+    return inner.join(outer, [*keys, "_upper"], "left").select(
+        *keys, "_chunk", *((F.col("_in_" + name) + F.col(name)).alias(name) for name in names)
     )
+
+
+def numbered(
+    rows: DataFrame, keys: Sequence[str], position: str, *, alias: str = "number", bits: int = 32
+) -> DataFrame:
+    """Number the rows of each group from 1 in the order of an integer position."""
+    return running_sums(rows, keys, position, {alias: F.lit(1)}, bits=bits)

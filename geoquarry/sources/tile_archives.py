@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoquarry.operators.ranking import running_sums
+
 # The layout of the archive header, version 3.
 HEADER_LENGTH = 127
 MAGIC = b"PMTiles"
@@ -198,19 +200,22 @@ def read_entries(archives: DataFrame) -> DataFrame:
 def running_offsets(rows: DataFrame) -> DataFrame:
     """Decode directory columns that are still deltas, given as rows.
 
-    ``rows`` holds ``(archive, directory, pos, id_delta, run_length, mark, length)``. One directory
-    is one window group; the format bounds its size by the header of the archive.
+    ``rows`` holds ``(archive, directory, pos, id_delta, run_length, mark, length)``.
+    Ids are running sums. A mark of 0 behind the first row continues where the
+    entry before it ends: the entries since the last mark form one stretch,
+    and their lengths add up from its start.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("archive", "directory").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.select(
-        "*",
-        F.sum("id_delta").over(upto).alias("tile_id"),
-        (F.sum("length").over(upto) - F.col("length")).alias("_before"),
+    keys = ["archive", "directory"]
+    marked = (F.col("mark") > 0) | (F.col("pos") == 0)
+    summed = running_sums(
+        rows,
+        keys,
+        "pos",
+        {"tile_id": F.col("id_delta"), "_upto": F.col("length"), "_stretch": F.when(marked, 1).otherwise(0)},
+    ).withColumn("_before", F.col("_upto") - F.col("length"))
+    starts = summed.where(marked).select(
+        *keys, "_stretch", (F.col("mark") - 1 - F.col("_before")).alias("_start")
+    )
+    return summed.join(starts, [*keys, "_stretch"]).select(
+        *keys, "pos", "tile_id", "run_length", (F.col("_start") + F.col("_before")).alias("offset"), "length"
     )
-    anchored = F.when((F.col("mark") > 0) | (F.col("pos") == 0), F.struct((F.col("mark") - 1).alias("start"), F.col("_before").alias("before")))
-    found = summed.withColumn("_anchor", F.last(anchored, ignorenulls=True).over(upto))
-    offset = F.col("_anchor.start") + F.col("_before") - F.col("_anchor.before")
-    return found.select("archive", "directory", "pos", "tile_id", "run_length", offset.alias("offset"), "length")
