@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +62,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def local_cores() -> int:
     """Return how many cores a local session should use."""
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's code to the executors, once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="geoquarry-code-")
+    archive = os.path.join(folder, "geoquarry_code.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for package in ("geoquarry", "workload"):
+            for place, _folders, names in os.walk(os.path.join(root, package)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(place, name)
+                        packed.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
