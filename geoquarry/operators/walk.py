@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from geoquarry.operators.ranking import first_by
+from geoquarry.operators.ranking import first_by, numbered
 from geoquarry.session import ensure_checkpoints
 
 VISITED = "href string, depth int, place bigint, kind string, error string"
@@ -91,14 +90,25 @@ def walk(
 
 
 def _within_budget(frontier: DataFrame, levels: list[DataFrame], budget: int) -> DataFrame:
-    """Keep what each root may still read, in queue order."""
-    from geoquarry.operators.ranking import numbered
+    """Keep what each root may still read, in queue order.
 
+    Roots are numbered only when one of them has more children than reads
+    left, which happens once per root.
+    """
     if not levels:
         return frontier
+    frontier = frontier.checkpoint(eager=True)
     used = reduce(DataFrame.unionByName, levels).groupBy("root").agg(F.count("*").alias("used"))
-    ranked = numbered(frontier.checkpoint(eager=True), ["root"], "place", alias="turn", bits=64)
-    return ranked.join(used, "root", "left").where(F.col("turn") <= budget - F.coalesce("used", F.lit(0))).select("root", "href", "place")
+    waiting = frontier.groupBy("root").agg(F.count("*").alias("waiting"))
+    left = waiting.join(used, "root", "left").select(
+        "root", (budget - F.coalesce("used", F.lit(0))).alias("left"), "waiting"
+    )
+    short = left.where(F.col("waiting") > F.col("left")).select("root", "left")
+    if not short.limit(1).count():
+        return frontier
+    ranked = numbered(frontier.join(short, "root"), ["root"], "place", alias="turn", bits=64)
+    cut = ranked.where(F.col("turn") <= F.col("left")).select("root", "href", "place")
+    return frontier.join(short, "root", "left_anti").unionByName(cut)
 
 
 def _first_items(edges: DataFrame) -> DataFrame:
@@ -121,13 +131,3 @@ def failures(visited: DataFrame) -> DataFrame:
 def redirected(documents: DataFrame) -> DataFrame:
     """Return the documents that came from another URL than the one asked for."""
     return documents.where("error is null and base <> url").select("url", "base")
-
-
-def kept_in_memory(frame: DataFrame) -> DataFrame:
-    """Persist rows that several steps read, spilling to disk."""
-    return frame.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def session_of(frame: DataFrame) -> SparkSession:
-    """Return the session of a DataFrame."""
-    return frame.sparkSession

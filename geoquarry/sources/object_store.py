@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 from typing import Any
@@ -41,6 +42,8 @@ def open_input(path: str) -> Any:
     import pyarrow.fs as fs
 
     if path.startswith(("file:", "/")):
-        return fs.LocalFileSystem().open_input_file(unquote(urlsplit(path).path))
+        # Listings give the plain name, file metadata the percent-encoded one.
+        plain = re.sub(r"^file:(//(?=/))?", "", path)
+        return fs.LocalFileSystem().open_input_file(plain if os.path.exists(plain) else unquote(plain))
     store, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
     return store.open_input_file(inner)

@@ -169,16 +169,16 @@ RINGS = (
 )
 AREA = "POLYGON(" + ", ".join("(" + ", ".join(f"{x} {y}" for x, y in ring) + ")" for ring in RINGS) + ")"
 AREA_BOX = (-60.0, -45.0, 80.0, 60.0)
-EDGES_SQL = "edges(ax, ay, bx, by) AS (VALUES " + ", ".join(
+EDGES_SQL = "edges(ax, ay, bx, bt) AS (VALUES " + ", ".join(
     f"({a[0]!r}::DOUBLE, {a[1]!r}::DOUBLE, {b[0]!r}::DOUBLE, {b[1]!r}::DOUBLE)"
     for ring in RINGS
     for a, b in zip(ring, ring[1:], strict=False)
 ) + ")"
 # Even-odd count over the edges, or a point on an edge.
 IN_AREA_SQL = """EXISTS (SELECT 1 FROM (
-  SELECT sum(CASE WHEN (ay <= y AND y < by AND (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0)
-                    OR (by <= y AND y < ay AND (bx - ax) * (y - ay) - (by - ay) * (x - ax) < 0)
+  SELECT sum(CASE WHEN (ay <= y AND y < bt AND (bx - ax) * (y - ay) - (bt - ay) * (x - ax) > 0)
+                    OR (bt <= y AND y < ay AND (bx - ax) * (y - ay) - (bt - ay) * (x - ax) < 0)
                   THEN 1 ELSE 0 END) AS odd,
-         bool_or((bx - ax) * (y - ay) - (by - ay) * (x - ax) = 0 AND least(ax, bx) <= x AND x <= greatest(ax, bx)
-                 AND least(ay, by) <= y AND y <= greatest(ay, by)) AS edge
+         bool_or((bx - ax) * (y - ay) - (bt - ay) * (x - ax) = 0 AND least(ax, bx) <= x AND x <= greatest(ax, bx)
+                 AND least(ay, bt) <= y AND y <= greatest(ay, bt)) AS edge
   FROM edges) t WHERE odd % 2 = 1 OR edge)"""

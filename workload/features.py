@@ -294,7 +294,7 @@ def p08_preview_shows_types(spark, folder):
 
 @query("p09_custom_select", f"WITH {PLACES_SQL} SELECT o_orderpriority AS priority, o_orderkey * 2 AS twice FROM places WHERE o_totalprice < 50000.0")
 def p09_custom_select(spark, folder):
-    own = places(spark, folder).within(CLIP).sql("SELECT geometry, o_orderpriority AS priority, o_orderkey * 2 AS twice FROM features WHERE o_totalprice < 50000.0;", view="features_p09")
+    own = places(spark, folder).within(CLIP).sql("SELECT geometry, o_orderpriority AS priority, o_orderkey * 2 AS twice FROM features_p09 WHERE o_totalprice < 50000.0;", view="features_p09")
     return own.rows().drop("geometry")
 
 
@@ -439,7 +439,7 @@ def k01_write_features(spark, folder):
     typed = replace(data, plan=replace(data.plan, geometry_type="MultiPoint"))
     written = typed.write(path, confirmed=True)
     return spark.read.parquet(path).agg(F.min("bbox.xmin").alias("west")).select(
-        F.lit(written.features).alias("features"), F.lit(written.refused).alias("refused"), "west")
+        F.lit(written.features).cast("bigint").alias("features"), F.lit(written.refused).cast("bigint").alias("refused"), "west")
 
 
 @query("k02_write_table", "SELECT p_brand, count(*) AS parts, min(p_retailprice) AS cheapest FROM part WHERE p_size > 10 GROUP BY 1")
@@ -459,7 +459,8 @@ def k03_clipped_copies(spark, folder):
     return spark.read.parquet(target).groupBy("asset").agg(F.count("*").alias("features"))
 
 
-CHECKS_SQL = "checks AS (SELECT 'catalog-' || l_suppkey AS catalog, l_orderkey || '/' || l_linenumber AS document, l_returnflag AS check, l_linestatus = 'O' AS ok FROM lineitem)"
+CHECKS_SQL = """checks AS (SELECT 'catalog-' || l_suppkey AS catalog, l_orderkey || '/' || l_linenumber AS document,
+  l_returnflag AS "check", l_linestatus = 'O' AS ok FROM lineitem)"""
 
 
 def check_rows(spark, folder) -> DataFrame:
@@ -470,7 +471,7 @@ def check_rows(spark, folder) -> DataFrame:
 
 
 @query("k04_write_report", f"""WITH {CHECKS_SQL}
-SELECT CAST((SELECT count(*) FROM checks WHERE NOT ok) + (SELECT count(DISTINCT check) FROM checks WHERE NOT ok) + 7 AS BIGINT) AS lines,
+SELECT CAST((SELECT count(*) FROM checks WHERE NOT ok) + (SELECT count(DISTINCT "check") FROM checks WHERE NOT ok) + 7 AS BIGINT) AS lines,
   CAST(count(*) FILTER (WHERE NOT ok) > 0 AS BIGINT) AS status, count(*) AS checks FROM checks""")
 def k04_write_report(spark, folder):
     path = scratch_path(spark, "report")
