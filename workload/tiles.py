@@ -130,7 +130,7 @@ def write_archives(spark, folder) -> DataFrame:
     return spark.read.parquet(listed)
 
 
-@query("s12_archive_entries", f"WITH {ENTRY_SQL} SELECT archive, tile_id, CAST(run_length AS BIGINT) AS run_length, entry."offset", length FROM entry")
+@query("s12_archive_entries", f'''WITH {ENTRY_SQL} SELECT archive, tile_id, CAST(run_length AS BIGINT) AS run_length, entry."offset", length FROM entry''')
 def s12_archive_entries(spark, folder):
     entries = tile_archives.read_entries(write_archives(spark, folder))
     number = F.regexp_extract("archive", "/([0-9]+)-[0-9]+\\.pmtiles$", 1).cast("bigint")
