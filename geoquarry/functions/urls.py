@@ -62,13 +62,14 @@ def _prefixed(mark: str, text: Column) -> Column:
 def with_parts(url: Column, body: Callable[[UrlParts], Column]) -> Column:
     """Split a URL once and build an expression from its parts."""
 
-    def split(text: Column) -> Column:
-        pieces = [F.regexp_extract(text, _URL, index) for index in range(1, 6)]
-        names = UrlParts._fields
-        parts = record(**dict(zip(names, [F.lower(pieces[0]), *pieces[1:]], strict=True)))
-        return let(parts, lambda found: body(UrlParts(*(found[name] for name in names))))
+    # One match fills all five groups; a match per part would run the pattern five times.
+    marked = F.regexp_replace(url, _URL, "$1\u0001$2\u0001$3\u0001$4\u0001$5")
 
-    return let(url, split)
+    def named(found: Column) -> Column:
+        pieces = [F.get(found, F.lit(index)) for index in range(5)]
+        return body(UrlParts(F.lower(pieces[0]), *pieces[1:]))
+
+    return let(F.split(marked, "\u0001"), named)
 
 
 def last_segment(path: Column) -> Column:

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoquarry.functions.bindings import let
-
 
 def json_path(*keys: str) -> str:
     """Return the variant path of nested object keys."""
@@ -34,10 +32,8 @@ def kind_of(value: Column) -> Column:
 
 def text_at(value: Column, *keys: str) -> Column:
     """Return a member that is a string, else NULL."""
-    return let(
-        member(value, *keys),
-        lambda found: F.when(kind_of(found) == "STRING", F.try_variant_get(found, "$", "string")),
-    )
+    is_text = kind_of(member(value, *keys)) == "STRING"
+    return F.when(is_text, F.try_variant_get(value, json_path(*keys), "string"))
 
 
 def filled_text_at(value: Column, *keys: str) -> Column:
@@ -47,10 +43,8 @@ def filled_text_at(value: Column, *keys: str) -> Column:
 
 def integer_at(value: Column, *keys: str) -> Column:
     """Return a member that is an integer, else NULL. A bool or 5.0 is no integer."""
-    return let(
-        member(value, *keys),
-        lambda found: F.when(kind_of(found) == "BIGINT", F.try_variant_get(found, "$", "bigint")),
-    )
+    is_integer = kind_of(member(value, *keys)) == "BIGINT"
+    return F.when(is_integer, F.try_variant_get(value, json_path(*keys), "bigint"))
 
 
 def list_at(value: Column, *keys: str) -> Column:

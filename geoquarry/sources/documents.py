@@ -51,7 +51,7 @@ def read_documents(fetched: DataFrame) -> DataFrame:
         "error",
         F.when(F.col("body").isNull(), "The document could not be read")
         .when(raw.isNull(), "The document is not JSON")
-        .when(variants.object_at(raw).isNull(), "The link did not return a STAC document")
+        .when(~F.ltrim("body").startswith("{"), "The link did not return a STAC document")
         .when(
             F.col("kind").isNull(),
             F.concat(

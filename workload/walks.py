@@ -259,17 +259,18 @@ def m03_partition_files(spark, folder):
     return listed.unionByName(unlisted.agg(F.count("*").alias("files")).select(F.lit("unlisted").alias("s"), "files"))
 
 
-MANIFEST_SQL = """man AS (SELECT l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS pos, CASE WHEN l_suppkey % 2 = 0 THEN 'Data/' ELSE 'data/' END || l_partkey AS path, CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS BIGINT) END AS size FROM lineitem),
-one AS (SELECT pos, any_value(path) AS path, any_value(size) AS size FROM man GROUP BY 1)"""
+MANIFEST_SQL = """one AS (SELECT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s, CASE WHEN l_suppkey % 2 = 0 THEN 'Data/' ELSE 'data/' END || l_partkey AS path,
+  CAST(max(CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS size FROM lineitem GROUP BY 1, 2, 3, 4, 5)"""
+PLACE = ["o", "l", "p", "s"]
 
 
 def manifest_rows(spark, folder) -> DataFrame:
     """Return line items as manifest rows: few paths, many claims."""
-    rows = table(spark, folder, "lineitem")
-    pos = F.col("l_orderkey") * 10000000000 + F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_partkey")
-    path = F.concat(F.when(F.col("l_suppkey") % 2 == 0, "Data/").otherwise("data/"), "l_partkey")
-    made = rows.select(pos.alias("pos"), F.concat(F.lit("u"), pos).alias("url"), path.alias("path"), F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("bigint")).alias("size"))
-    return manifest.first_per_url(made, ["pos"])
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("bigint")).alias("size"))
+    once = rows.groupBy(*PLACE).agg(F.max("size").alias("size"))
+    path = F.concat(F.when(F.col("s") % 2 == 0, "Data/").otherwise("data/"), "p")
+    return once.select(*PLACE, F.concat_ws("/", *PLACE).alias("url"), path.alias("path"), "size")
 
 
 @query("w01_first_file_per_url", "SELECT l_partkey AS part, min(CAST(l_orderkey * 100 + l_linenumber AS BIGINT)) AS pos FROM lineitem GROUP BY 1")
@@ -278,16 +279,16 @@ def w01_first_file_per_url(spark, folder):
     return manifest.first_per_url(rows, ["pos"]).select("part", "pos")
 
 
-@query("w02_path_collisions", f"WITH {MANIFEST_SQL} SELECT pos, CAST(row_number() OVER (PARTITION BY lower(path) ORDER BY pos) > 1 AS BIGINT) AS clash FROM one")
+@query("w02_path_collisions", f"WITH {MANIFEST_SQL} SELECT o || '/' || l || '/' || p || '/' || s AS url, CAST(row_number() OVER (PARTITION BY lower(path) ORDER BY o, l, p, s) > 1 AS BIGINT) AS clash FROM one")
 def w02_path_collisions(spark, folder):
-    kept, clashes = manifest.split_collisions(manifest_rows(spark, folder), ["pos"])
-    return kept.select("pos", F.lit(0).cast("bigint").alias("clash")).unionByName(clashes.select("pos", F.lit(1).cast("bigint").alias("clash")))
+    kept, clashes = manifest.split_collisions(manifest_rows(spark, folder), PLACE)
+    return kept.select("url", F.lit(0).cast("bigint").alias("clash")).unionByName(clashes.select("url", F.lit(1).cast("bigint").alias("clash")))
 
 
-@query("j05_manifest_without_clipped", f"WITH {MANIFEST_SQL} SELECT count(*) AS files, CAST(sum(coalesce(size, 0)) AS BIGINT) AS bytes FROM one WHERE pos % 4 <> 0")
+@query("j05_manifest_without_clipped", f"WITH {MANIFEST_SQL} SELECT count(*) AS files, CAST(sum(coalesce(size, 0)) AS BIGINT) AS bytes FROM one WHERE p % 4 <> 0")
 def j05_manifest_without_clipped(spark, folder):
     rows = manifest_rows(spark, folder)
-    left = manifest.without_clipped(rows, rows.where("pos % 4 = 0").select(F.col("url").alias("href")))
+    left = manifest.without_clipped(rows, rows.where("p % 4 = 0").select(F.col("url").alias("href")))
     return left.agg(F.count("*").alias("files"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
 
 
