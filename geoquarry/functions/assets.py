@@ -35,15 +35,30 @@ GEOMETRY_TYPES = (
 )
 
 
+# The file name endings of the patterns above, for the usual href without a query.
+ENDINGS = {
+    "pmtiles": "pmtiles", "geojson": "geojson", "tif": "cog", "tiff": "cog", "parquet": "parquet",
+    "geoparquet": "parquet", "fgb": "flatgeobuf", "copc.las": "copc", "copc.laz": "copc", "csv": "csv",
+}
+_ENDING = r"\.((?:copc\.la[sz])|[a-z]+)$"
+
+
 def asset_format(href: Column, media_type: Column) -> Column:
-    """Return the format of an http(s) href: by media type, then by file name, else NULL."""
+    """Return the format of an http(s) href: by media type, then by file name, else NULL.
+
+    Without a ``?`` only the end of the name can match, so one lookup decides.
+    """
     media = F.lower(F.coalesce(media_type, F.lit("")))
-    named = F.lit(None).cast("string")
+    by_pattern = F.lit(None).cast("string")
     for name, _fragment, pattern in reversed(FORMATS):
-        named = F.when(href.rlike(pattern), F.lit(name)).otherwise(named)
+        by_pattern = F.when(href.rlike(pattern), F.lit(name)).otherwise(by_pattern)
+    known = F.create_map(*(F.lit(part) for pair in ENDINGS.items() for part in pair))
+    by_ending = F.try_element_at(known, F.regexp_extract(F.lower(href), _ENDING, 1))
+    by_media = F.lit(None).cast("string")
     for name, fragment, _pattern in reversed(FORMATS):
-        named = F.when(media.contains(fragment), F.lit(name)).otherwise(named)
-    return F.when(is_http_url(href), named)
+        by_media = F.when(media.contains(fragment), F.lit(name)).otherwise(by_media)
+    by_name = F.when(href.contains("?"), by_pattern).otherwise(by_ending)
+    return F.when(is_http_url(href), F.coalesce(F.when(media != "", by_media), by_name))
 
 
 def is_style(roles: Column, media_type: Column) -> Column:

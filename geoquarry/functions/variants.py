@@ -30,6 +30,16 @@ def kind_of(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def text(value: Column) -> Column:
+    """Return a variant that is a string as text, else NULL."""
+    return F.when(kind_of(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def filled_text(value: Column) -> Column:
+    """Return a variant that is a string with at least one character, else NULL."""
+    return F.nullif(text(value), F.lit(""))
+
+
 def text_at(value: Column, *keys: str) -> Column:
     """Return a member that is a string, else NULL."""
     is_text = kind_of(member(value, *keys)) == "STRING"

@@ -31,26 +31,34 @@ def load_documents(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+# The members a reader looks at. One parse per document finds them all and
+# keeps their JSON types; everything else in the document is skipped.
+MEMBERS = (
+    "type", "id", "title", "description", "license", "bbox", "extent", "properties", "links",
+    "table:columns", "partition:glob",
+)
+RAW_TYPE = "struct<" + ",".join(f"`{name}`:variant" for name in MEMBERS) + ">"
+
+
 def read_documents(fetched: DataFrame) -> DataFrame:
     """Read ``(url, base, body)`` rows into document columns.
 
     ``base`` is the URL after redirects; NULL means the document came from
     ``url`` itself. A row that is no STAC document keeps its URL and gets the
-    reason in ``error``.
+    reason in ``error``; its ``raw`` is NULL.
     """
     parsed = fetched.select(
         "url",
         F.coalesce("base", "url").alias("base"),
         "body",
-        variants.parse_json(F.col("body")).alias("raw"),
+        F.from_json("body", RAW_TYPE).alias("raw"),
     )
     raw = F.col("raw")
-    declared = variants.text_at(raw, "type")
+    declared = variants.text(raw["type"])
     mapping = F.create_map(*(F.lit(part) for pair in KINDS.items() for part in pair))
-    shaped = parsed.withColumn("kind", F.element_at(mapping, declared)).withColumn(
+    shaped = parsed.withColumn("kind", F.try_element_at(mapping, declared)).withColumn(
         "error",
         F.when(F.col("body").isNull(), "The document could not be read")
-        .when(raw.isNull(), "The document is not JSON")
         .when(~F.ltrim("body").startswith("{"), "The link did not return a STAC document")
         .when(
             F.col("kind").isNull(),
@@ -61,9 +69,9 @@ def read_documents(fetched: DataFrame) -> DataFrame:
             ),
         ),
     )
-    own_license = variants.member(raw, "license")
-    identifier = F.coalesce(variants.filled_text_at(raw, "id"), urls.folder_name(F.col("url")))
+    identifier = F.coalesce(variants.filled_text(raw["id"]), urls.folder_name(F.col("url")))
     known = shaped.withColumn("id", F.when(F.col("error").isNull(), identifier))
+    properties = raw["properties"]
     return known.select(
         "url",
         "base",
@@ -71,27 +79,27 @@ def read_documents(fetched: DataFrame) -> DataFrame:
         "id",
         _when_read(
             F.coalesce(
-                variants.filled_text_at(raw, "title"),
-                variants.filled_text_at(raw, "properties", "title"),
+                variants.filled_text(raw["title"]),
+                variants.filled_text_at(properties, "title"),
                 F.col("id"),
             )
         ).alias("title"),
         _when_read(
             F.coalesce(
-                variants.filled_text_at(raw, "description"),
-                variants.filled_text_at(raw, "properties", "description"),
+                variants.filled_text(raw["description"]),
+                variants.filled_text_at(properties, "description"),
                 F.lit(""),
             )
         ).alias("description"),
         _when_read(
-            F.when(own_license.isNotNull(), variants.text_at(raw, "license")).otherwise(
-                variants.text_at(raw, "properties", "license")
+            F.when(raw["license"].isNotNull(), variants.text(raw["license"])).otherwise(
+                variants.text_at(properties, "license")
             )
         ).alias("license"),
-        _when_read(extents.document_box(raw, F.col("kind"))).alias("bbox"),
+        _when_read(extents.document_box(raw["bbox"], raw["extent"], F.col("kind"))).alias("bbox"),
         "error",
         "body",
-        "raw",
+        _when_read(raw).alias("raw"),
     )
 
 
@@ -101,8 +109,10 @@ def _when_read(value: Column) -> Column:
 
 def links_of(documents: DataFrame) -> DataFrame:
     """Return the well-formed links: ``(url, base, pos, rel, href, title, type, raw)``."""
-    exploded = documents.where("error is null").select(
-        "url", "base", F.posexplode(variants.list_at(F.col("raw"), "links")).alias("pos", "link")
+    # An unreadable document has a NULL ``raw`` and so no links. A filter on
+    # its error would be pushed down and parse every document again.
+    exploded = documents.select(
+        "url", "base", F.posexplode(variants.list_at(F.col("raw")["links"])).alias("pos", "link")
     )
     link = F.col("link")
     target = variants.member(link, "href")
@@ -164,11 +174,8 @@ def tile_links(links: DataFrame) -> DataFrame:
     )
 
 
-def _partition_glob(value: Column, base: Column) -> Column:
-    return let(
-        variants.filled_text_at(value, "partition:glob"),
-        lambda glob: F.when(glob.isNotNull(), urls.asset_href(glob, base)),
-    )
+def _glob(text: Column, base: Column) -> Column:
+    return let(text, lambda glob: F.when(glob.isNotNull(), urls.asset_href(glob, base)))
 
 
 def assets_of(documents: DataFrame) -> DataFrame:
@@ -182,18 +189,21 @@ def assets_of(documents: DataFrame) -> DataFrame:
     the rule that looks at all assets of a document needs no join.
     """
     raw = F.col("raw")
+    properties = raw["properties"]
     shared = F.coalesce(
-        _unless_null(variants.member(raw, "table:columns")),
-        variants.member(raw, "properties", "table:columns"),
+        _unless_null(raw["table:columns"]), variants.member(properties, "table:columns")
     )
-    prepared = documents.where("error is null").select(
+    account = variants.text_at(properties, "table:storage_options", "account_name")
+    prepared = documents.select(
         "url",
         "base",
-        variants.text_at(raw, "properties", "table:storage_options", "account_name").alias("account"),
+        account.alias("account"),
         shared.alias("shared"),
-        is_tabular(variants.member(raw, "table:columns")).alias("shared_tabular"),
-        _partition_glob(raw, F.col("base")).alias("shared_glob"),
-        F.map_entries(variants.ordered_object(F.col("body"), "$.assets")).alias("entries"),
+        is_tabular(raw["table:columns"]).alias("shared_tabular"),
+        _glob(variants.filled_text(raw["partition:glob"]), F.col("base")).alias("shared_glob"),
+        F.when(
+            raw.isNotNull(), F.map_entries(variants.ordered_object(F.col("body"), "$.assets"))
+        ).alias("entries"),
     ).withColumn("shared_url", urls.bucket_url(F.col("shared_glob")))
     built = F.transform(
         F.coalesce(F.col("entries"), F.array().cast("array<struct<key:string,value:variant>>")),

@@ -14,7 +14,7 @@ from geoquarry.functions.urls import as_column, asset_href, last_segment, url_pa
 from geoquarry.model import Area, FeatureFileError, Scope, scope_box
 from geoquarry.operators.catalog import item_hrefs
 from geoquarry.operators.ranking import first_by
-from geoquarry.sources.documents import assets_of
+from geoquarry.sources.documents import RAW_TYPE, assets_of
 from geoquarry.sources.parquet import implicit_covering, plan_read
 
 
@@ -121,8 +121,7 @@ def mirror_files(rows: DataFrame) -> DataFrame:
         F.lpad(F.col("place").cast("string"), 20, "0").alias("url"),
         "base",
         text.alias("body"),
-        variants.parse_json(text).alias("raw"),
-        F.lit(None).cast("string").alias("error"),
+        F.from_json(text, RAW_TYPE).alias("raw"),
     )
     found = item_hrefs(assets_of(documents))
     return found.groupBy("href").agg(F.min("url").cast("bigint").alias("place"))

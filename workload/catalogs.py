@@ -75,12 +75,12 @@ def read_items(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
 OK_ITEM = "k % 50 <> 0"
 
 
-@query("s06_read_documents", f"""WITH {ITEM_SQL} SELECT url, 'item' AS kind, CASE WHEN k % 7 <> 0 THEN 'order-' || k ELSE CAST(k AS VARCHAR) END AS id,
-  CASE WHEN k % 2 = 0 THEN p WHEN k % 7 <> 0 THEN 'order-' || k ELSE CAST(k AS VARCHAR) END AS title, s AS license,
-  CASE WHEN k % 11 <> 0 THEN x END AS west, CASE WHEN k % 11 <> 0 THEN y + 1 END AS north FROM item WHERE {OK_ITEM}""")
+@query("s06_read_documents", f"""WITH {ITEM_SQL}, named AS (SELECT *, CASE WHEN k % 7 <> 0 THEN 'order-' || k ELSE CAST(k AS VARCHAR) END AS id FROM item WHERE {OK_ITEM})
+SELECT url, 'item' AS kind, id, CASE WHEN k % 2 = 0 THEN p ELSE id END AS title, s AS license, CASE WHEN k % 11 <> 0 THEN x END AS west, CASE WHEN k % 11 <> 0 THEN y + 1 END AS north, NULL AS error FROM named
+UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL, NULL, 'Not a STAC catalog, collection, or item (type is Thing)' FROM item WHERE k % 50 = 0""")
 def s06_read_documents(spark, folder):
-    read = docs.read_documents(order_bodies(spark, folder)).where("error is null")
-    return read.select("url", "kind", "id", "title", "license", F.col("bbox.west").alias("west"), F.col("bbox.north").alias("north"))
+    read = docs.read_documents(order_bodies(spark, folder))
+    return read.select("url", "kind", "id", "title", "license", F.col("bbox.west").alias("west"), F.col("bbox.north").alias("north"), "error")
 
 
 @query("f18_well_formed_links", f"""WITH {ITEM_SQL} SELECT rel, href, count(*) AS n FROM (
