@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,8 +129,3 @@ def verify_paths(files: DataFrame) -> DataFrame:
             )
 
     return decoded.mapInArrow(hashed, "path string, matches boolean")
-
-
-def digest_sizes() -> np.ndarray:
-    """Return the codes this module can compute, in order."""
-    return np.array(sorted(ALGORITHMS))

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import math
 
-from geoquarry.functions.shapes import Polygons, polygons_of, rings_of_text
-from geoquarry.model import Area, Box, Clip, Everything, Scope
+from geoquarry.functions.shapes import (
+    Polygons,
+    box_polygon,
+    polygons_of,
+    polygons_of_text,
+    rings_of_text,
+)
+from geoquarry.model import Area, Box, Clip, Everything, MapView, Scope
 
 # Names of the two systems, and the sphere of the web map.
 DEGREES = ("", "OGC:CRS84", "EPSG:4326", "OGC:CRS84h", "EPSG:4979")
@@ -61,7 +67,7 @@ def clip_for(scope: Scope, crs: str) -> Clip:
     known = crs if crs in DEGREES or crs in WEB_MAP else None
     if known is None and crs:
         raise ValueError(f"Cannot transform the area into {crs}")
-    if isinstance(scope, (Everything,)) or not hasattr(scope, "wkt"):
+    if isinstance(scope, MapView):
         return Clip(transform_box(scope.bbox, "EPSG:4326", crs))
     moved = transform_area(scope.wkt, "EPSG:4326", crs)
     return Clip(polygons_of(rings_of_text(moved)).box, moved)
@@ -109,8 +115,6 @@ def _cut(polygons: list, at: float, *, keep_low: bool, shift: float) -> list:
 
 def as_polygons(clip: Clip) -> Polygons | None:
     """Return what a clip tests against: its area, else its box."""
-    from geoquarry.functions.shapes import box_polygon, polygons_of_text
-
     if clip.area is not None:
         return polygons_of_text(clip.area)
     return None if clip.bbox is None else box_polygon(*clip.bbox)

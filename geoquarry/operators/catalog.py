@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquarry.functions import assets as rules
-from geoquarry.functions.urls import bucket_url, is_image
+from geoquarry.functions.urls import is_image
 from geoquarry.operators.ranking import first_by, numbered
 
 
@@ -210,8 +210,3 @@ def reads_items(files: DataFrame, edges: DataFrame) -> DataFrame:
     return blocked.join(parents, "url", "left").select(
         "url", "href", "glob", F.coalesce("through_items", F.lit(False)).alias("through_items")
     )
-
-
-def bucket_form(href: Column) -> Column:
-    """Return the address a listing uses: the bucket form of an HTTPS href, else NULL."""
-    return bucket_url(href)

@@ -96,7 +96,7 @@ def _carried(
     return features.where(F.col(geometry).isNotNull() & near).where(touches_any(F.col(geometry)))
 
 
-def _cells(box: str, cell: float, limit: bool = False):
+def _cells(box: str, cell: float):
     """Return the cell numbers a box touches, as an array of (x, y)."""
     low_x, high_x = F.floor(F.col(f"{box}.xmin") / cell), F.floor(F.col(f"{box}.xmax") / cell)
     low_y, high_y = F.floor(F.col(f"{box}.ymin") / cell), F.floor(F.col(f"{box}.ymax") / cell)

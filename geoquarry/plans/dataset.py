@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from geoquarry.model import (
     free_name,
 )
 from geoquarry.plans.custom_select import custom_rows
-from geoquarry.sources.parquet import read_plan, result_plan
+from geoquarry.sources.parquet import glob_folder, read_plan, result_plan
 
 PREVIEW_ROWS = 100
 # Loads that are larger ask first.
@@ -223,11 +224,15 @@ class GeoDataset:
         First means path order, then row order. Files are tried in growing
         groups, so the usual answer reads one file and not the whole source.
         """
-        files = sorted(self.frame.inputFiles()) if self.sql_text is None else []
+        listed = self.frame.inputFiles() if self.sql_text is None else []
+        files = sorted(unquote(name) for name in listed)
         start, step = 0, 1
         while len(files) > 1 and start < len(files):
             group = files[start : start + step]
             reader = self.spark.read.schema(self.frame.schema)
+            if len(self.sources) == 1:
+                # Keeps the columns that come from folder names.
+                reader = reader.option("basePath", glob_folder(self.sources[0]))
             found = replace(self, frame=reader.parquet(*group))._first_of_all()
             if found is not None:
                 return found

@@ -107,12 +107,14 @@ def test_types_refused_and_names(spark, tmp_path):
 
 
 def test_first_type_over_many_files(spark, tmp_path):
-    for name, value in (("a", point(90, 80)), ("b", line([(0, 0), (1, 1)])), ("c", point(0, 0))):
+    for name, value in (("a", point(90, 80)), ("b b", line([(0, 0), (1, 1)])), ("c", point(0, 0))):
         shapes_frame(spark, [value]).coalesce(1).write.parquet(str(tmp_path / f"part={name}"))
     data = GeoDataset.read(spark, str(tmp_path / "part=*"))
     assert data.plan.names == ("id", "part")
     assert data.layer_type() == "MultiPoint"
     assert data.within(Clip((-1.0, -1.0, 2.0, 2.0))).layer_type() == "MultiLineString"
+    assert data.where(Compare("part", ">", "b b")).layer_type() == "MultiPoint"
+    assert data.where(Compare("part", "=", "b b")).layer_type() == "MultiLineString"
 
 
 def test_tables(spark, tmp_path):

@@ -373,11 +373,13 @@ def within(documents: DataFrame) -> DataFrame:
     return documents.select(F.lit("cat").alias("catalog"), "url")
 
 
-@query("q02_collections_without_data", "SELECT 'c' || c_custkey AS document, 'no data' AS \"check\" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey % 2 = 0")
+@query("q02_collections_without_data", "SELECT 'c' || c_custkey AS document, 'no data' AS \"check\" FROM customer WHERE c_custkey % 10 = 0 OR (c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders))")
 def q02_collections_without_data(spark, folder):
     documents, edges = graph(spark, folder)
     files = documents.where("kind = 'collection'").where("try_cast(substring(url, 2, 20) as bigint) % 2 = 1")
-    return audit.empty_collections(documents, files, edges, within(documents)).select("document", "check")
+    # Every tenth customer lists none of its orders.
+    listed = edges.where("not (parent like 'c%0')")
+    return audit.empty_collections(documents, files, listed, within(documents)).select("document", "check")
 
 
 @query("q04_file_probes", """SELECT CASE l_partkey % 4 WHEN 0 THEN 'pmtiles' WHEN 1 THEN 'cog' WHEN 2 THEN 'pmtiles' ELSE 'csv' END AS kind, CAST(count(*) FILTER (WHERE l_partkey % 4 IN (0, 1)) AS BIGINT) AS ok, count(*) AS n FROM lineitem GROUP BY 1""")
