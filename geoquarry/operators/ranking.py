@@ -89,3 +89,11 @@ def numbered(
 ) -> DataFrame:
     """Number the rows of each group from 1 in the order of an integer position."""
     return running_sums(rows, keys, position, {alias: F.lit(1)}, bits=bits)
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Put one-row results with different columns into one row, by a union and not a join."""
+    stacked = rows[0]
+    for other in rows[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*(F.max(name).alias(name) for name in stacked.columns))

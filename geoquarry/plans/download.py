@@ -11,6 +11,7 @@ from geoquarry.functions.extents import meets_scope
 from geoquarry.functions.urls import clipped_path
 from geoquarry.model import Everything, Scope
 from geoquarry.operators import manifest
+from geoquarry.operators.ranking import side_by_side
 from geoquarry.operators.walk import PLAN_BUDGET, failures, walk
 from geoquarry.plans.dataset import GeoDataset, Written
 
@@ -37,10 +38,7 @@ class DownloadPlan:
             self.outside.agg(F.count("*").alias("outside")),
             reads.select(limit.alias("truncated")),
         ]
-        # Each side is one aggregate row.
-        for count in counts:
-            totals = totals.join(F.broadcast(count))
-        return totals
+        return side_by_side(totals, *counts)
 
 
 def plan_download(

@@ -335,8 +335,8 @@ def l06_page(spark, folder):
 def a11_statuses(spark, folder):
     entries = registry_rows(spark, folder)
     shown = entries.groupBy("status").agg(F.count("*").alias("shown"))
-    known = reg.statuses(entries)
-    return known.join(shown, "status").crossJoin(F.broadcast(entries.agg(F.count("*").alias("total"))))
+    total = entries.agg(F.count("*").alias("total")).first().total
+    return reg.statuses(entries).join(shown, "status").withColumn("total", F.lit(total).cast("bigint"))
 
 
 @query("j03_registry_facts", f"""WITH {REGISTRY_SQL}, doc AS (SELECT DISTINCT l_suppkey FROM lineitem), size AS (SELECT l_suppkey, CAST(sum(CASE WHEN l_returnflag <> 'R' AND l_suppkey % 2 = 0 THEN CAST(l_quantity * 1000 AS BIGINT) END) AS BIGINT) AS size FROM lineitem GROUP BY 1)

@@ -13,6 +13,7 @@ from geoquarry.functions.projections import transform_box
 from geoquarry.functions.shapes import polygons_of_text
 from geoquarry.model import Area, Clip, CopySpec, MapView
 from geoquarry.operators.audit import write_report
+from geoquarry.operators.ranking import side_by_side
 from geoquarry.plans.custom_select import check_select
 from geoquarry.plans.dataset import GeoDataset, rerun
 from geoquarry.plans.download import write_clipped
@@ -478,7 +479,7 @@ def k04_write_report(spark, folder):
     status = write_report(check_rows(spark, folder), path)
     lines = spark.read.text(f"{path}/summary").agg(F.count("*").alias("lines"))
     stored = spark.read.json(f"{path}/checks").agg(F.count("*").alias("checks"))
-    return lines.join(F.broadcast(stored)).select("lines", F.lit(status).cast("bigint").alias("status"), "checks")
+    return side_by_side(lines, stored).select("lines", F.lit(status).cast("bigint").alias("status"), "checks")
 
 
 @query("k05_run_copy_again", f"WITH {PLACES_SQL}, {EDGES_SQL} SELECT o_orderkey, day FROM places WHERE {IN_AREA_SQL} AND o_orderpriority = '2-HIGH'")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoquarry.functions import extents, wkb
 from geoquarry.model import Area, MapView
 from geoquarry.operators import audit, manifest
+from geoquarry.operators.ranking import side_by_side
 from geoquarry.operators.walk import failures, redirected, walk
 from geoquarry.plans import item_files
 from geoquarry.plans.download import DownloadPlan, plan_download
@@ -347,7 +348,7 @@ def m06_progress(spark, folder):
     sizes = table(spark, folder, "documents").select(F.col("doc_id").alias("k"), F.octet_length("text").cast("bigint").alias("size"))
     sized = done.drop("size").join(sizes, "k")
     by_bytes = manifest.progress(sized).select(F.round("fraction", 9).alias("by_bytes"))
-    return manifest.progress(done).select(F.round("fraction", 9).alias("by_files")).join(F.broadcast(by_bytes))
+    return side_by_side(manifest.progress(done).select(F.round("fraction", 9).alias("by_files")), by_bytes)
 
 
 @query("a12_fetch_report", f"WITH {FILES_SQL} SELECT CAST(0 AS BIGINT) AS downloaded, count(*) FILTER (WHERE outcome = 'fetch') AS fetch, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE verified) AS verified FROM out")
