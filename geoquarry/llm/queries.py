@@ -134,3 +134,34 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Encode every document by the public ranks and decode the ids again, as digests."""
+    from geoquarry.llm.byte_bpe import bpe_digests
+
+    return bpe_digests(table(spark, folder, "documents"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Score every document for quality; labels of one quarter of the ids are held out."""
+    from geoquarry.llm.quality import fit_quality, quality
+
+    docs = table(spark, folder, "documents")
+    model = fit_quality(docs, table(spark, folder, "labels").filter(remainder(4) != 2))
+    return quality(docs, model).select(
+        "doc_id",
+        F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint every document and an edited copy, and compare it with its neighbour."""
+    from geoquarry.llm.fingerprints import with_next
+
+    return with_next(table(spark, folder, "documents"))
