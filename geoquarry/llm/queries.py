@@ -165,3 +165,35 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from geoquarry.llm.fingerprints import with_next
 
     return with_next(table(spark, folder, "documents"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS h FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT reach.d, edges.b FROM reach JOIN edges ON edges.a = reach.c)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least_id AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(c) AS least_id FROM reach GROUP BY 1) ON d = w.doc_id"""
+
+
+@query("op1_ngram_jaccard", JACCARD_SQL)
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Find the near-duplicate component of every document by sets of four words."""
+    from geoquarry.llm.ngram_join import Likeness, jaccard_components
+
+    return jaccard_components(table(spark, folder, "documents"), Likeness(4, 85))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Cut out every window of 50 words that an earlier document has, as digests."""
+    from geoquarry.llm.substring_dedup import kept_digests
+
+    return kept_digests(table(spark, folder, "documents"))
