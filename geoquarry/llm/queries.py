@@ -197,3 +197,11 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from geoquarry.llm.substring_dedup import kept_digests
 
     return kept_digests(table(spark, folder, "documents"))
+
+
+@query("op6_embedding_dedup")
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Link all vectors of cosine 0.95 or more."""
+    from geoquarry.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
