@@ -205,3 +205,11 @@ def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from geoquarry.llm.embedding_dedup import near_vectors
 
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Extract the main text of every page."""
+    from geoquarry.llm.html_extraction import extracted
+
+    return extracted(table(spark, folder, "pages"))
