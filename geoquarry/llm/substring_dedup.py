@@ -176,7 +176,7 @@ def searched(shard: pa.Table, window: int) -> pa.Table:
     fresh = np.ones(len(passage), bool)
     fresh[1:] = (passage[1:] != passage[:-1]) | (start[1:] > start[:-1] + window)
     begin = np.flatnonzero(fresh)
-    finish = np.append(begin[1:], len(passage)) - 1
+    finish = np.append(begin[1:], len(passage))[: len(begin)] - 1
     spans = np.column_stack([start[begin], start[finish] + window]).astype(np.int32).reshape(-1)
     held = np.bincount(passage[begin], minlength=shard.num_rows) * 2
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(spans))
