@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from urllib.parse import unquote
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from geoquarry.model import (
     free_name,
 )
 from geoquarry.plans.custom_select import custom_rows
-from geoquarry.sources.parquet import glob_folder, read_plan, result_plan
+from geoquarry.sources.parquet import NOTES, SIDES, glob_folder, read_plan, result_plan
 
 PREVIEW_ROWS = 100
 # Loads that are larger ask first.
@@ -44,6 +45,31 @@ def path_column(parts: Sequence[str]) -> Column:
     return F.col(".".join("`" + part.replace("`", "``") + "`" for part in parts))
 
 
+def _one_step_in(box: Sequence[float]) -> tuple[float, ...]:
+    """Return a box whose sides lie inside another one by a step of single precision."""
+    moved = []
+    for side, inward in zip(box, (np.inf, np.inf, -np.inf, -np.inf), strict=True):
+        near = np.float32(side)
+        if (near < side) if inward > 0 else (near > side):
+            near = np.nextafter(near, np.float32(inward))
+        moved.append(float(np.nextafter(near, np.float32(inward))))
+    return tuple(moved)
+
+
+def escaped(value: Column) -> Column:
+    """Return bytes as text: printable ASCII as it is, all others as ``\\xHH``."""
+
+    def shown(place: Column) -> Column:
+        byte = F.substring(value, place, F.lit(1))
+        plain = (byte >= F.lit(b" ")) & (byte <= F.lit(b"~")) & ~byte.isin(b"\\", b"'", b'"')
+        return F.when(plain, byte.cast("string")).otherwise(F.concat(F.lit("\\x"), F.hex(byte)))
+
+    empty = F.octet_length(value) == 0
+    places = F.sequence(F.lit(1), F.greatest(F.octet_length(value), F.lit(1)))
+    text = F.when(empty, "").otherwise(F.array_join(F.transform(places, shown), ""))
+    return F.when(value.isNotNull(), text)
+
+
 def output_name(name: str) -> str:
     """Return the written name of an attribute; one reserved name changes its case."""
     return "ogc_fid" if name == "OGC_FID" else name
@@ -141,10 +167,10 @@ class GeoDataset:
         west, south, east, north = (float(side) for side in self.clip.bbox)
         sides = self.plan.covering
         return (
-            (path_column(sides.xmin) <= east)
-            & (path_column(sides.xmax) >= west)
-            & (path_column(sides.ymin) <= north)
-            & (path_column(sides.ymax) >= south)
+            (path_column(sides.west) <= east)
+            & (path_column(sides.east) >= west)
+            & (path_column(sides.south) <= north)
+            & (path_column(sides.north) >= south)
         )
 
     def _settled(self) -> tuple[Column, Column] | None:
@@ -152,19 +178,21 @@ class GeoDataset:
 
         A box inside a clip box means yes. A box that is one exact point is
         tested by column arithmetic. The UDF then sees only the other rows.
+        Boxes of single precision are rounded, so they settle a row only with
+        one step of that precision to spare.
         """
         sides = self.plan.covering
         if sides is None or self.clip.bbox is None:
             return None
         xmin, ymin, xmax, ymax = (
-            path_column(path) for path in (sides.xmin, sides.ymin, sides.xmax, sides.ymax)
+            path_column(path) for path in sides
         )
+        exact = all(isinstance(self._type_at(path), T.DoubleType) for path in sides)
         if self.clip.area is None:
-            west, south, east, north = (float(side) for side in self.clip.bbox)
+            west, south, east, north = self.clip.bbox if exact else _one_step_in(self.clip.bbox)
             inside = (xmin >= west) & (xmax <= east) & (ymin >= south) & (ymax <= north)
             return F.coalesce(inside, F.lit(False)), F.lit(True)
         area = as_polygons(self.clip)
-        exact = isinstance(self._type_at(sides.xmin), T.DoubleType)
         if area is None or len(area.edges) > COLUMN_EDGES or not exact:
             return None
         verdict = wkb.point_inside(xmin, ymin, area)
@@ -274,6 +302,10 @@ class GeoDataset:
             dtype = self._type_at([column.name])
             if column.kind == "double" and isinstance(dtype, T.DecimalType):
                 value = value.cast("double")
+            elif column.kind == "int" and isinstance(dtype, T.DecimalType):
+                value = value.cast("bigint")  # too large a number is an error, not another number
+            elif column.kind == "string" and isinstance(dtype, T.BinaryType):
+                value = escaped(value)
             elif column.kind == "string" and isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
                 value = F.to_json(value)
             elif column.kind == "string" and not isinstance(dtype, T.StringType):
@@ -349,11 +381,22 @@ class GeoDataset:
         counts = Observation()
         watched = rows.observe(counts, F.count("*").alias("features"), refused.alias("refused"))
         watched.write.mode("errorifexists").parquet(path)
-        described = {"crs": self.plan.crs, "geometry_type": layer_type, "geometry": self.geometry_name if self.plan.has_geometry else None}
-        self.spark.createDataFrame([(json.dumps(described),)], "value string").coalesce(1).write.text(f"{path}/_layer")
+        described = json.dumps(self._described(layer_type, rows.columns[-1]))
+        self.spark.createDataFrame([(described,)], "value string").coalesce(1).write.text(f"{path}/{NOTES}")
         found = counts.get
         return Written(found["features"], layer_type, found["refused"])
 
+    def _described(self, layer_type: str, box: str) -> dict:
+        """Return what a footer would say of the copy; ``read_plan`` reads it back."""
+        if not self.plan.has_geometry:
+            return {}
+        types = [] if layer_type == UNKNOWN else [layer_type[:-1] + " Z" if layer_type.endswith("Z") else layer_type]
+        about = {
+            "encoding": "WKB", "crs": self.plan.crs or None, "geometry_types": types,
+            "covering": {"bbox": {side: [box, side] for side in SIDES}},
+        }
+        return {"primary_column": self.geometry_name, "columns": {self.geometry_name: about}}
+
     def spec(self) -> CopySpec:
         """Return what is needed to run the same copy again later."""
         condition = None if self.condition is None else self.condition.to_dict()

@@ -38,8 +38,7 @@ def _corners(schema: T.StructType) -> list[Column]:
         raise FeatureFileError("The file has no bbox or assets column")
     covering = implicit_covering(schema)
     if covering is not None:
-        sides = (covering.xmin, covering.ymin, covering.xmax, covering.ymax)
-        return [F.col(".".join(side)) for side in sides]
+        return [F.col(".".join(side)) for side in covering]
     if not isinstance(schema["bbox"].dataType, T.ArrayType):
         raise FeatureFileError("The file has no bbox or assets column")
     half = F.floor(F.size("bbox") / 2).cast("int")

@@ -80,7 +80,8 @@ def test_write_and_rerun(spark, points, tmp_path):
     assert copy.preview().first().geom == "MULTIPOINT"
     spec = CopySpec.from_json(data.spec().to_json())
     assert ids(rerun(spark, spec).rows()) == list(range(10, 20))
-    assert json.loads(spark.read.text(str(tmp_path / "copy" / "_layer")).first().value)["crs"] == "OGC:CRS84"
+    notes = json.loads(spark.read.text(str(tmp_path / "copy" / "_layer")).first().value)
+    assert notes["columns"][notes["primary_column"]]["crs"] == "OGC:CRS84"
 
 
 def shapes_frame(spark, values, extra=""):
@@ -166,10 +167,35 @@ def test_projections_and_areas():
     assert across.wkt.startswith("MULTIPOLYGON") and "-178.0" in across.wkt
     with pytest.raises(ValueError):
         Clip(None, "POLYGON((0 0,1 0,1 1,0 0))")
-    assert Clip.from_text(*Clip(BOX, ELL).to_text()) == Clip(BOX, ELL)
+    assert Clip.restored(Clip(BOX, ELL).stored()) == Clip(BOX, ELL)
 
 
 def test_bucket_settings():
     found = bucket_settings(["s3://us-west-2.open.data/x", "s3://plain/x", "s3a://a.b/y"])
     assert found["fs.s3a.bucket.us-west-2.open.data.endpoint.region"] == "us-west-2"
     assert found["fs.s3a.bucket.a.b.endpoint.region"] == "us-east-1" and len(found) == 4
+
+
+def test_a_copy_is_read_as_it_was_written(spark, tmp_path):
+    rows = [(1, bytearray(point(1_000_000.0, 5_000_000.0)), b"a\x00\xff", 2**53 + 1), (2, bytearray(point(-2_000_000.0, 0.0)), None, None)]
+    frame = spark.createDataFrame(rows, "id int, geometry binary, raw binary, big bigint").withColumn("big", F.col("big").cast("decimal(20,0)"))
+    frame = frame.withColumn("bbox", F.lit("taken"))
+    geo = '{"primary_column": "geometry", "columns": {"geometry": {"crs": {"id": {"authority": "EPSG", "code": 3857}}, "geometry_types": ["Point"]}}}'
+    data = GeoDataset.over(frame, plan_read(frame.schema, geo))
+    view = MapView((0.0, 30.0, 20.0, 60.0))
+    assert data.within(view).kept().count() == 1
+    data.write(str(tmp_path / "copy"))
+    copy = GeoDataset.read(spark, str(tmp_path / "copy"))
+    assert (copy.plan.crs, copy.plan.geometry_type, copy.plan.covering.west) == ("EPSG:3857", "Point", ("bbox_1", "xmin"))
+    assert copy.within(view).kept().count() == 1
+    assert [(row.raw, row.big) for row in copy.frame.orderBy("id").collect()] == [("a\\x00\\xFF", 2**53 + 1), (None, None)]
+
+
+def test_boxes_of_single_precision_do_not_settle_edges(spark):
+    rows = [(9.99999999, 5.0), (10.0, 5.0), (10.00001, 5.0), (15.0, 5.0), (19.99999999, 5.0), (20.00000001, 5.0)]
+    frame = spark.createDataFrame([(n, x, y, bytearray(point(x, y))) for n, (x, y) in enumerate(rows)], "id int, x double, y double, geometry binary")
+    sides = (("xmin", "x"), ("ymin", "y"), ("xmax", "x"), ("ymax", "y"))
+    for kind in ("float", "double"):
+        boxed = frame.withColumn("bbox", F.struct(*(F.col(name).cast(kind).alias(side) for side, name in sides)))
+        kept = GeoDataset.over(boxed, plan_read(boxed.schema, None)).within(Clip((10.0, 0.0, 20.0, 9.0))).kept()
+        assert sorted(row.id for row in kept.collect()) == [1, 2, 3, 4]

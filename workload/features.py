@@ -83,7 +83,7 @@ def s05_infer_plan(spark, folder):
     data = GeoDataset.read(spark, stored_places(spark, folder))
     plan = data.plan
     return data.frame.agg(F.count("*").alias("features")).select(
-        F.lit(plan.geometry).alias("geometry"), F.lit(plan.covering.xmin[0]).alias("covering"), F.lit(plan.crs).alias("crs"),
+        F.lit(plan.geometry).alias("geometry"), F.lit(plan.covering.west[0]).alias("covering"), F.lit(plan.crs).alias("crs"),
         F.lit(plan.geometry_type).alias("geometry_type"), F.lit(",".join(plan.names)).alias("attributes"), "features")
 
 
@@ -274,7 +274,7 @@ def p06_nested_path(spark, folder):
 
     data = places(spark, folder)
     sides = data.plan.covering
-    return data.frame.select("o_orderkey", path_column(sides.xmin).alias("x"), path_column(sides.ymax).alias("y"))
+    return data.frame.select("o_orderkey", path_column(sides.west).alias("x"), path_column(sides.north).alias("y"))
 
 
 KINDS_SQL = "CASE kind WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'Polygon' ELSE 'MultiPoint' END"
