@@ -12,13 +12,26 @@ from geoquarry.sources import text_features as tf
 from tests.test_shapes import line, polygon, square
 
 
-@pytest.mark.parametrize(("header", "found"), [
-    (b"id,Name,Longitude,LAT\n", ("Longitude", "LAT")), (b"\xef\xbb\xbflon;lat\n1;2\n", ("lon", "lat")), (b"x,y\n10,20\n", ("x", "y")),
-    (b"x,y\n500000,20\n", None), (b"x,y\n", None), (b"x,y\n1,2\n900,", ("x", "y")), (b"x,y\nfoo,bar\n1,2\n", ("x", "y")), (b"a,b\n1,2\n", None), (b"", None),
-    (b"x,lng,lat\n9000,1,2\n", ("lng", "lat")), (b"lon\tlatitude\n", ("lon", "latitude")),
+@pytest.mark.parametrize(("body", "points"), [
+    ("\ufefflon;lat\n1;2\n", [(1, 2)]), ("x,y\n10,20\n", [(10, 20)]), ("x,y\n10,20\n500000,20\n", None), ("x,y\n", None),
+    ("x,y\nfoo,bar\n1,2\n", [(1, 2), None]), ("a,b\n1,2\n", None), ("", None), ("x,lng,lat\n9000,1,2\n", [(1, 2)]),
+    ("lon\tlatitude\n3\t4\n", [(3, 4)]), ("n,lat,lon\n\"say \"\"hi\"\", you\",2,1\n\"two\nlines\",4,3\n", [(1, 2), (3, 4)]),
 ])
-def test_coordinate_columns(header, found):
-    assert tf.coordinate_columns(header) == found
+def test_points_of_a_csv_file(spark, tmp_path, body, points):
+    (tmp_path / "f.csv").write_text(body)
+    read = tf.read_csv(spark, str(tmp_path / "f.csv"))
+    if points is None:
+        assert "geometry" not in read.columns
+        return
+    boxes = [row.b for row in read.select(wkb.envelope("geometry").alias("b")).collect()]
+    assert sorted(str(box and (box.xmin, box.ymin)) for box in boxes) == sorted(str(at and (float(at[0]), float(at[1]))) for at in points)
+
+
+def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,lon,lat\n1,10,50\n")
+    (tmp_path / "b.csv").write_text('lat;lon;note;id\n51;11;"a ""b""; c\nd";x2\n')
+    rows = tf.read_csv(spark, str(tmp_path)).select("id", "note", wkb.envelope("geometry").alias("b")).orderBy("id").collect()
+    assert [(r.id, r.note, r.b.xmin, r.b.ymin) for r in rows] == [("1", None, 10, 50), ("x2", 'a "b"; c\nd', 11, 51)]
 
 
 def test_csv_and_geojson(spark, tmp_path):
