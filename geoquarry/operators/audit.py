@@ -120,11 +120,19 @@ def probe_verdict(kind: Column) -> tuple[Column, Column]:
 
 
 def target_checks(
-    targets: DataFrame, blocked: DataFrame, probes: DataFrame, footers: DataFrame, within: DataFrame
+    targets: DataFrame,
+    blocked: DataFrame,
+    probes: DataFrame,
+    footers: DataFrame,
+    within: DataFrame,
+    item_files: DataFrame | None = None,
 ) -> DataFrame:
     """Check the files to view and to load: probed bytes, Parquet footers, or a glob nobody lists.
 
     ``targets`` comes from ``pick_targets``, ``blocked`` from ``reads_items``.
+    A glob that is read through its items is checked by the footer of the
+    first item's file, from ``item_files(document, item_file)``; without such
+    a file the check fails.
     """
     placed = targets.join(within, "url").withColumnRenamed("url", "document")
     viewed = placed.where("view_href is not null").select("catalog", "document", F.lit("view").alias("use"), F.col("view_href").alias("url"), F.col("view_format").alias("kind"))
@@ -137,6 +145,13 @@ def target_checks(
     probed = open_to.where("kind <> 'parquet'").join(probes, "url", "left")
     ok, detail = probe_verdict(F.col("kind"))
     tables = open_to.where("kind = 'parquet'").join(footers.select("url", "geometry", "rows"), "url", "left")
+    through = every.where("kind = 'parquet' and through_items").drop("url")
+    if item_files is None:
+        through = through.withColumn("url", F.lit(None).cast("string"))
+    else:
+        through = through.join(item_files.select("document", F.col("item_file").alias("url")), "document", "left")
+    through = through.join(footers.select("url", "geometry", "rows"), "url", "left")
+    tables = tables.unionByName(through.select(*tables.columns))
     return (
         checks(probed, named, ok, detail)
         .unionByName(checks(tables, named, F.col("rows").isNotNull(), footer_detail()))

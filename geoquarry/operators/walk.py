@@ -18,9 +18,6 @@ from geoquarry.operators.ranking import first_by, numbered
 from geoquarry.session import ensure_checkpoints
 
 VISITED = "href string, depth int, place bigint, kind string, error string"
-PLAN_BUDGET = 5_000
-LAYER_BUDGET = 20_000
-AUDIT_BUDGET = 300
 
 
 def walk(
@@ -38,7 +35,8 @@ def walk(
     child, kind)``. ``starts`` is one URL, or a table of them in column
     ``root``: every root walks on its own. ``(depth, place)`` sorts a root's
     rows in the order of a queue: parents in order, children in link order.
-    ``budget`` stops the walk of each root after so many reads.
+    ``budget`` stops the walk of each root after so many reads, and
+    ``truncated`` then tells which roots it stopped; by default all is read.
     ``first_item_only`` follows only the first item of a document, after its
     other children.
     """
@@ -118,9 +116,10 @@ def _first_items(edges: DataFrame) -> DataFrame:
     return others.unionByName(items.select("parent", "pos", "child", F.lit(1).alias("late")))
 
 
-def truncated(visited: DataFrame, budget: int) -> DataFrame:
-    """Return per root whether its walk used up the budget."""
-    return visited.groupBy("root").agg((F.count("*") >= budget).alias("truncated"))
+def truncated(visited: DataFrame, budget: int | None) -> DataFrame:
+    """Return per root whether its walk used up the budget; without one no walk does."""
+    used_up = F.lit(False) if budget is None else F.count("*") >= budget
+    return visited.groupBy("root").agg(used_up.alias("truncated"))
 
 
 def failures(visited: DataFrame) -> DataFrame:

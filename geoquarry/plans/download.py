@@ -12,7 +12,7 @@ from geoquarry.functions.urls import clipped_path
 from geoquarry.model import Everything, Scope
 from geoquarry.operators import manifest
 from geoquarry.operators.ranking import side_by_side
-from geoquarry.operators.walk import PLAN_BUDGET, failures, walk
+from geoquarry.operators.walk import failures, walk
 from geoquarry.plans.dataset import GeoDataset, Written
 
 
@@ -49,7 +49,7 @@ def plan_download(
     start: str,
     root: str | None = None,
     scope: Scope = Everything(),
-    budget: int | None = PLAN_BUDGET,
+    budget: int | None = None,
     *,
     partitions: bool = True,
 ) -> DownloadPlan:

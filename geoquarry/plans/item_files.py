@@ -10,23 +10,29 @@ from geoquarry.functions.assets import asset_format
 from geoquarry.functions.extents import meets_scope
 from geoquarry.model import Scope
 from geoquarry.operators.catalog import item_hrefs
-from geoquarry.operators.walk import LAYER_BUDGET, walk
+from geoquarry.operators.walk import truncated, walk
 from geoquarry.plans.dataset import GeoDataset
 from geoquarry.sources import mirror
 from geoquarry.sources.parquet import scan
 
 
 def walked_files(
-    documents: DataFrame, edges: DataFrame, assets: DataFrame, start: str, scope: Scope, budget: int | None = LAYER_BUDGET
+    documents: DataFrame, edges: DataFrame, assets: DataFrame, start: str, scope: Scope, budget: int | None = None
 ) -> DataFrame:
-    """Walk the items below a start and return the files of those in scope: ``(href, place)``."""
-    seen = walk(documents, edges, start, budget).where("error is null and kind = 'item'")
+    """Walk the items below a start and return the files of those in scope: ``(href, depth, place, truncated)``.
+
+    ``truncated`` tells on every row whether a budget stopped the walk.
+    """
+    visited = walk(documents, edges, start, budget)
+    seen = visited.where("error is null and kind = 'item'")
     items = documents.select(F.col("url").alias("href"), "bbox")
     inside = seen.join(items, "href").where(meets_scope(F.col("bbox"), scope))
     files = item_hrefs(assets).withColumnRenamed("href", "file").withColumnRenamed("url", "href")
     picked = inside.join(files, "href").select(F.col("file").alias("href"), F.struct("depth", "place").alias("turn"))
     first = picked.groupBy("href").agg(F.min("turn").alias("turn"))
-    return first.select("href", "turn.depth", "turn.place")
+    # One row: the walk has one root.
+    stopped = F.broadcast(truncated(visited, budget).select("truncated", F.lit(1).alias("_one")))
+    return first.withColumn("_one", F.lit(1)).join(stopped, "_one").select("href", "turn.depth", "turn.place", "truncated")
 
 
 def indexed_files(frame: DataFrame, url: str, scope: Scope, edges: DataFrame | None = None) -> DataFrame:
@@ -43,7 +49,7 @@ def files_in_scope(
     assets: DataFrame,
     collection: str,
     scope: Scope,
-    budget: int | None = LAYER_BUDGET,
+    budget: int | None = None,
 ) -> DataFrame:
     """Return the files of a collection's items in scope as ``(href)``.
 

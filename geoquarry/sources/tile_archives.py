@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoquarry.operators.ranking import running_sums
+from geoquarry.session import ensure_checkpoints
 
 # The layout of the archive header, version 3.
 HEADER_LENGTH = 127
@@ -25,7 +26,6 @@ MAGIC = b"PMTiles"
 FIRST_READ = 16384
 TILE_TYPES = ("unknown", "mvt", "png", "jpeg", "webp", "avif", "mlt")
 COMPRESSIONS = ("unknown", "none", "gzip", "brotli", "zstd")
-MAX_DEPTH = 4
 
 HEADERS = (
     "archive string, tile_type string, tile_compression string, internal_compression string, "
@@ -160,10 +160,13 @@ def _rows(path: str, found: np.ndarray, leaf_start: int, compression: str) -> pa
 
 
 def read_entries(archives: DataFrame) -> DataFrame:
-    """Return every tile entry below the paths in ``archives.archive``, leaves expanded.
+    """Return every tile entry below the paths in ``archives.archive``, leaves expanded to any depth.
 
-    Columns ``archive, tile_id, run_length, offset, length``.
+    Columns ``archive, tile_id, run_length, offset, length``. Each level is
+    written once; a directory that was read before, as in an archive that
+    points back to itself, is not read again.
     """
+    ensure_checkpoints(archives.sparkSession)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from geoquarry.sources.object_store import open_input
@@ -188,11 +191,18 @@ def read_entries(archives: DataFrame) -> DataFrame:
                 found = directory(inflate(raw, row["compression"]))
                 yield _rows(row["archive"], found, row["leaf_start"], row["compression"])
 
-    level = archives.select("archive").mapInArrow(roots, ENTRIES)
+    level = archives.select("archive").mapInArrow(roots, ENTRIES).checkpoint()
     every = level.where("run_length > 0")
-    for _depth in range(1, MAX_DEPTH):
-        pointers = level.where("run_length = 0").repartition("archive", "offset")
-        level = pointers.mapInArrow(leaves, ENTRIES)
+    seen: DataFrame | None = None
+    while True:
+        pointers = level.where("run_length = 0")
+        if seen is not None:
+            pointers = pointers.join(seen, ["archive", "offset"], "left_anti")
+        if pointers.isEmpty():
+            break
+        level = pointers.select(*level.columns).repartition("archive", "offset").mapInArrow(leaves, ENTRIES).checkpoint()
+        places = pointers.select("archive", "offset")
+        seen = places if seen is None else seen.unionByName(places)
         every = every.unionByName(level.where("run_length > 0"))
     return every.select("archive", "tile_id", "run_length", "offset", "length")
 
