@@ -41,6 +41,15 @@ class Likeness:
         low, high = F.least(left, right), F.greatest(left, right)
         return low * 100 >= high * self.percent
 
+    def places_fit(self, size: str, place: str, other: str, its: str) -> Column:
+        """Return whether two sets whose first common element stands at these places can link.
+
+        No element before both places is common, so the rest of either set
+        bounds what they share.
+        """
+        most = F.least(F.col(size) - F.col(place), F.col(other) - F.col(its))
+        return most * 100 >= (F.col(size) + F.col(other) - most) * self.percent
+
     def far(self, difference: Column, left: str, right: str) -> Column:
         """Return whether a lower bound of the symmetric difference rules a link out."""
         return difference * (100 + self.percent) > (F.col(left) + F.col(right)) * (100 - self.percent)
@@ -168,23 +177,28 @@ def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
 def linked_sets(texts: DataFrame, base: DataFrame, like: Likeness) -> DataFrame:
     """Return ``v, component`` of all sets that link with another one.
 
-    First every group is checked against the smallest and the largest group
-    of each of its prefix elements, which joins copies without pairing them
-    with each other. What remains are pairs across components; only members
-    outside the component of an element's first group are paired with the
-    element's other members, after filters on sizes and parity.
+    First every group is checked against one group of each of its prefix
+    elements, the one in which the element stands foremost: it has the fewest
+    rare elements of its own and so is closest to what the others copy. That
+    joins copies without pairing them with each other. What remains are pairs
+    across components; only members outside the component of an element's
+    foremost group are paired with the element's other members, where sizes
+    and places allow a link. The first common element of a true link passes
+    the test of places, so none is lost.
     """
     sets = base.filter("n > 0").groupBy("v").agg(
         F.first("n").alias("n"), F.first("p").alias("p"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")
     ).checkpoint()
     groups = sets.groupBy("n", "p").agg(F.min("v").alias("g"), F.first("prefix").alias("prefix"))
     members = sets.select("n", "p", "v").join(groups.select("n", "p", "g"), ["n", "p"]).select("g", "v", "n").checkpoint()
-    tokens = groups.select("g", "n", F.explode("prefix").alias("token"))
-    ends = tokens.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high")
-    shared = tokens.join(ends, "token").checkpoint()
-    sizes = members.filter("g = v").select(F.col("g").alias("other"), F.col("n").alias("m"))
-    near = shared.select("g", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).filter("g <> other").distinct()
-    near = near.join(sizes, "other").filter(like.sizes_fit("n", "m")).select("g", "other")
+    tokens = groups.select("g", "n", F.posexplode("prefix").alias("place", "token"))
+    ends = tokens.groupBy("token").agg(
+        F.min_by("g", "place").alias("low"), F.min("place").alias("its"), F.count("*").alias("held")
+    ).filter("held > 1")
+    shared = tokens.join(ends.drop("held"), "token").checkpoint()
+    sizes = members.filter("g = v").select(F.col("g").alias("low"), F.col("n").alias("m"))
+    near = shared.filter("g <> low").groupBy("g", "n", "low").agg(F.min("place").alias("place"), F.min("its").alias("its"))
+    near = near.join(sizes, "low").filter(like.sizes_fit("n", "m") & like.places_fit("n", "place", "m", "its")).select("g", F.col("low").alias("other"))
     stars = near.join(members.select("g", "v"), "g").select(F.col("v").alias("a"), F.col("other").alias("b"))
     inside = members.filter("g <> v").select(F.col("v").alias("a"), F.col("g").alias("b"))
     first = _ordered(stars.unionByName(inside)).distinct()
@@ -193,17 +207,18 @@ def linked_sets(texts: DataFrame, base: DataFrame, like: Likeness) -> DataFrame:
     links = verified(first, texts, like).checkpoint()
     found = components(links).checkpoint()
     # Members of each shared element, with their components.
-    spread = shared.select("token", "g", "low").join(members, "g")
-    spread = spread.join(found, "v", "left").select("token", "v", "n", "low", F.coalesce("component", "v").alias("component"))
+    spread = shared.select("token", "g", "place", "low").join(members, "g")
+    spread = spread.join(found, "v", "left").select("token", "v", "n", "place", "low", F.coalesce("component", "v").alias("component"))
     lead = found.select(F.col("v").alias("low"), F.col("component").alias("lead"))
-    spread = spread.join(lead, "low", "left").withColumn("lead", F.coalesce("lead", "low")).select("token", "v", "n", "component", "lead").checkpoint()
+    spread = spread.join(lead, "low", "left").withColumn("lead", F.coalesce("lead", "low"))
+    spread = spread.select("token", "v", "n", "place", "component", "lead").checkpoint()
     outside = spread.filter("component <> lead").select(
-        "token", F.col("v").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")
+        "token", F.col("v").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca")
     )
     across = (
         outside.join(spread, "token")
         .filter(F.col("component") != F.col("ca"))
-        .filter(like.sizes_fit("na", "n"))
+        .filter(like.sizes_fit("na", "n") & like.places_fit("na", "pa", "n", "place"))
         .select("a", F.col("v").alias("b"))
     )
     # Different sets of one group are candidates of each other, too.
