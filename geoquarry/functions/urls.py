@@ -78,8 +78,20 @@ def last_segment(path: Column) -> Column:
 
 
 def percent_decode(text: Column) -> Column:
-    """Decode percent escapes and leave ``+`` alone; malformed escapes stay."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    """Decode each percent escape and leave ``+`` alone; malformed escapes stay as they are."""
+    marked = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(marked), text)
+
+
+def _with_low_scheme(href: Column) -> Column:
+    """Return an absolute URL with its scheme in lower case."""
+    at = F.instr(href, ":")
+    return F.concat(F.lower(F.substring(href, F.lit(1), at - F.lit(1))), F.substring(href, at, F.length(href)))
+
+
+def _origin(scheme: Column, netloc: Column) -> Column:
+    """Return what comes before a path: nothing for a plain path."""
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), netloc)).when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise("")
 
 
 def _fold_dots(segments: Column) -> Column:
@@ -102,7 +114,7 @@ def join_url(href: Column, base: Column) -> Column:
         record(href=href, base=base),
         lambda pair: F.when(F.coalesce(pair["base"], F.lit("")) == "", pair["href"])
         .when(pair["href"] == "", pair["base"])
-        .when(pair["href"].rlike(r"^(?i:https?)://[^?#]+$"), pair["href"])
+        .when(pair["href"].rlike(r"^(?i:https?)://[^?#]+$"), _with_low_scheme(pair["href"]))
         .otherwise(
             with_parts(
                 pair["href"],
@@ -117,7 +129,7 @@ def join_url(href: Column, base: Column) -> Column:
 def _resolve(href: Column, own: UrlParts, root: UrlParts) -> Column:
     scheme = F.when(own.scheme == "", root.scheme).otherwise(own.scheme)
     foreign = (scheme != root.scheme) | ~scheme.isin(*RELATIVE_SCHEMES)
-    head = F.concat(root.scheme, F.lit("://"), root.netloc)
+    head = _origin(root.scheme, root.netloc)
     same_document = F.concat(
         head,
         root.path,
@@ -131,8 +143,8 @@ def _resolve(href: Column, own: UrlParts, root: UrlParts) -> Column:
         _prefixed("#", own.fragment),
     )
     return (
-        F.when(foreign, href)
-        .when(own.netloc != "", F.concat(scheme, F.lit("://"), own.netloc, own.tail))
+        F.when(foreign, F.when(own.scheme != "", _with_low_scheme(href)).otherwise(href))
+        .when(own.netloc != "", F.concat(_origin(scheme, own.netloc), own.tail))
         .when(own.path == "", same_document)
         .otherwise(moved)
     )

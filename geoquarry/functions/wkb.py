@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from geoquarry.functions import shapes
 from geoquarry.functions.bindings import let
-from geoquarry.model import MULTI_OF
+from geoquarry.model import MULTI_OF, UNKNOWN
 
 # WKB type codes and their names.
 TYPE_NAMES = {
@@ -44,6 +44,15 @@ def geometry_type(wkb: Column) -> Column:
     return F.element_at(names, _family_code(type_code(wkb)).cast("int"))
 
 
+def layer_type_of(types: Column) -> Column:
+    """Return the one type that holds all of an array of geometry types, else ``Unknown``."""
+    multi = F.array_distinct(
+        F.transform(types, lambda name: F.when(name.isin(*MULTI_OF), F.concat(F.lit("Multi"), name)).otherwise(name))
+    )
+    alone = F.when(F.size(F.array_distinct(types)) == 1, F.get(types, F.lit(0)))
+    return alone.when(F.size(multi) == 1, F.get(multi, F.lit(0))).otherwise(UNKNOWN)
+
+
 def has_z(wkb: Column) -> Column:
     """Return whether the header declares a Z value, in the ISO or the extended way."""
 

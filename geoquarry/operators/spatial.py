@@ -59,7 +59,9 @@ def touching(
 
     ``key`` names the unique id of the features, ``covering`` their box struct.
     """
-    polygons = areas.where(geometry_type(F.col(area_geometry)).isin("Polygon", "MultiPolygon"))
+    # An empty polygon has no envelope and touches nothing.
+    shape = F.col(area_geometry)
+    polygons = areas.where(geometry_type(shape).isin("Polygon", "MultiPolygon") & envelope(shape).isNotNull())
     size = polygons.agg(
         F.count("*").alias("count"), F.coalesce(F.sum(F.length(area_geometry)), F.lit(0)).alias("bytes")
     ).first()

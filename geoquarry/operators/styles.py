@@ -114,14 +114,16 @@ def stray_archives(named: DataFrame, archives: DataFrame) -> DataFrame:
     return named.select("url", "archive").subtract(archives.select("url", F.col("href").alias("archive")))
 
 
-def unique_names(rows: DataFrame, keys: list[str], name: str, position: str, reserved: str = "") -> DataFrame:
+def unique_names(rows: DataFrame, keys: list[str], name: str, position: str, reserved: str | None = None) -> DataFrame:
     """Give each row a name of its own in its group, in order: a repeat becomes ``name (2)``.
 
+    A ``reserved`` name counts as taken from the start.
+
     The first round numbers the repeats. A numbered name can meet another
     row's own name, so the later of two equal names moves on until all differ.
     """
     step = numbered(rows.withColumn("_name", F.col(name)), [*keys, "_name"], position, alias="_turn")
-    turn = F.col("_turn") + F.when(F.col("_name") == reserved, 1).otherwise(0)
+    turn = F.col("_turn") + F.when(F.col("_name") == F.lit(reserved), 1).otherwise(0)
     current = step.withColumn("_turn", turn)
     while True:
         shown = F.when(F.col("_turn") == 1, F.col("_name")).otherwise(

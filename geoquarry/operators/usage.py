@@ -18,17 +18,27 @@ def quoted(url: Column) -> Column:
     return encoded
 
 
-def _prefixes(sources: DataFrame, marker: str) -> DataFrame:
-    """Return every text that follows the marker in a source, as all its prefixes.
+def _keys(text: Column) -> list[Column]:
+    """Return two hashes that stand for a text, 128 bits in all."""
+    return [F.xxhash64(text).alias("_one"), F.xxhash64(F.lit("2"), text).alias("_two")]
 
-    A source contains ``marker + path`` exactly when the path is one of these
-    prefixes, so the test becomes an equality join.
+
+def _named_in(paths: DataFrame, sources: DataFrame, marker: str) -> DataFrame:
+    """Return the rows of ``paths`` whose ``path`` follows the marker in a source.
+
+    A source contains ``marker + path`` exactly when the path is a prefix of
+    what follows the marker, so the test becomes an equality join. Only
+    prefixes as long as some path are formed, and only their hashes move.
     """
     pieces = F.split(F.col("source"), F.lit("\\Q" + marker + "\\E"))
     after = sources.select(F.explode(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("rest"))
-    cut = F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("size")
-    filled = after.where("rest <> ''").distinct()
-    return filled.select("rest", cut).select(F.expr("left(rest, size)").alias("path")).distinct()
+    # One row: there are no more lengths than the longest path has characters.
+    lengths = paths.agg(F.sort_array(F.collect_set(F.length("path"))).alias("sizes"), F.lit(1).alias("_all"))
+    filled = after.where("rest <> ''").distinct().withColumn("_all", F.lit(1)).join(F.broadcast(lengths), "_all")
+    fitting = F.filter("sizes", lambda size: (size > 0) & (size <= F.length("rest")))
+    cut = filled.select("rest", F.explode(fitting).alias("size"))
+    prefixes = cut.select(*_keys(F.expr("left(rest, size)"))).distinct()
+    return paths.select("*", *_keys(F.col("path"))).join(prefixes, ["_one", "_two"], "left_semi").select(*paths.columns)
 
 
 def mark_used(files: DataFrame, urls: DataFrame, sources: DataFrame) -> DataFrame:
@@ -41,9 +51,8 @@ def mark_used(files: DataFrame, urls: DataFrame, sources: DataFrame) -> DataFram
     direct = urls.select(F.col("url").alias("href")).union(sources.select(F.col("source").alias("href"))).distinct()
     hits = files.select("href").distinct()
     by_href = hits.join(direct, "href", "left_semi")
-    by_path = hits.join(_prefixes(sources, PLAIN_PATH).withColumnRenamed("path", "href"), "href", "left_semi")
-    encoded = hits.withColumn("path", quoted(F.col("href")))
-    by_option = encoded.join(_prefixes(sources, OPTION_PATH), "path", "left_semi").select("href")
+    by_path = _named_in(hits.withColumn("path", F.col("href")), sources, PLAIN_PATH).select("href")
+    by_option = _named_in(hits.withColumn("path", quoted(F.col("href"))), sources, OPTION_PATH).select("href")
     used = by_href.union(by_path).union(by_option).distinct().withColumn("_by_href", F.lit(True))
     reads = urls.select(F.col("url").alias("read_url")).distinct().withColumn("_by_read", F.lit(True))
     joined = files.join(used, "href", "left").join(reads, "read_url", "left")

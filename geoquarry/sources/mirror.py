@@ -108,7 +108,10 @@ def with_bases(rows: DataFrame, mirror_url: str, items: DataFrame | None = None)
     if items is None:
         return rows.withColumn("base", F.coalesce(own, F.lit(mirror_url)))
     known = items.select("id", F.col("href").alias("_document"))
-    return rows.join(known, "id", "left").select(
+    # Rows without an id stay where they are: a join would send them all to one task.
+    named = rows.where(F.col("id").isNotNull()).join(known, "id", "left")
+    unnamed = rows.where(F.col("id").isNull()).withColumn("_document", F.lit(None).cast("string"))
+    return named.unionByName(unnamed).select(
         *rows.columns, F.coalesce(own, F.col("_document"), F.lit(mirror_url)).alias("base")
     )
 

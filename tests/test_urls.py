@@ -124,3 +124,15 @@ def test_browser_url(spark):
         ("http://h.test/c.json", "https://viewer.test/#/external/http:/h.test/c.json"),
         ("s3://b/x", None),
     ])
+
+
+def test_plain_bases_schemes_and_escapes(spark):
+    rows = [
+        ("x.json", "/d/c.json", "/d/x.json"), ("../x.json?a=1", "/d/e/c.json", "/d/x.json?a=1"), ("//h/x", "/d/c.json", "//h/x"),
+        ("HTTPS://H/x", "https://a/b", "https://H/x"), ("S3://b/k", "https://a/b", "s3://b/k"), ("y", "file:///d/c.json", "file:///d/y"),
+    ]
+    frame = spark.createDataFrame(rows, "href string, base string, want string")
+    got = frame.select(urls.join_url(F.col("href"), F.col("base")).alias("got"), "want").collect()
+    assert [row.got for row in got] == [row.want for row in got]
+    texts = spark.createDataFrame([("a%20b%zz", "a b%zz"), ("%", "%"), ("1+2%2B", "1+2+"), (None, None)], "t string, want string")
+    assert all(row[0] == row[1] for row in texts.select(urls.percent_decode(F.col("t")), "want").collect())

@@ -316,14 +316,11 @@ def f16_registry_filters(spark, folder):
     return kept.select("id", flag(F.col("id") != F.col("url")).alias("registered"))
 
 
-@query("l03_registry_order", f"WITH {REGISTRY_SQL} SELECT title, CAST(row_number() OVER (ORDER BY lower(title), pos) AS BIGINT) AS place FROM entry ORDER BY place LIMIT 75")
+@query("l03_registry_order", f"WITH {REGISTRY_SQL} SELECT id, CAST(row_number() OVER (ORDER BY lower(title), pos) AS BIGINT) AS place FROM entry")
 def l03_registry_order(spark, folder):
-    # The three first pages of the title order; a page is the feature.
-    pages = [reg.page(registry_rows(spark, folder), n).select("title").withColumn("n", F.lit(n)) for n in range(3)]
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("n", reg.casefold(F.col("title")))).cast("bigint")
-    return pages[0].union(pages[1]).union(pages[2]).select("title", place.alias("place"))
+    ensure_checkpoints(spark)
+    seated = reg.by_title(registry_rows(spark, folder)).select("id", F.monotonically_increasing_id().alias("seat")).checkpoint()
+    return numbered(seated, [], "seat", alias="place", bits=64).select("id", "place")
 
 
 @query("l06_page", f"WITH {REGISTRY_SQL} SELECT id FROM entry ORDER BY lower(title), pos LIMIT 25 OFFSET 50")

@@ -344,9 +344,7 @@ def a05_declared_types(spark, folder):
     rows = shape_rows(spark, folder).where("kind in (0, 3) or (kind = 1 and o_orderstatus = 'P')")
     # At most seven type names per group.
     types = rows.groupBy("o_orderstatus").agg(F.array_sort(F.collect_set(kind)).alias("types"))
-    multi = F.array_distinct(F.transform("types", lambda t: F.when(t.isin("Point", "LineString", "Polygon"), F.concat(F.lit("Multi"), t)).otherwise(t)))
-    family = F.when(F.size("types") == 1, F.get("types", F.lit(0))).when(F.size(multi) == 1, F.get(multi, F.lit(0))).otherwise("Unknown")
-    return types.select("o_orderstatus", family.alias("layer_type"))
+    return types.select("o_orderstatus", wkb.layer_type_of(F.col("types")).alias("layer_type"))
 
 
 @query("a09_layer_envelope", f"WITH {SHAPES_SQL} SELECT min(x) AS west, min(y) AS south, max(x + w) AS east, max(y + h) AS north, count(*) AS polygons, count(*) AS geometries FROM shapes WHERE kind = 2")
@@ -437,7 +435,7 @@ def k01_write_features(spark, folder):
 
     path = scratch_path(spark, "copy")
     data = shapes(spark, folder).within(CLIP)
-    typed = replace(data, plan=replace(data.plan, geometry_type="MultiPoint"))
+    typed = replace(data, plan=replace(data.plan, shape=data.plan.shape._replace(kind="MultiPoint")))
     written = typed.write(path, confirmed=True)
     return spark.read.parquet(path).agg(F.min("bbox.xmin").alias("west")).select(
         F.lit(written.features).cast("bigint").alias("features"), F.lit(written.refused).cast("bigint").alias("refused"), "west")
