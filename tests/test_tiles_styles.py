@@ -91,6 +91,24 @@ def test_archives_and_lookup(spark, tmp_path):
     assert rows == {0: (3, 0), 4: (1, None)}
 
 
+def test_directories_of_any_depth(spark, tmp_path):
+    # Seven levels; the last points to tiles and, wrongly, back to itself.
+    levels, at = [], 0
+    for depth in range(7):
+        rows = [(10 * depth, 1, depth, 1)] + ([(70, 0, at, 9)] if depth == 0 else [(70 - depth, 0, *levels[-1])])
+        body = pack_directory(sorted(rows))
+        levels.append((at, len(body)))
+        at += len(body)
+        levels_body = body if depth == 0 else levels_body + body
+    root = pack_directory([(0, 0, *levels[-1])])
+    base = 127
+    offsets = [base, len(root), base + len(root), 0, base + len(root), len(levels_body), base + len(root) + at, 0, 0, 0, 0]
+    head = b"PMTiles\x03" + struct.pack("<11Q", *offsets) + bytes([1, 1, 1, 1, 0, 3]) + struct.pack("<4i", 0, 0, 0, 0) + bytes(9)
+    (tmp_path / "deep.pmtiles").write_bytes(head + root + levels_body)
+    found = arc.read_entries(spark.createDataFrame([(str(tmp_path / "deep.pmtiles"),)], "archive string")).collect()
+    assert sorted(row.tile_id for row in found) == [0, 10, 20, 30, 40, 50, 60]
+
+
 def test_running_offsets(spark):
     rows = spark.createDataFrame([("a", 0, i, d, 1, m, n) for i, (d, m, n) in enumerate([(3, 1, 5), (1, 0, 9), (4, 101, 2), (1, 0, 4)])], "archive string, directory int, pos int, id_delta bigint, run_length bigint, mark bigint, length bigint")
     got = [(r.tile_id, r.offset) for r in arc.running_offsets(rows).orderBy("pos").collect()]

@@ -146,7 +146,7 @@ def empty_links(spark) -> DataFrame:
 
 @query("b02_walked_item_files", f"WITH {GRAPH_SQL}, {ASSETS_OF_ORDERS} SELECT DISTINCT f.href FROM walked w JOIN files f ON f.doc = w.href WHERE NOT w.failed AND f.inside AND f.s <> 'P'")
 def b02_walked_item_files(spark, folder):
-    return item_files.walked_files(*graph(spark, folder), order_assets(spark, folder), "root", VIEW, None).select("href")
+    return item_files.walked_files(*graph(spark, folder), order_assets(spark, folder), "root", VIEW).select("href")
 
 
 MIRROR_SQL = """idx AS (SELECT o_orderkey AS k, o_orderkey % 8 = 0 AS nobox, CAST((o_orderkey * 37) % 2880 AS DOUBLE) / 8.0 - 180.0 AS x, CAST((o_orderkey * 53) % 1360 AS DOUBLE) / 8.0 - 85.0 AS y,
@@ -460,6 +460,28 @@ def q03_target_checks(spark, folder):
     return found.groupBy("check", "detail").agg(F.count("*").alias("n"))
 
 
+@query("q03_item_read_globs", """SELECT "check", detail, CAST(ok AS BIGINT) AS ok, count(*) AS n FROM (
+  SELECT 'load parquet' AS "check", o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 AS ok,
+    CASE WHEN o_orderkey % 3 <> 0 THEN 'HTTPS cannot list ' || '{HOST}/g' || o_orderkey % 5 || '/*.parquet' WHEN o_orderkey % 4 = 0 THEN 'The footer could not be read' ELSE 'geometry=geom estimate=9' END AS detail
+  FROM orders) GROUP BY 1, 2, 3""".replace("{HOST}", HOST))
+def q03_item_read_globs(spark, folder):
+    from geoquarry.operators import catalog
+
+    key = F.col("o_orderkey")
+    glob = F.concat(F.lit(f"{HOST}/g"), key % 5, F.lit("/*.parquet"))
+    none = F.lit(None).cast("string")
+    orders = order_assets(spark, folder).join(table(spark, folder, "orders").select(F.concat(F.lit("o"), key).alias("url"), "o_orderkey"), "url")
+    globs = orders.withColumns({"href": glob, "glob": glob, "read_url": none, "format": F.lit("parquet")})
+    files = catalog.loadable(globs.drop("o_orderkey"), empty_links(spark))
+    # Every third document has items; the file of every fourth of their first items has no footer.
+    items = orders.where(key % 3 == 0).select(F.col("url").alias("document"), F.concat(F.lit("first of "), "url").alias("item_file"), "o_orderkey")
+    footers = items.where(key % 4 != 0).select(F.col("item_file").alias("url"), F.lit("geom").alias("geometry"), F.lit(9).cast("bigint").alias("rows"))
+    probes = spark.createDataFrame([], "url string, size bigint, head binary")
+    blocked = catalog.reads_items(files, items.select(F.col("document").alias("parent")))
+    found = audit.target_checks(catalog.pick_targets(files), blocked, probes, footers, within(orders), items)
+    return found.groupBy("check", "detail", flag(F.col("ok")).alias("ok")).agg(F.count("*").alias("n"))
+
+
 @query("q01_sweep", f"""WITH {GRAPH_SQL}, first AS (SELECT e.parent, min(e.pos) AS pos FROM edge e JOIN l3 ON l3.href = e.parent WHERE e.kind = 'item' AND e.parent NOT IN (SELECT href FROM bad) GROUP BY 1),
 seen AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM first JOIN orders ON o_orderkey = pos WHERE o_orderkey % 19 <> 0)
 SELECT "check", CAST(ok AS BIGINT) AS ok, count(*) AS n FROM (
@@ -475,5 +497,5 @@ def q01_sweep(spark, folder):
     footers = known.select(F.col("href").alias("url"), F.lit("geom").alias("geometry"), F.lit(9).cast("bigint").alias("rows"))
     styles = spark.createDataFrame([], "style string, body string")
     roots = spark.range(1).select(F.lit("cat").alias("catalog"), F.lit("root").alias("root"))
-    found = sweep(documents.withColumn("body", F.lit("{}")), edges, assets, empty_links(spark), roots, styles, probes, footers, None)
+    found = sweep(documents.withColumn("body", F.lit("{}")), edges, assets, empty_links(spark), roots, styles, probes, footers)
     return found.groupBy("check", flag(F.col("ok")).alias("ok")).agg(F.count("*").alias("n"))
