@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquarry.llm.common import prepared
+from geoquarry.llm.components import components
 from geoquarry.llm.text_arrays import shingle_hashes, text_blocks
 
 SHINGLE = 5
 PERMUTATIONS = 128
-BANDS = 16
+# A band is four places of a signature: a pair of similarity 0.8 shares one of them but for one in ten million.
+BANDS = 32
 SIMILARITY = 0.8
 # One bucket of neighbouring ids for so many documents, with limits on how many.
 BUCKET_ROWS = 2_000
@@ -75,6 +77,64 @@ def fingerprint(text: Column) -> Column:
     return made(text)
 
 
+def jaccard(left: Column, right: Column) -> Column:
+    """Return the Jaccard similarity of the five-word shingle sets of two texts; two empty ones have 1."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        found: list[np.ndarray] = []
+        for block in text_blocks(column):
+            block.find_words()
+            shingles, bounds = shingle_hashes(block.hashes(), block.bounds, SHINGLE)
+            found += [np.unique(shingles[bounds[at] : bounds[at + 1]]) for at in range(block.count)]
+        return found
+
+    @F.arrow_udf("double")
+    def similar(one: pa.Array, two: pa.Array) -> pa.Array:
+        values = []
+        for a, b in zip(sets(one), sets(two), strict=True):
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            union = len(a) + len(b) - common
+            values.append(common / union if union else 1.0)
+        return pa.array(values, pa.float64())
+
+    return similar(left, right)
+
+
+def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """Return ``doc_id, component_id, n_links`` of every document.
+
+    Equal texts are one. Texts that share a band of their signatures are
+    joined in Spark through the band's first text, not with each other, and
+    every such pair is verified on the whole texts. ``component_id`` is the
+    smallest ``doc_id`` that verified pairs reach, ``n_links`` the verified
+    pairs of the text. Null and empty texts are alone. An empty table gives
+    an empty one.
+    """
+    prepared(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("v"))
+    different = rows.filter("text <> ''").groupBy("v").agg(F.first("text").alias("text"))
+    width = 4 * PERMUTATIONS // BANDS
+    signed = different.select("v", fingerprint(F.col("text")).alias("signature")).checkpoint()
+    bands = F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.xxhash64(band, F.substring("signature", band * width + 1, F.lit(width)))
+    )
+    shared = signed.select("v", F.explode(bands).alias("band"))
+    leads = shared.groupBy("band").agg(F.min("v").alias("lead"), F.count("*").alias("held")).filter("held > 1").drop("held")
+    pairs = shared.join(leads, "band").filter("v <> lead").select("v", "lead").distinct().checkpoint()
+    left = pairs.join(different, "v")
+    both = left.join(different.select(F.col("v").alias("lead"), F.col("text").alias("other")), "lead")
+    links = both.filter(jaccard(F.col("text"), F.col("other")) >= similarity).select(F.col("v").alias("a"), F.col("lead").alias("b")).checkpoint()
+    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v")))
+    counts = ends.groupBy("v").agg(F.count("*").alias("n_links"))
+    placed = rows.select("doc_id", "v", (F.col("text") == "").alias("empty")).join(components(links), "v", "left").join(counts, "v", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "v"))
+    least = placed.filter("NOT empty").groupBy("component").agg(F.min("doc_id").alias("least"))
+    joined = placed.join(least, "component", "left")
+    own = F.when(F.col("empty"), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
+    return joined.select("doc_id", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     """Deal documents into ranges of ids, the largest ids in range 0; null ids come last of all."""
     totals = docs.agg(F.count("*").alias("rows")).first()

@@ -96,6 +96,26 @@ def test_fingerprints_follow_the_order_of_ids(spark):
     assert fingerprints.with_next(docs.limit(0)).collect() == []
 
 
+def test_bands_find_near_copies(spark):
+    pick = random.Random(12)
+    words = ["".join(pick.choices("abcdefg", k=5)) for _ in range(500)]
+    rows, want = [], {}
+    for group in range(25):
+        base = pick.choices(words, k=200)
+        for copy in range(pick.randint(1, 5)):
+            own = list(base)
+            if copy:
+                own[pick.randrange(200)] = "changed"
+            want[len(rows)] = min(want.get(len(rows), len(rows)), len(rows) - copy)
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900, ""), (901, None), (902, rows[0][1]), (None, rows[0][1]), (902, rows[0][1])]
+    want |= {900: 900, 901: 901, 902: 0, None: 0}
+    got = fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    assert {row["doc_id"]: row["component_id"] for row in got} == want
+    assert fingerprints.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
 def shingles(text):
     words = text.split()
     return {tuple(words[at : at + 5]) for at in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
