@@ -20,7 +20,7 @@ from geoquarry.llm.labelled import remainder
 from geoquarry.llm.queries import QUERIES
 from geoquarry.llm.text_arrays import shingle_hashes, text_blocks
 from geoquarry.llm.url_filter import url_host
-from geoquarry.llm.wrappers import aligned, expression, of_page
+from geoquarry.llm.wrappers import Sequence, aligned, expression, numbered, of_page, regions
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [" ", "\n", "\t", "'", "s", "r", "t", "ve", "m", "ll", "d", "  ", "a", "é", "ß", "中", "文", "1", "２", "!", "?*", "\xa0", "🙂", "—", "\x85", "ª", " ", "the", " of", "<|endoftext|>"]
@@ -173,6 +173,56 @@ def test_alignment_resolves_mismatches():
     assert expression(tree("<p>a<h2>b</h2><p>c<h2>d</h2>")) == "<p>(#)+ <h2>(#)+"
 
 
+def frame_of(number, inner, attributes=""):
+    return (
+        f'<html><head><title>t</title></head><body{attributes}><nav><a href="/">Home</a></nav>{inner}'
+        f"<footer>&copy; own{number}</footer></body></html>"
+    )
+
+
+def texts_of(spark, pages):
+    rows = [(number, "http://own.test/", html) for number, html in enumerate(pages)]
+    got = extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return [row["text"] for row in sorted(got, key=lambda row: row["page_id"])]
+
+
+def sentence(number, part=0):
+    pick = random.Random(f"{number} {part}")
+    return " ".join("".join(pick.choices("abcdefghij", k=6)) for _ in range(25)) + "."
+
+
+def test_places_of_the_wrapper_decide(spark):
+    # All paragraphs share one path; only their places in the wrapper tell the constant ones apart.
+    pages = [
+        frame_of(number, f"<div class=x><p>Subscribe to our letter</p><h2>{sentence(number)}</h2><p>{sentence(number, 1)}</p>"
+                 f"<p>{sentence(number, 2)}</p><ul><li>{sentence(number, 3)}</ul><p>Shared under a licence</p></div>")
+        for number in range(3)
+    ]
+    want = [" ".join(sentence(number, part) if part else sentence(number) for part in range(4)) for number in range(3)]
+    assert texts_of(spark, pages) == want
+
+
+def test_pages_match_their_wrapper():
+    pick = random.Random(4)
+
+    def tree(depth=0):
+        return "".join(
+            f"<{tag}>{tree(depth + 1) if depth < 3 else ''}{pick.choice(['', 'words'])}</{tag}>" for tag in pick.choices(["div", "ul", "section"], k=pick.randint(0, 4))
+        )
+
+    for _ in range(60):
+        roots = [blocks(tree()) for _ in range(6)]
+        nodes = of_page(roots[0][0])
+        for root, _ in roots[1:]:
+            nodes = aligned(nodes, of_page(root))
+        wrapper = Sequence(nodes)
+        places = {number: path for number, path, _, _ in regions(wrapper)}
+        assert sorted(places) == list(range(wrapper.end + 1))
+        for root, found in roots:
+            numbers = numbered(root, wrapper)
+            assert all(at in numbers and numbers[at] in places for at, _, _ in found)
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html as entities
     import re
