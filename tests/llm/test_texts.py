@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geoquarry.llm import fingerprints, quality, toxicity
 from geoquarry.llm.boosting import grow, isotonic
 from geoquarry.llm.byte_bpe import Vocabulary, bpe_digests, decoded, encode
-from geoquarry.llm.html_extraction import extracted, wrappers
+from geoquarry.llm.html_extraction import extracted, is_aside, wrappers
 from geoquarry.llm.html_pages import blocks
 from geoquarry.llm.labelled import remainder
 from geoquarry.llm.queries import QUERIES
@@ -202,6 +202,28 @@ def test_places_of_the_wrapper_decide(spark):
     assert texts_of(spark, pages) == want
 
 
+@pytest.mark.parametrize(("before", "after"), [
+    ('<html><head><title>t</title></head><body class="has-sidebar search"><div class="content no-sidebar">', "</div>"),
+    ('<html><head><title>t</title></head><body><article class="post comments-open ad-free">', "</article>"),
+    ('<html><head><title>t</title></head><body><article class="post related">', "</article>"),
+    ('<html><head><title>t</title></head><body><main class="search">', "</main>"),
+    ('<html><head><title>t</title></head><body><form id="aspnetForm"><div>', "</div></form>"),
+    ('<html><head><title>t</title></head><body><div class="widget"><div class="post">', "</div></div>"),
+    ("<html><head><title>t</title><meta charset=utf-8><body><article>", "</article>"),
+    ("<title>t</title><div>", "</div>"),
+    ("<html><head><title>t</title><body><select><option>No</select><button>Menu<div></div></button><div><button>Open</div><div>", "</div>"),
+])
+def test_names_of_the_whole_page_are_no_asides(spark, before, after):
+    pages = [f"{before}<p>{sentence(number)}</p><p>{sentence(number, 1)}</p>{after}" for number in range(4)]
+    assert texts_of(spark, pages) == [f"{sentence(number)} {sentence(number, 1)}" for number in range(4)]
+
+
+def test_whole_words_name_an_aside():
+    assert is_aside(">html>body>div.sidebar") and is_aside(">html>body>div>form") and is_aside(">html>head")
+    assert not is_aside(">html>body.sidebar>div.no-sidebar>article.comment>header")
+    assert not is_aside(">body>form>div.widget", frozenset([2, 3])) and is_aside(">body>div.comments", frozenset([2]))
+
+
 def test_pages_match_their_wrapper():
     pick = random.Random(4)
 
