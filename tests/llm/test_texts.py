@@ -202,6 +202,24 @@ def test_places_of_the_wrapper_decide(spark):
     assert texts_of(spark, pages) == want
 
 
+@pytest.mark.parametrize("count", [1, 2, 4, 5, 12])
+def test_copies_of_one_article_stay(spark, count):
+    article = f"<article><h1>Title</h1><p>Short text.</p><p>{sentence(0)}</p><ul><li>One<li>Two</ul><p>End.</p></article>"
+    want = f"Title Short text. {sentence(0)} One Two End."
+    assert texts_of(spark, [frame_of(number % 7, article) for number in range(count)]) == [want] * count
+    # One paragraph and the date differ.
+    pages = [frame_of(number, article.replace("One<", f"One {number}<").replace("Short", f"Day {number}")) for number in range(count)]
+    assert texts_of(spark, pages) == [want.replace("One", f"One {number}").replace("Short", f"Day {number}") for number in range(count)]
+
+
+def test_fixed_texts_between_others_stay(spark):
+    pages = [
+        frame_of(number, f"<article><h1>{sentence(number)}</h1><div class=byline>By Jane</div><p>{sentence(number, 1)}</p><h2>Results</h2>"
+                 f"<p>{sentence(number, 2)}</p><div>Share this page</div></article>") for number in range(6)
+    ]
+    assert texts_of(spark, pages) == [f"{sentence(number)} By Jane {sentence(number, 1)} Results {sentence(number, 2)}" for number in range(6)]
+
+
 @pytest.mark.parametrize(("before", "after"), [
     ('<html><head><title>t</title></head><body class="has-sidebar search"><div class="content no-sidebar">', "</div>"),
     ('<html><head><title>t</title></head><body><article class="post comments-open ad-free">', "</article>"),
