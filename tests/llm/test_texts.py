@@ -202,6 +202,23 @@ def test_places_of_the_wrapper_decide(spark):
     assert texts_of(spark, pages) == want
 
 
+@pytest.mark.parametrize("around", ["article", "div class=post-body", "main", "td"])
+def test_short_and_linked_blocks_of_the_article_stay(spark, around):
+    def article(number):
+        return (
+            f"<h1>{sentence(number)}</h1><p>{sentence(number, 1)}</p><h2>Results</h2><p>Yes.</p><table><tr><td>{number}<td>b</table>"
+            f"<p>{sentence(number, 2)}</p><ul class=refs><li><a href=/1>Paper {number}</a><li><a href=/2>Book {number}</a></ul>"
+        )
+
+    outer = ("<table><tr>", "</table>") if around == "td" else ("", "")
+    menu = "<ul class=top><li><a href=/a>Start</a><li><a href=/b>Contact</a></ul>"
+    pages = [frame_of(number, f"{menu}{outer[0]}<{around}>{article(number)}</{around.split()[0]}>{outer[1]}<div class=end>All rights reserved by us</div>") for number in range(5)]
+    want = [
+        f"{sentence(number)} {sentence(number, 1)} Results Yes. {number} b {sentence(number, 2)} Paper {number} Book {number}" for number in range(5)
+    ]
+    assert texts_of(spark, pages) == want
+
+
 @pytest.mark.parametrize("count", [1, 2, 4, 5, 12])
 def test_copies_of_one_article_stay(spark, count):
     article = f"<article><h1>Title</h1><p>Short text.</p><p>{sentence(0)}</p><ul><li>One<li>Two</ul><p>End.</p></article>"
