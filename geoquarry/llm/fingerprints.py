@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquarry.llm.common import prepared
 from geoquarry.llm.components import components
+from geoquarry.llm.sketches import bitmap, marked
 from geoquarry.llm.text_arrays import shingle_hashes, text_blocks
 
 SHINGLE = 5
@@ -19,6 +21,8 @@ PERMUTATIONS = 128
 # A band is four places of a signature: a pair of similarity 0.8 shares one of them but for one in ten million.
 BANDS = 32
 SIMILARITY = 0.8
+# So often a bucket's outsiders are compared with the first of them before all that is left is paired.
+STARS = 2
 # One bucket of neighbouring ids for so many documents, with limits on how many.
 BUCKET_ROWS = 2_000
 MOST_BUCKETS = 100_000
@@ -101,42 +105,86 @@ def jaccard(left: Column, right: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """Return ``doc_id, component_id, n_links`` of every document.
+    """Return ``doc_id, component_id`` of every document.
 
     Equal texts are one. Texts that share a band of their signatures are
-    joined in Spark through the band's first text, not with each other, and
-    every such pair is verified on the whole texts. ``component_id`` is the
-    smallest ``doc_id`` that verified pairs reach, ``n_links`` the verified
-    pairs of the text. Null and empty texts are alone. An empty table gives
-    an empty one.
+    joined in Spark, and every link is verified on the whole texts.
+    ``component_id`` is the smallest ``doc_id`` that links reach. Null and
+    empty texts are alone. An empty table gives an empty one.
     """
     prepared(docs)
+    return _grouped(docs, similarity).select("doc_id", "component_id")
+
+
+def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
+    """Return ``doc_id, v, component_id`` of every document; ``v`` names its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("v"))
-    different = rows.filter("text <> ''").groupBy("v").agg(F.first("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("v"), text.alias("text"))
+    found = _linked(rows.filter("text <> ''").select("v", "text"), similarity)
+    placed = rows.select("doc_id", "v", (F.col("text") == "").alias("empty")).join(found, "v", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "v"))
+    least = placed.filter("NOT empty").groupBy("component").agg(F.min("doc_id").alias("least"))
+    own = F.when(F.col("empty"), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
+    return placed.join(least, "component", "left").select("doc_id", "v", own.alias("component_id"))
+
+
+def _linked(texts: DataFrame, similarity: float) -> DataFrame:
+    """Return ``v, component`` of the texts that share a band with another one.
+
+    A bucket's texts are compared with its first text, then those outside of
+    its component with the first of them. That joins copies without pairing
+    them with each other. In the end all texts of a bucket that are still in
+    different components are paired, so no link of two components is lost.
+    """
     width = 4 * PERMUTATIONS // BANDS
-    signed = different.select("v", fingerprint(F.col("text")).alias("signature")).checkpoint()
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.xxhash64(band, F.substring("signature", band * width + 1, F.lit(width)))
     )
-    shared = signed.select("v", F.explode(bands).alias("band"))
-    leads = shared.groupBy("band").agg(F.min("v").alias("lead"), F.count("*").alias("held")).filter("held > 1").drop("held")
-    pairs = shared.join(leads, "band").filter("v <> lead").select("v", "lead").distinct().checkpoint()
-    left = pairs.join(different, "v")
-    both = left.join(different.select(F.col("v").alias("lead"), F.col("text").alias("other")), "lead")
-    links = both.filter(jaccard(F.col("text"), F.col("other")) >= similarity).select(F.col("v").alias("a"), F.col("lead").alias("b")).checkpoint()
-    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v")))
-    counts = ends.groupBy("v").agg(F.count("*").alias("n_links"))
-    placed = rows.select("doc_id", "v", (F.col("text") == "").alias("empty")).join(components(links), "v", "left").join(counts, "v", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "v"))
-    least = placed.filter("NOT empty").groupBy("component").agg(F.min("doc_id").alias("least"))
-    joined = placed.join(least, "component", "left")
-    own = F.when(F.col("empty"), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
-    return joined.select("doc_id", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = texts.select("v", fingerprint(F.col("text")).alias("signature")).select("v", bands.alias("bands")).dropDuplicates(["v"]).checkpoint()
+    shared = named.select("v", F.explode("bands").alias("band"))
+    crowds = shared.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1").select("band")
+    shared = shared.join(crowds, "band").checkpoint()
+    found = shared.select("v").distinct().withColumn("component", F.col("v")).checkpoint()
+    links = tried = None
+    left = shared
+    for turn in range(STARS + 1):
+        placed = (left if turn < STARS else shared).join(found, "v").select("band", "v", "component").checkpoint()
+        leads = placed.groupBy("band").agg(F.min(F.struct("component", "v")).alias("lead"))
+        leads = leads.select("band", F.col("lead.v").alias("w"), F.col("lead.component").alias("its"))
+        outside = placed.join(leads, "band").filter("component <> its")
+        if turn == STARS:
+            others = placed.select("band", F.col("v").alias("w"), F.col("component").alias("its"))
+            outside = outside.drop("w", "its").join(others, "band").filter("component <> its")
+        pairs = outside.select(F.greatest("v", "w").alias("v"), F.least("v", "w").alias("w")).distinct()
+        pairs = (pairs if tried is None else pairs.join(tried, ["v", "w"], "left_anti")).checkpoint()
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = _verified(pairs, texts, similarity).checkpoint()
+        links = new if links is None else links.unionByName(new)
+        reached = components(links)
+        found = found.select("v").join(reached, "v", "left").select("v", F.coalesce("component", "v").alias("component")).checkpoint()
+        if turn < STARS:
+            now = found.select(F.col("v").alias("w"), F.col("component").alias("its"))
+            left = outside.select("band", "v", "w").join(found, "v").join(now, "w").filter("component <> its").select("band", "v").checkpoint()
+    return found
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Return the pairs ``v, w`` as ``a, b`` whose whole texts are alike; only texts of pairs are moved."""
+    names = pairs.select("v").unionByName(pairs.select(F.col("w").alias("v"))).distinct().checkpoint()
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(names).tobytes())  # 8 MB, fixed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_ = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(marked(map_, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    whole = texts.mapInArrow(run, "v bigint, text string").join(names, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")).checkpoint()
+    both = pairs.join(whole, "v").join(whole.select(F.col("v").alias("w"), F.col("text").alias("other")), "w")
+    return both.filter(jaccard(F.col("text"), F.col("other")) >= similarity).select(F.col("v").alias("a"), F.col("w").alias("b"))
 
 
-def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Deal documents into ranges of ids, the largest ids in range 0; null ids come last of all."""
+def _bucketed(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Return what deals documents into ranges of ids, the largest ids in range 0; null ids come last of all."""
     totals = docs.agg(F.count("*").alias("rows")).first()
     wanted = int(min(max(totals["rows"] // BUCKET_ROWS, 1), MOST_BUCKETS))
     shares = [step / wanted for step in range(1, wanted)]
@@ -153,14 +201,15 @@ def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
         place[np.asarray(ids.is_null())] = len(marks)
         return pa.array(place.astype(np.int32))
 
-    return docs.withColumn("_range", range_of("doc_id")), len(marks) + 1
+    return lambda rows: rows.withColumn("_range", range_of("doc_id"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Compare each document with its neighbour in falling order of ids, and with a copy edited from it.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next``. The neighbour of the last
+    edited_fingerprint, near_edited, near_next, component_id``; the last is
+    that of ``near_duplicates``. The neighbour of the last
     is the first; null ids come last, and rows of equal id are ordered by
     their text. Null texts count as empty: they have no characters, the
     fingerprint of no shingles, and a likeness of 1 with each other. An
@@ -168,7 +217,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     prepared(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt, count = _bucketed(rows)
+    range_ = _bucketed(rows)
+    dealt = range_(rows)
     digest = F.xxhash64("text")
     # The first document of every range: one id and digest per range.
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("doc_id").isNotNull().alias("named"), digest.alias("digest"))
@@ -186,19 +236,30 @@ def with_next(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text", F.col("_before").alias("_range"), F.lit(1).alias("_peek"))
     )
     together = dealt.withColumn("_peek", F.lit(0)).select("doc_id", "text", "_range", "_peek").unionByName(peeks)
-    sorted_ = together.repartition("_range").sortWithinPartitions("_range", "_peek", F.desc_nulls_last("doc_id"), F.desc(digest))
+    together = together.withColumn("_v", digest).withColumn("_component", F.lit(None).cast("bigint"))
+    # Components other than the document itself go to its range, ahead of the texts.
+    groups = _grouped(docs, SIMILARITY).filter("NOT doc_id <=> component_id").distinct()
+    ahead = range_(groups).select("doc_id", F.lit("").alias("text"), "_range", F.lit(-1).alias("_peek"), F.col("v").alias("_v"), F.col("component_id").alias("_component"))
+    together = together.unionByName(ahead)
+    sorted_ = together.repartition("_range").sortWithinPartitions("_range", "_peek", F.desc_nulls_last("doc_id"), F.desc("_v"))
     fields = (
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double"
+        "near_edited double, near_next double, component_id bigint"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        groups: dict[int, dict[tuple, int]] = {}  # of the ranges that are not done
         for batch in batches:
-            for piece in _pieces(batch):
+            first = pc.equal(batch.column(3), -1)
+            for range_number, id_, name, component in zip(*(batch.filter(first).column(at).to_pylist() for at in (2, 0, 4, 5)), strict=True):
+                groups.setdefault(range_number, {})[id_, name] = component
+            for piece in _pieces(batch.filter(pc.invert(first))):
                 joined = piece if held is None else pa.concat_tables([held, piece]).combine_chunks()
                 held = joined.slice(joined.num_rows - 1)
-                made = _neighbours(joined)
+                made = _neighbours(joined, groups)
+                done = held.column("_range")[0].as_py()
+                groups = {number: own for number, own in groups.items() if number >= done}
                 if made is not None:
                     yield made
 
@@ -211,13 +272,14 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.Table]:
         yield pa.Table.from_batches([batch.slice(block.first, block.count)])
 
 
-def _neighbours(rows: pa.Table) -> pa.RecordBatch | None:
+def _neighbours(rows: pa.Table, groups: dict[int, dict[tuple, int]]) -> pa.RecordBatch | None:
     """Return the results of all rows but the last, whose neighbour is not here yet."""
     texts = rows.column("text").to_pylist()
     peek = rows.column("_peek").to_numpy()
     mine = np.flatnonzero(peek[:-1] == 0)
     if not len(mine):
         return None
+    ids, ranges, names = (rows.column(name).to_pylist() for name in ("doc_id", "_range", "_v"))
     edited = []
     for at in mine:
         text, half = texts[at], len(texts[at]) // 2
@@ -233,6 +295,7 @@ def _neighbours(rows: pa.Table) -> pa.RecordBatch | None:
             pa.array(_hex(other)),
             pa.array((plain[mine] == other).mean(axis=1)),
             pa.array((plain[mine] == plain[mine + 1]).mean(axis=1)),
+            pa.array([groups.get(ranges[at], {}).get((ids[at], names[at]), ids[at]) for at in mine], pa.int64()),
         ],
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"],
     )

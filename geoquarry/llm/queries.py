@@ -161,7 +161,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_fingerprints")
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    """Fingerprint every document and an edited copy, and compare it with its neighbour."""
+    """Fingerprint every document and an edited copy, compare it with its neighbour, and find its near copies."""
     from geoquarry.llm.fingerprints import with_next
 
     return with_next(table(spark, folder, "documents"))

@@ -116,6 +116,27 @@ def test_bands_find_near_copies(spark):
     assert fingerprints.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def test_near_copies_on_one_template_meet(spark):
+    # Documents at about 0.75 to each other, so buckets are led by others; each has one near copy.
+    pick = random.Random(21)
+    words = ["".join(pick.choices("abcdefghij", k=6)) for _ in range(5000)]
+    frame, rows = pick.choices(words, k=170), []
+    for number in range(60):
+        own = [*frame, *pick.choices(words, k=28)]
+        rows += [(2 * number, " ".join(own)), (2 * number + 1, " ".join([*own[:-9], *pick.choices(words, k=9)]))]
+    pick.shuffle(rows)
+    sets = {id_: shingles(text) for id_, text in rows}
+    near = {id_: id_ for id_ in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and near[a] != near[b]:
+                low, high = sorted((near[a], near[b]))
+                near = {id_: low if value == high else value for id_, value in near.items()}
+    assert len(set(near.values())) == 60
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {row["doc_id"]: row["component_id"] for row in got} == near
+
+
 def shingles(text):
     words = text.split()
     return {tuple(words[at : at + 5]) for at in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
