@@ -213,3 +213,71 @@ def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     from geoquarry.llm.html_extraction import extracted
 
     return extracted(table(spark, folder, "pages"))
+
+
+@query("op11_secret_scan")
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Find secrets in every document, by patterns and by formats learned from what the patterns find."""
+    from geoquarry.llm.secret_scan import KINDS, learn_formats, secret_spans
+
+    docs = table(spark, folder, "documents")
+    base = F.filter("secrets", lambda span: span["kind"].isin(KINDS))
+
+    def of(kind: str) -> F.Column:
+        return F.size(F.filter("secrets", lambda span: span["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def joined(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda span: F.concat_ws(":", span["kind"], span["start"], span["end"])), ",")
+
+    return secret_spans(docs, learn_formats(docs)).select(
+        "doc_id",
+        *(of(kind) for kind in KINDS),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whiten all vectors and return their first four components."""
+    from geoquarry.llm.whitening import whitened
+
+    return whitened(table(spark, folder, "embeddings"))
+
+
+TRIE_SQL = r"""
+WITH c AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (
+  SELECT c, max(pos) AS turns, c - c % 5 AS head,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda crc, b: list_reduce([xor(crc, b), 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT],
+               lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 9 AS h
+  FROM c GROUP BY c),
+built AS (
+  SELECT n.c, 1 AS part, c.pos, c.role, c.text FROM n JOIN c ON c.c = n.head WHERE c.pos <= n.h
+  UNION ALL SELECT n.c, 2, c.pos, c.role, c.text FROM n JOIN c ON c.c = n.c WHERE c.pos > n.h),
+deep AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, role, text FROM built),
+lists AS (SELECT n.c, coalesce(list({'r': role, 't': text} ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS turns FROM n LEFT JOIN deep USING (c) GROUP BY n.c),
+paths AS (SELECT c, len(turns) AS whole, d, md5(d || ':' || list_slice(turns, 1, d)::VARCHAR) AS k, md5((d - 1) || ':' || list_slice(turns, 1, d - 1)::VARCHAR) AS up,
+                 CASE WHEN d > 0 THEN strlen(turns[d].t) ELSE 0 END AS size
+          FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM lists)),
+nodes AS (SELECT k, d, min(c) AS conv_id, max(up) AS up, count(*) AS n_convs, max(size) AS size,
+                 sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE whole = d), '')) AS ends_sha256 FROM paths GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+facts AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+below AS (SELECT a.k, sum((f.n_convs - 1) * f.size) AS saved, count(*) FILTER (WHERE f.n_children = 0) AS leaves
+          FROM facts f JOIN paths p ON p.k = f.k AND p.c = f.conv_id JOIN paths a ON a.c = p.c AND a.d <= p.d GROUP BY a.k)
+SELECT f.conv_id, f.d::BIGINT AS depth, CASE WHEN f.d > 0 THEN o.conv_id END AS parent_conv_id, f.n_convs::BIGINT AS n_convs,
+       f.n_children::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM facts f JOIN below USING (k) LEFT JOIN nodes o ON o.k = f.up"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Rebuild all conversations and describe every distinct prefix of them."""
+    from geoquarry.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, folder, "conversations"))
