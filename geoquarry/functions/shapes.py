@@ -343,7 +343,7 @@ def _segments_meet(segments: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return meets
 
 
-def _segments_of(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments_of(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Return the segments of lines and rings, with the part of each, and their polygon."""
     part = flat.part_of
     joined = (part[1:] == part[:-1]) & (flat.part_kind[part[1:]] != POINT)
@@ -372,7 +372,7 @@ def intersects(flat: Flat, area: Polygons) -> np.ndarray:
     if not undecided.any():
         return result
     flat = flat.rows_only(undecided)
-    segments, part, polygon = _segments_of(flat)
+    segments, part, polygon = segments_of(flat)
     low, high = np.minimum(segments[:, :2], segments[:, 2:]), np.maximum(segments[:, :2], segments[:, 2:])
     close = (low[:, 0] <= east) & (high[:, 0] >= west) & (low[:, 1] <= north) & (high[:, 1] >= south)
     met = _segments_meet(segments[close], area.edges)

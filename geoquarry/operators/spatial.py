@@ -1,9 +1,11 @@
 """Features that touch any polygon of a layer: an exact spatial semi join.
 
 A small layer travels to the features inside the task closure, so nothing is
-shuffled. A layer beyond the checked size is cut into grid cells and joined by
-cell: cells that lie inside a polygon settle their features at once, only
-features in cells on a boundary meet the polygons of that cell.
+shuffled. A layer beyond the checked size is cut into cells of a quadtree, each
+polygon at its own size: cells that lie inside a polygon settle their features
+at once, other cells keep the few edges that come near them. Features meet the
+pieces of their cells by box; points are settled there, and the geometry of the
+rest is fetched once.
 """
 
 from __future__ import annotations
@@ -12,20 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoquarry.functions import shapes
+from geoquarry.functions import pieces, shapes
 from geoquarry.functions.wkb import envelope, geometry_type
+from geoquarry.session import scratch_path
 
 # A layer up to this many bytes and polygons is sent along with the tasks.
 CARRIED_BYTES = 8 * 1024 * 1024
 CARRIED_POLYGONS = 2_000
-CELL = 1.0
-# Salts of the cells that hold many features.
-SALTS = 16
-HOT_ROWS = 100_000
+CELL_KEY = ["e", "ix", "iy", "up"]
+# Polygons that are cut at once.
+CUT_ROWS = 256
+# Features, and pieces, of one cell that one task joins.
+BLOCK_ROWS = 20_000
+# Relative step between neighbouring floats.
+FLOAT_STEP = 2.0**-23
 
 
 def layer_envelope(areas: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -98,127 +104,163 @@ def _carried(
     return features.where(F.col(geometry).isNotNull() & near).where(touches_any(F.col(geometry)))
 
 
-def _cells(box: str, cell: float):
-    """Return the cell numbers a box touches, as an array of (x, y)."""
-    low_x, high_x = F.floor(F.col(f"{box}.xmin") / cell), F.floor(F.col(f"{box}.xmax") / cell)
-    low_y, high_y = F.floor(F.col(f"{box}.ymin") / cell), F.floor(F.col(f"{box}.ymax") / cell)
-    return F.flatten(
-        F.transform(
-            F.sequence(low_x, high_x),
-            lambda x: F.transform(
-                F.sequence(low_y, high_y), lambda y: F.struct(x.alias("cx"), y.alias("cy"))
-            ),
-        )
+def area_pieces(areas: DataFrame, area_geometry: str = "geometry") -> DataFrame:
+    """Cut polygons into cells of a quadtree (``functions/pieces``); equal polygons are cut once."""
+    distinct = areas.select(F.col(area_geometry).alias("area")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, CUT_ROWS):
+                yield from pieces.cut(batch.column(0).slice(start, CUT_ROWS))
+
+    cut = distinct.mapInArrow(run, pieces.PIECE_FIELDS)
+    # One swallowing polygon is enough for a cell.
+    whole = cut.where("inside").groupBy("e", "ix", "iy", "inside").agg(
+        *(edge(name).alias(name) for name, edge in (("px0", F.min), ("py0", F.min), ("px1", F.max), ("py1", F.max))),
+        F.lit(None).cast("binary").alias("body"),
     )
+    return cut.where("not inside").unionByName(whole)
+
+
+def _exact_box(features: DataFrame, covering: str) -> list[Column]:
+    """Return the box as doubles; one of floats is widened, as it may have been rounded."""
+    box = features.schema[covering].dataType
+    found = []
+    for name, away in (("xmin", -1.0), ("ymin", -1.0), ("xmax", 1.0), ("ymax", 1.0)):
+        value = F.col(covering)[name].cast("double")
+        if not isinstance(box[name].dataType, T.DoubleType):
+            value = value + away * F.abs(value) * FLOAT_STEP
+        found.append(value.alias({"xmin": "x0", "ymin": "y0", "xmax": "x1", "ymax": "y1"}[name]))
+    return found
+
+
+def _numbers(low: Column, high: Column, side: Column) -> Column:
+    return F.sequence(F.floor(low / side), F.floor(high / side))
 
 
-def area_cells(areas: DataFrame, area_geometry: str, cell: float = CELL) -> DataFrame:
-    """Cut polygons into cells: ``(cx, cy, inside, area)``; ``area`` is NULL for a cell inside.
+def _feature_cells(levels: list[int], own: Column) -> Column:
+    """Return the cells that a box touches: of its own level, and of each coarser level that pieces have.
 
-    Only the first polygon that swallows a cell is kept for it: one is enough.
+    ``up`` marks a cell that looks for pieces below itself; others look for pieces of just that cell.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                area = shapes.polygons_of_wkb(value)
-                west, south, east, north = area.box
-                ys = np.arange(np.floor(south / cell), np.floor(north / cell) + 1)
-                for x in np.arange(np.floor(west / cell), np.floor(east / cell) + 1):
-                    touched, inside = _against(area, x, ys, cell)
-                    size = int(touched.sum())
-                    if size:
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(size, x, np.int64)),
-                                pa.array(ys[touched].astype(np.int64)),
-                                pa.array(inside[touched]),
-                                pa.array([None if full else value for full in inside[touched]], pa.binary()),
-                            ],
-                            names=["cx", "cy", "inside", "area"],
-                        )
-
-    return areas.select(area_geometry).mapInArrow(cut, "cx bigint, cy bigint, inside boolean, area binary")
-
-
-def _against(area: shapes.Polygons, x: float, ys: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray]:
-    """Return which cells of one column the area touches, and which lie inside it."""
-    left, right = x * cell, (x + 1) * cell
-    edges = area.edges
-    column = (np.minimum(edges[:, 0], edges[:, 2]) <= right) & (np.maximum(edges[:, 0], edges[:, 2]) >= left)
-    low = np.minimum(edges[column, 1], edges[column, 3])[None, :]
-    high = np.maximum(edges[column, 1], edges[column, 3])[None, :]
-    bottom, top = (ys * cell)[:, None], ((ys + 1) * cell)[:, None]
-    # A cell near any edge counts as a boundary cell; that is on the safe side.
-    boundary = ((low <= top) & (high >= bottom)).any(axis=1) if column.any() else np.zeros(len(ys), bool)
-    middle = shapes.points_in(np.full(len(ys), (left + right) / 2), (ys + 0.5) * cell, area)
-    inside = ~boundary & middle
-    return boundary | inside, inside
+    def cells(level: Column, up: bool) -> Column:
+        side = F.pow(F.lit(2.0), level)
+        columns, lines = _numbers(F.col("x0"), F.col("x1"), side), _numbers(F.col("y0"), F.col("y1"), side)
+        return F.flatten(F.transform(columns, lambda x: F.transform(lines, lambda y: F.struct(
+            level.cast("int").alias("e"), x.alias("ix"), y.alias("iy"), F.lit(up).alias("up")
+        ))))
+
+    known = F.filter(F.array(*(F.lit(level) for level in levels)), lambda level: level >= own)
+    exact = F.flatten(F.transform(known, lambda level: cells(level, False)))
+    return F.when(own > levels[0], F.concat(exact, cells(own, True))).otherwise(exact)
+
+
+def _own_level(levels: list[int]) -> Column:
+    """Return the level of a box: its cells are about as wide as it is, and no finer than the finest pieces."""
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    wide = F.ceil(F.ceil(F.log2(extent)) / pieces.STEP) * pieces.STEP
+    return F.greatest(F.coalesce(wide, F.lit(levels[0])), F.lit(levels[0])).cast("int")
 
 
 def _by_cells(
     features: DataFrame, areas: DataFrame, key: str, geometry: str, covering: str, area_geometry: str
 ) -> DataFrame:
-    """Join features and polygons by grid cell; hot cells are salted."""
-    pieces = area_cells(areas, area_geometry)
-    inside = pieces.where("inside").select("cx", "cy").distinct().withColumn("swallowed", F.lit(True))
-    edges = pieces.where("not inside").join(inside, ["cx", "cy"], "left_anti").select("cx", "cy", "area")
-
-    filled = features.where(F.col(geometry).isNotNull() & F.col(covering).isNotNull())
-    placed = filled.select(key, geometry, F.explode(_cells(covering, CELL)).alias("_cell")).select(
-        key, geometry, F.col("_cell.cx").alias("cx"), F.col("_cell.cy").alias("cy")
-    )
-    # A feature cell inside a polygon settles the feature only when the shape
-    # itself reaches that cell; a box may not. One cell holds the whole shape
-    # exactly when the box has one cell.
-    single = F.size(_cells(covering, CELL)) == 1
-    settled = (
-        filled.where(single)
-        .select(key, F.floor(F.col(f"{covering}.xmin") / CELL).alias("cx"), F.floor(F.col(f"{covering}.ymin") / CELL).alias("cy"))
-        .join(inside, ["cx", "cy"], "left_semi")
-        .select(key)
-    )
-    wide = placed.join(filled.where(~single).select(key), key, "left_semi")
-    near = placed.join(edges.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
-    # A feature over several cells may reach a swallowed cell: test it against the cell's square.
-    reach = wide.join(inside, ["cx", "cy"]).where(_square_test()(F.col(geometry), F.col("cx"), F.col("cy"))).select(key)
-
-    hot = near.groupBy("cx", "cy").agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS)
-    salted_areas = edges.join(hot, ["cx", "cy"], "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_rows").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Join features and pieces of polygons by cell; geometry moves only for features that boxes do not settle.
+
+    Features are read four times: the levels of their boxes, their cells,
+    the geometry of open ones, and the result.
+    """
+    spark = features.sparkSession
+    path = scratch_path(spark, "pieces")
+    area_pieces(areas, area_geometry).write.parquet(path)
+    cut = spark.read.parquet(path)
+    # A handful of numbers: exponents of cell sides.
+    levels = sorted(row["e"] for row in cut.select("e").distinct().collect())
+    if not levels:
+        return features.limit(0)
+    boxed = features.where(F.col(geometry).isNotNull() & F.col(covering).isNotNull()).select(F.col(key).alias("_id"), *_exact_box(features, covering))
+    boxed = boxed.where("x0 <= x1 AND y0 <= y1")
+    placed = boxed.withColumn("_own", _own_level(levels))
+    coarser = sorted(row["_own"] for row in placed.select("_own").distinct().collect() if row["_own"] > levels[0])
+    above = [
+        cut.where(F.col("e") < level).select(
+            F.lit(level).alias("e"), *(F.floor(F.col(axis) / F.pow(F.lit(2.0), level - F.col("e"))).alias(axis) for axis in ("ix", "iy")),
+            F.lit(True).alias("up"), F.struct("e", "ix", "iy").alias("cell"), "inside", "px0", "py0", "px1", "py1", "body",
+        )
+        for level in coarser
+    ]
+    found = cut.select("e", "ix", "iy", F.lit(False).alias("up"), F.struct("e", "ix", "iy").alias("cell"), "inside", "px0", "py0", "px1", "py1", "body")
+    for rows in above:
+        found = found.unionByName(rows)
+    cells = placed.select("_id", "x0", "y0", "x1", "y1", F.explode(_feature_cells(levels, F.col("_own"))).alias("_c"))
+    cells = cells.select("_id", "x0", "y0", "x1", "y1", *(F.col(f"_c.{name}").alias(name) for name in CELL_KEY))
+    met = _met(cells, found, path)
+
+    held = (F.col("x0") >= F.col("px0")) & (F.col("x1") <= F.col("px1")) & (F.col("y0") >= F.col("py0")) & (F.col("y1") <= F.col("py1"))
+    point = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
+    by_point = _point_test()(F.col("x0"), F.col("y0"), F.when(point, F.col("body")))
+    judged = met.withColumn("_hit", F.when(F.col("inside") & held, F.lit(True)).otherwise(by_point)).where("_hit IS NULL OR _hit")
+    settled = F.coalesce("_hit", F.lit(False))
+    judged = judged.select("_id", settled.alias("_hit"), F.when(~settled, F.col("cell")).alias("cell"), F.when(~settled, F.col("body")).alias("body"))
+    path = scratch_path(spark, "met")
+    judged.write.parquet(path)
+    judged = spark.read.parquet(path)
+    hits = judged.where("_hit").select("_id")
+    left = judged.where("NOT _hit")
+    if not left.isEmpty():
+        whole = features.where(F.col(geometry).isNotNull()).select(F.col(key).alias("_id"), F.col(geometry).alias("_shape"))
+        tested = left.join(whole, "_id").where(_piece_test()(F.col("_shape"), F.col("cell.e"), F.col("cell.ix"), F.col("cell.iy"), F.col("body")))
+        hits = hits.unionByName(tested.select("_id"))
+    return features.join(hits.distinct().withColumnRenamed("_id", key), key, "left_semi")
+
+
+def _met(cells: DataFrame, found: DataFrame, path: str) -> DataFrame:
+    """Return features with the pieces of their cells whose boxes meet theirs.
+
+    Few pieces go along with the tasks. Otherwise cells in which many
+    features would meet many pieces are dealt in blocks of both.
+    """
+    near = (F.col("x0") <= F.col("px1")) & (F.col("x1") >= F.col("px0")) & (F.col("y0") <= F.col("py1")) & (F.col("y1") >= F.col("py0"))
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] + 100 * size["n"] <= CARRIED_BYTES:
+        return cells.join(F.broadcast(found), CELL_KEY).where(near)
+    stored = scratch_path(cells.sparkSession, "cells")
+    cells.join(found.select(*CELL_KEY).distinct(), CELL_KEY, "left_semi").write.parquet(stored)
+    cells = cells.sparkSession.read.parquet(stored)
+    counts = cells.groupBy(*CELL_KEY).agg(F.count("*").alias("_features")).join(
+        found.groupBy(*CELL_KEY).agg(F.count("*").alias("_pieces")), CELL_KEY
     )
-    salted = near.join(hot, ["cx", "cy"], "left").withColumn(
-        "_salt", F.when(F.col("_rows").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.lit(SALTS))).cast("int")
+    blocks = counts.where((F.col("_features") > BLOCK_ROWS) | (F.col("_pieces") > BLOCK_ROWS)).select(
+        *CELL_KEY, *(F.ceil(F.col(name) / BLOCK_ROWS).cast("int").alias(name) for name in ("_features", "_pieces"))
     )
-    met = salted.drop("_rows").join(salted_areas.drop("_rows"), ["cx", "cy", "_salt"])
-    exact = met.where(_pair_test()(F.col(geometry), F.col("area"))).select(key)
-    keys = settled.unionByName(reach).unionByName(exact).distinct()
-    return features.join(keys, key, "left_semi")
+    one, two = (side.join(blocks, CELL_KEY, "left").fillna(1, ["_features", "_pieces"]) for side in (cells, found))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    one = one.withColumn("_i", F.pmod(F.xxhash64("_id"), F.col("_features")).cast("int")).withColumn("_j", every("_pieces"))
+    two = two.withColumn("_j", F.pmod(F.xxhash64("body", "px0", "py0"), F.col("_pieces")).cast("int")).withColumn("_i", every("_features"))
+    extra = ["_features", "_pieces"]
+    return one.drop(*extra).join(two.drop(*extra), [*CELL_KEY, "_i", "_j"]).where(near)
 
 
-def _pair_test():
+def _point_test():
     @F.arrow_udf(T.BooleanType())
-    def touches(wkb: pa.Array, area: pa.Array) -> pa.Array:
-        flat = shapes.decode(wkb)
-        codes = area.dictionary_encode()
-        which = codes.indices.to_numpy(zero_copy_only=False)
-        hit = np.zeros(flat.rows, bool)
-        for index, value in enumerate(codes.dictionary.to_pylist()):
-            hit |= shapes.intersects(flat.rows_only(which == index), shapes.polygons_of_wkb(value))
-        return pa.array(hit)
+    def touches(x: pa.Array, y: pa.Array, body: pa.Array) -> pa.Array:
+        tried = np.asarray(body.is_valid())
+        found = np.zeros(len(tried), bool)
+        if tried.any():
+            bodies = pieces.Bodies(body.filter(pa.array(tried)))
+            found[tried] = pieces.points_in_pieces(x.to_numpy()[tried], y.to_numpy()[tried], bodies.of_row, bodies)
+        return pa.array(found, mask=~tried)
 
     return touches
 
 
-def _square_test():
+def _piece_test():
     @F.arrow_udf(T.BooleanType())
-    def touches(wkb: pa.Array, cx: pa.Array, cy: pa.Array) -> pa.Array:
-        flat = shapes.decode(wkb)
-        xs, ys = cx.to_numpy(), cy.to_numpy()
-        hit = np.zeros(flat.rows, bool)
-        for x, y in {*zip(xs.tolist(), ys.tolist(), strict=True)}:
-            square = shapes.box_polygon(x * CELL, y * CELL, (x + 1) * CELL, (y + 1) * CELL)
-            hit |= shapes.intersects(flat.rows_only((xs == x) & (ys == y)), square)
-        return pa.array(hit)
+    def touches(wkb: pa.Array, e: pa.Array, ix: pa.Array, iy: pa.Array, body: pa.Array) -> pa.Array:
+        return pa.array(pieces.shapes_meet_pieces(wkb, *(part.to_numpy() for part in (e, ix, iy)), body))
 
     return touches

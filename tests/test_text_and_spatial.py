@@ -1,12 +1,15 @@
 """Labels, CSV and GeoJSON sources, and the spatial semi join on both of its ways."""
 
 import json
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from geoquarry.functions import labels, wkb
+from geoquarry.functions import labels, pieces, shapes, wkb
 from geoquarry.operators import spatial
 from geoquarry.sources import text_features as tf
 from tests.test_shapes import line, polygon, square
@@ -79,10 +82,63 @@ def test_spatial_semi_join(spark, monkeypatch):
     features = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, geometry binary").withColumn("bbox", wkb.envelope("geometry"))
     layer = spark.createDataFrame([(a,) for a in areas] + [(line([(0, 0), (9, 9)]),)], "geometry binary")
     near = sorted(r.id for r in spatial.touching(features, layer, "id").collect())
-    monkeypatch.setattr(spatial, "HOT_ROWS", 3)
     cells = sorted(r.id for r in spatial.touching(features, layer, "id", carried_bytes=0).collect())
+    # Blocks of cells with many features and pieces, and boxes of rounded floats.
+    monkeypatch.setattr(spatial, "CARRIED_BYTES", 0)
+    monkeypatch.setattr(spatial, "BLOCK_ROWS", 2)
+    floats = features.withColumn("bbox", F.col("bbox").cast("struct<xmin: float, ymin: float, xmax: float, ymax: float>"))
+    for rows in (features, floats):
+        blocks = sorted(r.id for r in spatial.touching(rows, layer.unionAll(layer), "id", carried_bytes=0).collect())
+        assert near == blocks
     assert near == cells and 300 in near and 302 not in near and len(near) > 20
     row = spatial.layer_envelope(layer).first()
     assert (row.polygons, row.geometries, row.west) == (4, 5, -7.3)
     with pytest.raises(ValueError):
         spatial.touching(features, layer.limit(0), "id")
+
+
+def star(rng, x, y, size, corners, grid):
+    """Return a ring of alternating radii; on a grid many corners and edges fall together."""
+    ring = []
+    for corner in range(corners):
+        reach = size * (1 if corner % 2 else 0.4 + 0.3 * rng.random())
+        at = (x + reach * math.cos(2 * math.pi * corner / corners), y + reach * math.sin(2 * math.pi * corner / corners))
+        ring.append(tuple(round(value / grid) * grid for value in at) if grid else at)
+    return [*ring, ring[0]]
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e5])
+@pytest.mark.parametrize("grid", [0.0, 0.125])
+def test_pieces_tell_what_whole_polygons_tell(scale, grid):
+    rng = random.Random(3)
+    where = lambda reach: rng.uniform(-reach, reach) * scale
+    areas = [polygon(star(rng, where(5), where(5), rng.uniform(0.5, 4) * scale, corners, grid * scale)) for corners in (3, 40, 1500)]
+    hole = [star(rng, 3 * scale, 3 * scale, size * scale, corners, grid * scale) for size, corners in ((2, 200), (0.3, 8))]
+    areas.append(polygon(*hole))
+    cut = pa.Table.from_batches(pieces.cut(pa.array(areas, pa.binary()))).combine_chunks()
+    e, ix, iy, inside = (cut.column(name).to_numpy() for name in ("e", "ix", "iy", "inside"))
+    xs, ys = (np.array([rng.choice([where(9), round(where(9) * 8 / scale) * scale / 8]) for _ in range(800)]) for _ in range(2))
+    whole = [shapes.polygons_of_wkb(area) for area in areas]
+    wanted = np.any([shapes.points_in(xs, ys, area) for area in whole], axis=0)
+    found = np.zeros(len(xs), bool)
+    for level in set(e.tolist()):
+        cell = np.floor(xs / 2.0**level) * 2**32 + np.floor(ys / 2.0**level)
+        point, piece = np.nonzero(cell[:, None] == np.where(e == level, ix * 2**32 + iy, np.inf)[None, :])
+        found[point[inside[piece]]] = True
+        point, piece = point[~inside[piece]], piece[~inside[piece]]
+        bodies = pieces.Bodies(cut.column("body").combine_chunks().take(pa.array(piece)))
+        found[point[pieces.points_in_pieces(xs[point], ys[point], bodies.of_row, bodies)]] = True
+    assert (found == wanted).all()
+    values = [line([(where(9), where(9)) for _ in range(rng.choice([2, 5]))]) for _ in range(20)]
+    values += [polygon(star(rng, where(9), where(9), size * scale, 9, 0)) for size in (0.2, 3, 20) * 4]
+    flat = shapes.decode(pa.array(values, pa.binary()))
+    wanted = np.any([shapes.intersects(flat, area) for area in whole], axis=0)
+    body = cut.column("body").combine_chunks()
+    found = [pieces.shapes_meet_pieces(pa.array([value] * len(e), pa.binary()), e, ix, iy, body).any() for value in values]
+    assert (wanted == found).all()
+
+
+def test_overlaid_edges_end_the_cut():
+    ring = [(0.0, 0.0), (1.0, 1.0)] * 500 + [(0.0, 0.0)]
+    batches = list(pieces.cut(pa.array([polygon(ring), polygon([(0, 0), (0, 0), (0, 0)])], pa.binary())))
+    assert 0 < sum(batch.num_rows for batch in batches) < 5_000

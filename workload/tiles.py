@@ -15,7 +15,7 @@ from geoquarry.functions.tile_ids import tile_id
 from geoquarry.operators import spatial, tiles
 from geoquarry.session import scratch_path
 from geoquarry.sources import tile_archives
-from workload.base import PLACES_SQL, flag, place_rows, query, shape_rows, table
+from workload.base import PLACES_SQL, covering, flag, place_columns, place_rows, query, shape_rows, table
 
 # ---- directory entries: one per order, 0..3 unused ids after each run
 
@@ -194,6 +194,41 @@ def j09_touching_by_grid_cells(spark, folder):
     return spatial.touching(place_rows(spark, folder), supplier_areas(spark, folder), "o_orderkey", carried_bytes=0).select("o_orderkey")
 
 
+METRES = 111_000.0
+METRE_AREAS = """area AS (SELECT ((s_suppkey * 37) % 350 - 178) * 111000.0::DOUBLE AS ax, ((s_suppkey * 53) % 160 - 82) * 111000.0::DOUBLE AS ay,
+  (1 + s_suppkey % 3) * 111000.0::DOUBLE AS aw, (1.5 + s_suppkey % 4)::DOUBLE * 111000.0::DOUBLE AS ah FROM supplier)"""
+
+
+def points(rows: DataFrame) -> DataFrame:
+    """Return ``o_orderkey, x, y`` as point features with a covering."""
+    return rows.select("o_orderkey", covering("x", "y", "x", "y").alias("bbox"), wkb.point_wkb("x", "y").alias("geometry"))
+
+
+@query("j09_touching_in_metres", f"""WITH {PLACES_SQL}, {METRE_AREAS} SELECT o_orderkey FROM (SELECT o_orderkey, x * 111000.0::DOUBLE AS x, y * 111000.0::DOUBLE AS y FROM places)
+WHERE EXISTS (SELECT 1 FROM area WHERE {IN_TRIANGLE})""")
+def j09_touching_in_metres(spark, folder):
+    key = F.col("s_suppkey")
+    areas = triangles(table(spark, folder, "supplier").select(*((value * METRES).alias(name) for name, value in (
+        ("ax", key * 37 % 350 - 178), ("ay", key * 53 % 160 - 82), ("aw", 1.0 + key % 3), ("ah", 1.5 + key % 4)))))
+    features = points(place_columns(spark, folder).select("o_orderkey", (F.col("x") * METRES).alias("x"), (F.col("y") * METRES).alias("y")))
+    return spatial.touching(features, areas, "o_orderkey", carried_bytes=0).select("o_orderkey")
+
+
+# All customers are triangles in one degree, all orders points in it.
+CROWD_SQL = """area AS (SELECT ((c_custkey * 37) % 997)::DOUBLE / 1024.0 AS ax, ((c_custkey * 53) % 991)::DOUBLE / 1024.0 AS ay,
+  (1 + c_custkey % 5)::DOUBLE / 2048.0 AS aw, (1 + c_custkey % 7)::DOUBLE / 2048.0 AS ah FROM customer),
+crowd AS (SELECT o_orderkey, ((o_orderkey * 29) % 4093)::DOUBLE / 4096.0 AS x, ((o_orderkey * 31) % 4091)::DOUBLE / 4096.0 AS y FROM orders)"""
+
+
+@query("j09_crowded_degree", f"WITH {CROWD_SQL} SELECT o_orderkey FROM crowd WHERE EXISTS (SELECT 1 FROM area WHERE {IN_TRIANGLE})")
+def j09_crowded_degree(spark, folder):
+    one, two = F.col("c_custkey"), F.col("o_orderkey")
+    areas = triangles(table(spark, folder, "customer").select(
+        (one * 37 % 997 / 1024.0).alias("ax"), (one * 53 % 991 / 1024.0).alias("ay"), ((1 + one % 5) / 2048.0).alias("aw"), ((1 + one % 7) / 2048.0).alias("ah")))
+    features = points(table(spark, folder, "orders").select("o_orderkey", (two * 29 % 4093 / 4096.0).alias("x"), (two * 31 % 4091 / 4096.0).alias("y")))
+    return spatial.touching(features, areas, "o_orderkey").select("o_orderkey")
+
+
 @query("j09_shapes_by_both_ways", "SELECT CAST(1 AS BIGINT) AS same, count(*) AS features FROM orders")
 def j09_shapes_by_both_ways(spark, folder):
     features, areas = shape_rows(spark, folder), supplier_areas(spark, folder)
