@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquarry.functions import variants
 from geoquarry.functions.bindings import let, record
 from geoquarry.functions.urls import absolute_href, last_segment, url_path
-from geoquarry.operators.ranking import first_by, numbered
+from geoquarry.operators.ranking import numbered, running_sums
 
 SCHEME = "pmtiles://"
 TEMPLATE = r"/\{z\}/\{x\}/\{y\}[^/]*$"
@@ -114,27 +117,114 @@ def stray_archives(named: DataFrame, archives: DataFrame) -> DataFrame:
     return named.select("url", "archive").subtract(archives.select("url", F.col("href").alias("archive")))
 
 
+# A name that a repeat may get: another name and a number from 2.
+NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,17})\)$"
+NUMBERS = r"((?: \((?:[2-9]|[1-9][0-9]{1,17})\))*)$"
+
+
 def unique_names(rows: DataFrame, keys: list[str], name: str, position: str, reserved: str | None = None) -> DataFrame:
     """Give each row a name of its own in its group, in order: a repeat becomes ``name (2)``.
 
-    A ``reserved`` name counts as taken from the start.
+    A row takes its name if it is free, else the name with the smallest free
+    number. A ``reserved`` name counts as taken from the start. ``position``
+    is an integer from 0, unique in its group.
 
-    The first round numbers the repeats. A numbered name can meet another
-    row's own name, so the later of two equal names moves on until all differ.
+    Repeats and rows that are themselves called ``name (n)`` compete for
+    numbers. The claims of one name are settled in the order of their
+    numbers, names with one number at their end before those with two. Jobs
+    are a fixed number for each such step and do not depend on the clashes.
     """
-    step = numbered(rows.withColumn("_name", F.col(name)), [*keys, "_name"], position, alias="_turn")
-    turn = F.col("_turn") + F.when(F.col("_name") == F.lit(reserved), 1).otherwise(0)
-    current = step.withColumn("_turn", turn)
-    while True:
-        shown = F.when(F.col("_turn") == 1, F.col("_name")).otherwise(
-            F.concat(F.col("_name"), F.lit(" ("), F.col("_turn").cast("string"), F.lit(")"))
-        )
-        named = current.withColumn("unique_name", shown).checkpoint(eager=True)
-        owners = first_by(named, [*keys, "unique_name"], [position], [position]).withColumnRenamed(position, "_owner")
-        clashing = named.join(owners, [*keys, "unique_name"]).where(F.col(position) != F.col("_owner"))
-        moved = clashing.select(*keys, position, F.lit(1).alias("_move"))
-        if not clashing.limit(1).count():
-            return named.select(*rows.columns, "unique_name")
-        current = named.join(moved, [*keys, position], "left").select(
-            *rows.columns, "_name", (F.col("_turn") + F.coalesce("_move", F.lit(0))).alias("_turn")
-        )
+    own = rows.select(*keys, (F.col(position).cast("bigint") + 1).alias("_at"), F.col(name).alias("_own"), F.struct(*(rows[column] for column in rows.columns)).alias("_all"))
+    if reserved is not None:
+        first = rows.select(*keys).distinct().select(*keys, F.lit(0).cast("bigint").alias("_at"), F.lit(reserved).alias("_own"))
+        own = own.unionByName(first, allowMissingColumns=True)
+    placed = numbered(own, [*keys, "_own"], "_at", alias="_turn", bits=33).checkpoint()
+    groups = [*keys, "_base"]
+    claims = placed.where(F.col("_own").rlike(NUMBERED) & (F.col("_turn") == 1)).select(
+        *keys, "_at", "_own", F.regexp_extract("_own", NUMBERED, 1).alias("_base"),
+        F.regexp_extract("_own", NUMBERED, 2).cast("bigint").alias("_slot"),
+        F.length(F.regexp_replace(F.regexp_extract("_own", NUMBERS, 1), r"[^(]", "")).alias("_depth"),
+    )
+    # Only names that some row has can have repeats.
+    named = placed.select(*keys, F.col("_own").alias("_base"), "_at")
+    claims = _matching(claims, named.select(*groups).distinct(), groups, "left_semi").checkpoint()
+    deepest = claims.agg(F.max("_depth")).first()[0] or 0
+    settled = None
+    for depth in range(1, deepest + 1):
+        level = _settled(claims.where(F.col("_depth") == depth), named, settled, keys).checkpoint()
+        settled = level if settled is None else settled.unionByName(level)
+    if settled is None:
+        named_ = placed.withColumn("_number", F.col("_turn"))
+    else:
+        named_ = _numbers(placed, settled, keys)
+    shown = F.when(F.col("_number") < 2, F.col("_own")).otherwise(F.concat("_own", F.lit(" ("), F.col("_number").cast("string"), F.lit(")")))
+    return named_.where("_at > 0").select("_all.*", shown.alias("unique_name"))
+
+
+def _matching(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys that may be null on both sides."""
+    other = right.select(*(F.col(key).alias(f"_r_{key}") for key in keys), *(name for name in right.columns if name not in keys))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    joined = left.join(other, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"_r_{key}" for key in keys))
+
+
+def _settled(claims: DataFrame, named: DataFrame, before: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Return ``_base, _own, _free, _won`` of claims on names whose own claims are settled.
+
+    With w claims won on smaller numbers, n - 2 - w smaller numbers go to
+    repeats. The claim on n wins if so many repeats did not come before it.
+    """
+    groups = [*keys, "_base"]
+    asked = claims.select(*groups, "_at", "_own", "_slot", F.lit(0).alias("_row"))
+    none = [F.lit(None).cast("string").alias("_own"), F.lit(None).cast("bigint").alias("_slot")]
+    wanted = _matching(named, claims.select(*groups).distinct(), groups, "left_semi")
+    others = wanted.select(*groups, "_at", *none, F.lit(1).alias("_row"))
+    counted = running_sums(asked.unionByName(others), groups, "_at", {"_rows": F.col("_row")}, bits=33).where("_row = 0")
+    repeats = F.greatest(F.col("_rows") - 1, F.lit(0))
+    if before is not None:
+        lost = before.where("NOT _won").select(*keys, F.col("_own").alias("_base"), F.lit(1).alias("_lost"))
+        counted = _matching(counted, lost, groups, "left")
+        repeats = F.when(F.col("_lost") == 1, F.col("_rows")).otherwise(repeats)
+    fields = [*groups, "_own", "_slot"]
+    lined = counted.select(*fields, repeats.alias("_before")).repartition(*groups).sortWithinPartitions(*groups, "_slot")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, won = None, 0
+        for batch in batches:
+            columns = {name: batch.column(name).to_pylist() for name in (*groups, "_slot", "_before")}
+            free, wins = [], []
+            for here, slot, repeats in zip(zip(*(columns[key] for key in groups), strict=True), columns["_slot"], columns["_before"], strict=True):
+                if here != group:
+                    group, won = here, 0
+                free.append(slot - 2 - won)
+                wins.append(free[-1] >= repeats)
+                won += wins[-1]
+            kept = [batch.column(name) for name in (*groups, "_own")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(free, pa.int64()), pa.array(wins, pa.bool_())], [*groups, "_own", "_free", "_won"])
+
+    kinds = dict(lined.dtypes)
+    schema = ", ".join(f"`{name}` {kinds[name]}" for name in (*groups, "_own"))
+    return lined.mapInArrow(scan, f"{schema}, `_free` bigint, `_won` boolean")
+
+
+def _numbers(placed: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
+    """Return the number of each row; the k-th repeat passes over the claims that were won below its number."""
+    lost = settled.where("NOT _won").select(*keys, "_own", F.lit(1).alias("_lost"))
+    turned = _matching(placed, lost, [*keys, "_own"], "left").withColumn("_repeat", F.col("_turn") - 1 + F.coalesce("_lost", F.lit(0)))
+    gaps = settled.where("_won").groupBy(*keys, F.col("_base").alias("_own"), F.col("_free")).agg(F.count("*").alias("_passed"))
+    names = gaps.select(*keys, "_own").distinct()
+    plain = _matching(turned, names, [*keys, "_own"], "left_anti")
+    among = _matching(turned, names, [*keys, "_own"], "left_semi").withColumn("_place", 2 * F.col("_repeat") + 1).withColumn("_passed", F.lit(0).cast("bigint"))
+    passed = gaps.select(*keys, "_own", "_passed", (2 * (F.col("_free") + 1)).alias("_place"))
+    # A gap far beyond all repeats passes over none of them.
+    most = among.agg(F.max("_place")).first()[0]
+    passed = passed.where(F.col("_place") < F.lit(most))
+    lined = among.unionByName(passed, allowMissingColumns=True)
+    summed = running_sums(lined, [*keys, "_own"], "_place", {"_over": F.col("_passed")}, bits=35).where("_at IS NOT NULL")
+    kept = [*keys, "_at", "_own", "_all"]
+    return plain.select(*kept, (F.col("_repeat") + 1).alias("_number")).unionByName(
+        summed.select(*kept, F.when(F.col("_repeat") > 0, F.col("_repeat") + 1 + F.col("_over")).otherwise(F.lit(1).cast("bigint")).alias("_number"))
+    )

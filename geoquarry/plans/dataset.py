@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from urllib.parse import unquote
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +29,8 @@ from geoquarry.model import (
     free_name,
 )
 from geoquarry.plans.custom_select import custom_rows
-from geoquarry.sources.parquet import NOTES, SIDES, glob_folder, read_plan, result_plan
+from geoquarry.sources.geoparquet_sink import TARGET, Target, write_targets
+from geoquarry.sources.parquet import glob_folder, read_plan, result_plan
 
 PREVIEW_ROWS = 100
 # Loads that are larger ask first.
@@ -282,9 +282,7 @@ class GeoDataset:
 
     def _first_of_all(self) -> str | None:
         row = self.first_type_frame().first()
-        if row is None or row.family is None:
-            return None
-        return MULTI_OF.get(row.family, row.family) + ("Z" if row.z else "")
+        return None if row is None else _type_name(row.family, row.z)
 
     def layer_type(self) -> str:
         """Return the geometry type of the copy: declared, else from the first kept geometry."""
@@ -358,9 +356,9 @@ class GeoDataset:
         return boxed
 
     def write(self, path: str, *, confirmed: bool = False, clustered: bool = False) -> Written:
-        """Write the copy as Parquet and return what it holds.
+        """Write the copy as GeoParquet and return what it holds.
 
-        The counts come from the write job itself. ``clustered`` sorts the
+        The counts come from the write job itself, and every footer has the CRS, type and box columns. ``clustered`` sorts the
         features along a space-filling curve first, one extra shuffle that
         makes later box reads skip more row groups.
 
@@ -373,29 +371,18 @@ class GeoDataset:
                 raise ConfirmationNeeded(f"About {count} features; pass confirmed=True to write them")
         layer_type = self.layer_type()
         rows = self.written_rows(layer_type)
-        refused = F.lit(0)
-        if self.plan.has_geometry:
-            refused = F.count_if(path_column([self.geometry_name]).isNull())
-            if clustered:
-                rows = along_curve(rows, rows.columns[-1])
-        counts = Observation()
-        watched = rows.observe(counts, F.count("*").alias("features"), refused.alias("refused"))
-        watched.write.mode("errorifexists").parquet(path)
-        described = json.dumps(self._described(layer_type, rows.columns[-1]))
-        self.spark.createDataFrame([(described,)], "value string").coalesce(1).write.text(f"{path}/{NOTES}")
-        found = counts.get
-        return Written(found["features"], layer_type, found["refused"])
-
-    def _described(self, layer_type: str, box: str) -> dict:
-        """Return what a footer would say of the copy; ``read_plan`` reads it back."""
+        if self.plan.has_geometry and clustered:
+            rows = along_curve(rows, rows.columns[-1])
+        features, refused = write_targets(rows, [self.target(path, layer_type, rows.columns)])[0]
+        return Written(features, layer_type, refused)
+
+    def target(self, path: str, layer_type: str, columns: Sequence[str], stored: Sequence[str] | None = None) -> Target:
+        """Return what the footers of a copy say; ``stored`` names its columns among the rows of several copies."""
+        pairs = tuple(zip(stored or columns, columns, strict=True))
         if not self.plan.has_geometry:
-            return {}
-        types = [] if layer_type == UNKNOWN else [layer_type[:-1] + " Z" if layer_type.endswith("Z") else layer_type]
-        about = {
-            "encoding": "WKB", "crs": self.plan.crs or None, "geometry_types": types,
-            "covering": {"bbox": {side: [box, side] for side in SIDES}},
-        }
-        return {"primary_column": self.geometry_name, "columns": {self.geometry_name: about}}
+            return Target(path, pairs)
+        types = () if layer_type == UNKNOWN else (layer_type[:-1] + " Z" if layer_type.endswith("Z") else layer_type,)
+        return Target(path, pairs, self.geometry_name, columns[-1], self.plan.crs, types)
 
     def spec(self) -> CopySpec:
         """Return what is needed to run the same copy again later."""
@@ -403,6 +390,47 @@ class GeoDataset:
         return CopySpec(self.sources, self.clip, condition, self.columns, self.sql_text)
 
 
+def write_together(copies: Sequence[tuple[GeoDataset, str]]) -> list[Written]:
+    """Write several copies, each to its own path, in one job.
+
+    Types that no footer declares are looked up before, all at once. A
+    column of the joined rows serves all copies that have one of its name
+    and type.
+    """
+    if not copies:
+        return []
+    types = _layer_types([data for data, _ in copies])
+    parts, targets, known = [], [], {}
+    for (data, path), kind in zip(copies, types, strict=True):
+        rows = data.written_rows(kind)
+        stored = [known.setdefault((name, dtype), f"c{len(known)}") for name, dtype in rows.dtypes]
+        number = F.lit(len(targets)).cast("int").alias(TARGET)
+        parts.append(rows.select(number, *(path_column([name]).alias(place) for name, place in zip(rows.columns, stored, strict=True))))
+        targets.append(data.target(path, kind, rows.columns, stored))
+    together = parts[0]
+    for rows in parts[1:]:
+        together = together.unionByName(rows, allowMissingColumns=True)
+    counts = write_targets(together, targets)
+    return [Written(features, kind, refused) for (features, refused), kind in zip(counts, types, strict=True)]
+
+
+def _layer_types(copies: Sequence[GeoDataset]) -> list[str]:
+    """Return the layer type of each copy; one job finds all that are not declared."""
+    types = [data.plan.geometry_type if data.plan.has_geometry else NO_GEOMETRY for data in copies]
+    asked = [number for number, kind in enumerate(types) if kind == UNKNOWN]
+    firsts = None
+    for number in asked:
+        row = copies[number].first_type_frame().withColumn("_number", F.lit(number))
+        firsts = row if firsts is None else firsts.unionByName(row)
+    for row in firsts.collect() if firsts is not None else []:
+        types[row._number] = _type_name(row.family, row.z) or "Point"
+    return types
+
+
+def _type_name(family: str | None, z: bool | None) -> str | None:
+    return None if family is None else MULTI_OF.get(family, family) + ("Z" if z else "")
+
+
 def along_curve(rows: DataFrame, covering: str) -> DataFrame:
     """Range-partition and sort rows by the Morton code of their covering's middle."""
 
@@ -435,4 +463,4 @@ def rerun(spark: SparkSession, spec: CopySpec) -> GeoDataset:
     return dataset if spec.columns is None else dataset.select(*spec.columns)
 
 
-__all__ = ["GeoDataset", "QueryError", "Written", "along_curve", "rerun"]
+__all__ = ["GeoDataset", "QueryError", "Written", "along_curve", "rerun", "write_together"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from geoquarry.model import Everything, Scope
 from geoquarry.operators import manifest
 from geoquarry.operators.ranking import side_by_side
 from geoquarry.operators.walk import failures, walk
-from geoquarry.plans.dataset import GeoDataset, Written
+from geoquarry.plans.dataset import GeoDataset, Written, write_together
 
 
 @dataclass(frozen=True)
@@ -101,3 +102,8 @@ def write_clipped(
     """Write one clipped copy: the queried dataset keeps its filter, others only the scope."""
     chosen = dataset if queried is None else queried
     return chosen.within(scope).write(target, **options)
+
+
+def write_all_clipped(datasets: Sequence[tuple[GeoDataset, str]], scope: Scope) -> list[Written]:
+    """Write the clipped copies of all files of a document in one job; each keeps a filter that it has."""
+    return write_together([(data.within(scope), target) for data, target in datasets])

@@ -37,13 +37,19 @@ def use_buckets(spark: SparkSession, urls: Iterable[str]) -> None:
         spark.sparkContext._jsc.hadoopConfiguration().set(key, value)
 
 
-def open_input(path: str) -> Any:
-    """Open a file for random access inside a task, on local disk or an object store."""
+def store_of(path: str) -> tuple[Any, str]:
+    """Return the file system of a path or URL, and the name in it."""
     import pyarrow.fs as fs
 
     if path.startswith(("file:", "/")):
-        # Listings give the plain name, file metadata the percent-encoded one.
-        plain = re.sub(r"^file:(//(?=/))?", "", path)
-        return fs.LocalFileSystem().open_input_file(plain if os.path.exists(plain) else unquote(plain))
+        return fs.LocalFileSystem(), re.sub(r"^file:(//(?=/))?", "", path).rstrip("/")
     store, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
-    return store.open_input_file(inner)
+    return store, inner.rstrip("/")
+
+
+def open_input(path: str) -> Any:
+    """Open a file for random access inside a task, on local disk or an object store."""
+    store, inner = store_of(path)
+    # Listings give the plain name, file metadata the percent-encoded one.
+    local = path.startswith(("file:", "/")) and not os.path.exists(inner)
+    return store.open_input_file(unquote(inner) if local else inner)

@@ -1,6 +1,8 @@
 """Feature files end to end: clip, filter, choose, normalise, write."""
 
 import json
+import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from geoquarry.functions.conditions import Compare, InList, IsNull, Like, condit
 from geoquarry.functions.projections import area_of, clip_for, to_degrees, to_web_map, transform_box
 from geoquarry.model import Clip, ConfirmationNeeded, CopySpec, Everything, FeatureFileError, MapView, QueryError
 from geoquarry.plans.custom_select import check_select
-from geoquarry.plans.dataset import GeoDataset, rerun
+from geoquarry.plans.dataset import GeoDataset, rerun, write_together
+from geoquarry.sources.geoparquet_sink import Target, write_targets
 from geoquarry.sources.object_store import bucket_settings
 from geoquarry.sources.parquet import first_geo_text, list_files, plan_read, read_footers, scan
 from tests.test_shapes import line, multi, point, polygon, square
@@ -80,8 +83,61 @@ def test_write_and_rerun(spark, points, tmp_path):
     assert copy.preview().first().geom == "MULTIPOINT"
     spec = CopySpec.from_json(data.spec().to_json())
     assert ids(rerun(spark, spec).rows()) == list(range(10, 20))
-    notes = json.loads(spark.read.text(str(tmp_path / "copy" / "_layer")).first().value)
-    assert notes["columns"][notes["primary_column"]]["crs"] == "OGC:CRS84"
+    footers = read_footers(list_files(spark, str(tmp_path / "copy"))).collect()
+    assert sum(row.rows for row in footers) == 10 and not [name for name in os.listdir(tmp_path / "copy") if not name.startswith("part-")]
+    about = [json.loads(row.geo) for row in footers if row.rows]
+    assert {one["primary_column"] for one in about} == {"geom"} and {one["version"] for one in about} == {"1.1.0"}
+    columns = [one["columns"]["geom"] for one in about]
+    assert all(one["geometry_types"] == ["MultiPoint"] and one["covering"]["bbox"]["ymax"] == ["bbox", "ymax"] and "crs" not in one for one in columns)
+    extent = spark.read.parquet(str(tmp_path / "copy")).agg(F.min("bbox.xmin"), F.max("bbox.ymax")).first()
+    assert (min(one["bbox"][0] for one in columns), max(one["bbox"][3] for one in columns)) == tuple(extent)
+    with pytest.raises(FileExistsError):
+        data.write(str(tmp_path / "copy"))
+
+
+def test_empty_copies_and_systems(spark, points, tmp_path):
+    nothing = GeoDataset.read(spark, points).within(Clip(BOX)).where(Compare("id", ">", 10_000))
+    assert nothing.write(str(tmp_path / "none")).features == 0
+    again = GeoDataset.read(spark, str(tmp_path / "none"))
+    assert again.rows().count() == 0 and again.plan.geometry == "geom"
+    whole = json.dumps({"type": "ProjectedCRS", "name": "mine"})
+    for system, back in (("EPSG:4326", "EPSG:4326"), ("EPSG:3857", "EPSG:3857"), ("", ""), (whole, whole)):
+        data = GeoDataset.read(spark, points)
+        data = replace(data, plan=replace(data.plan, shape=data.plan.shape._replace(crs=system)))
+        path = str(tmp_path / f"crs{len(system)}{system[-4:].strip('}')}".replace('"', ""))
+        data.write(path)
+        assert GeoDataset.read(spark, path).plan.crs == back
+
+
+def test_copies_of_one_job(spark, points, tmp_path):
+    table = str(tmp_path / "table")
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id string, note string").write.parquet(table)
+    data = GeoDataset.read(spark, points)
+    copies = [(data.within(Clip(BOX)).where(Compare("id", "<", 20)), str(tmp_path / "one")), (GeoDataset.read(spark, table), str(tmp_path / "two")),
+              (data.where(Compare("id", ">", 10_000)), str(tmp_path / "three")), (data.select("id"), str(tmp_path / "four"))]
+    tracker, group = spark.sparkContext.statusTracker(), "copies-of-one-job"
+    spark.sparkContext.setJobGroup(group, group)
+    written = write_together(copies)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [one.features for one in written] == [10, 3, 0, data.rows().count()]
+    assert [one.geometry_type for one in written] == ["MultiPoint", "None", "Point", "MultiPoint"]
+    # Types that no footer tells, the write, and its counts, with the stages of adaptive plans as jobs; none per copy.
+    assert len(tracker.getJobIdsForGroup(group)) <= 6
+    assert ids(GeoDataset.read(spark, str(tmp_path / "one")).rows()) == list(range(10, 20))
+    assert spark.read.parquet(str(tmp_path / "two")).columns == ["id", "note"] and GeoDataset.read(spark, str(tmp_path / "two")).plan.geometry is None
+    assert dict(spark.read.parquet(str(tmp_path / "three")).dtypes) == dict(spark.read.parquet(str(tmp_path / "one")).dtypes)
+    assert spark.read.parquet(str(tmp_path / "four")).columns == ["geom", "id", "bbox"]
+    assert write_together([]) == []
+
+
+def test_failed_copies_leave_nothing(spark, tmp_path):
+    boom = F.udf(lambda value: 1 // (value - 7), "int")
+    rows = spark.range(20).select(boom("id").alias("id"))
+    with pytest.raises(Exception, match="division|ZeroDivision"):
+        write_targets(rows, [Target(str(tmp_path / "out"), (("id", "id"),))])
+    assert not (tmp_path / "out").exists()
+    # A task that is killed while the job ends may leave a part below the hidden folder.
+    assert all("/.writing-" in folder for folder, _, names in os.walk(tmp_path) if names)
 
 
 def shapes_frame(spark, values, extra=""):

@@ -2,8 +2,10 @@
 
 import gzip
 import json
+import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoquarry.functions.tile_ids import tile_id
@@ -151,6 +153,48 @@ def test_unique_names(spark):
     assert got == ["a", "a (2)", "a (3)", "Default (2)", "b", "a (4)", "b (2)"]
 
 
+def one_by_one(names, reserved):
+    """Name rows in order: the own name if free, else the smallest free number."""
+    taken = {reserved} - {None}
+    found = []
+    for name in names:
+        shown, number = name, 1
+        while shown in taken:
+            number += 1
+            shown = f"{name} ({number})"
+        taken.add(shown)
+        found.append(shown)
+    return found
+
+
+@pytest.mark.parametrize("reserved", [None, "a", "b (2)"])
+def test_unique_names_as_one_by_one(spark, reserved):
+    ensure_checkpoints(spark)
+    rng = random.Random(6)
+    pool = ["a", "a (2)", "a (3)", "a (5)", "a (2) (2)", "a (3) (2)", "a (2) (2) (2)", "b", "b (2)", "b (02)", "b (1)", "b (4)", "", " (2)", "a\n(2)", "a (12)"]
+    groups = {f"g{number}": [rng.choice(pool[: rng.choice([2, 5, 16])]) for _ in range(rng.choice([3, 12, 40]))] for number in range(25)}
+    groups["hot"] = ["a (2)"] + ["a"] * 12
+    groups["late"] = ["a"] * 12 + ["a (5)", "a (14)", "a", "a", "a", "a (14)"]
+    rows = [(group, 3 * at, name) for group, names in groups.items() for at, name in enumerate(names)]
+    frame = spark.createDataFrame(rows, "doc string, pos int, name string")
+    got = {(row.doc, row.pos): row.unique_name for row in styles.unique_names(frame, ["doc"], "name", "pos", reserved).collect()}
+    want = {(group, 3 * at): name for group, names in groups.items() for at, name in enumerate(one_by_one(names, reserved))}
+    assert got == want
+
+
+def test_jobs_of_unique_names_do_not_depend_on_clashes(spark):
+    ensure_checkpoints(spark)
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for repeats in (3, 60):
+        names = ["a (2)", "a (7)"] + ["a"] * repeats
+        frame = spark.createDataFrame([("d", at, name) for at, name in enumerate(names)], "doc string, pos int, name string")
+        spark.sparkContext.setJobGroup(f"names-{repeats}", "names")
+        assert len({row.unique_name for row in styles.unique_names(frame, ["doc"], "name", "pos").collect()}) == len(names)
+        counts.append(len(tracker.getJobIdsForGroup(f"names-{repeats}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(counts[0] - counts[1]) <= 2
+
+
 def test_usage(spark):
     href = "https://h.test/a b/x.parquet?k=1"
     files = spark.createDataFrame([(href, None), ("https://h.test/y", None), ("https://h.test/z", "s3://b/z"), ("https://h.test/n", None)], "href string, read_url string")

@@ -16,7 +16,7 @@ from geoquarry.operators.audit import write_report
 from geoquarry.operators.ranking import side_by_side
 from geoquarry.plans.custom_select import check_select
 from geoquarry.plans.dataset import GeoDataset, rerun
-from geoquarry.plans.download import write_clipped
+from geoquarry.plans.download import write_all_clipped
 from geoquarry.session import scratch_path
 from geoquarry.sources.parquet import list_files, read_footers
 from geoquarry.sources.text_features import read_csv, read_geojson
@@ -429,7 +429,8 @@ def g09_box_in_file_crs(spark, folder):
 # ---- sinks
 
 
-@query("k01_write_features", f"WITH {SHAPES_SQL} SELECT count(*) AS features, count(*) FILTER (WHERE kind NOT IN (0, 3)) AS refused, min(CASE WHEN kind IN (0, 3) THEN x END) AS west FROM shapes WHERE {SHAPE_BOX_SQL}")
+@query("k01_write_features", f"""WITH {SHAPES_SQL} SELECT count(*) AS features, count(*) FILTER (WHERE kind NOT IN (0, 3)) AS refused, min(CASE WHEN kind IN (0, 3) THEN x END) AS west,
+  count(*) AS told, 'MultiPoint' AS types, 'WKB' AS encoding, 'bbox.xmin' AS west_column, '1.1.0' AS version, min(CASE WHEN kind IN (0, 3) THEN x END) AS extent_west FROM shapes WHERE {SHAPE_BOX_SQL}""")
 def k01_write_features(spark, folder):
     from dataclasses import replace
 
@@ -437,8 +438,15 @@ def k01_write_features(spark, folder):
     data = shapes(spark, folder).within(CLIP)
     typed = replace(data, plan=replace(data.plan, shape=data.plan.shape._replace(kind="MultiPoint")))
     written = typed.write(path, confirmed=True)
-    return spark.read.parquet(path).agg(F.min("bbox.xmin").alias("west")).select(
-        F.lit(written.features).cast("bigint").alias("features"), F.lit(written.refused).cast("bigint").alias("refused"), "west")
+    about = "$.columns.geom"
+    footers = read_footers(list_files(spark, path)).select(
+        "rows", *(F.get_json_object("geo", at).alias(name) for name, at in (
+            ("version", "$.version"), ("types", f"{about}.geometry_types[0]"), ("encoding", f"{about}.encoding"), ("extent_west", f"{about}.bbox[0]"),
+            ("top", f"{about}.covering.bbox.xmin[0]"), ("side", f"{about}.covering.bbox.xmin[1]"))))
+    told = footers.agg(F.sum("rows").alias("told"), F.max("types").alias("types"), F.min("encoding").alias("encoding"), F.max("version").alias("version"),
+                       F.max(F.concat_ws(".", "top", "side")).alias("west_column"), F.min(F.col("extent_west").cast("double")).alias("extent_west"))
+    west = spark.read.parquet(path).agg(F.min("bbox.xmin").alias("west"), F.lit(written.features).cast("bigint").alias("features"), F.lit(written.refused).cast("bigint").alias("refused"))
+    return side_by_side(west, told)
 
 
 @query("k02_write_table", "SELECT p_brand, count(*) AS parts, min(p_retailprice) AS cheapest FROM part WHERE p_size > 10 GROUP BY 1")
@@ -448,14 +456,18 @@ def k02_write_table(spark, folder):
     return spark.read.parquet(path).groupBy("p_brand").agg(F.count("*").alias("parts"), F.min("p_retailprice").alias("cheapest"))
 
 
-@query("k03_clipped_copies", f"WITH {PLACES_SQL} SELECT o_orderstatus AS asset, count(*) AS features FROM places WHERE {BOX_SQL} AND (o_orderstatus <> 'O' OR o_totalprice > 100000.0) GROUP BY 1")
+@query("k03_clipped_copies", f"""WITH {PLACES_SQL}, counted AS (SELECT o_orderstatus AS asset, count(*) AS features FROM places
+WHERE {BOX_SQL} AND (o_orderstatus <> 'O' OR o_totalprice > 100000.0) GROUP BY 1)
+SELECT asset, features, features AS written, 'MultiPoint' AS layer_type FROM counted""")
 def k03_clipped_copies(spark, folder):
     source, target = stored_places(spark, folder), scratch_path(spark, "clipped")
+    copies = []
     for status in ("F", "O", "P"):
         data = GeoDataset.read(spark, f"{source}/o_orderstatus={status}")
-        queried = data.where(Compare("o_totalprice", ">", 100000.0)) if status == "O" else None
-        write_clipped(data, MapView(BOX), f"{target}/asset={status}", queried, confirmed=True)
-    return spark.read.parquet(target).groupBy("asset").agg(F.count("*").alias("features"))
+        copies.append((data.where(Compare("o_totalprice", ">", 100000.0)) if status == "O" else data, f"{target}/asset={status}"))
+    written = write_all_clipped(copies, MapView(BOX))
+    told = spark.createDataFrame([(path[-1], one.features, one.geometry_type) for (_, path), one in zip(copies, written, strict=True)], "asset string, written bigint, layer_type string")
+    return spark.read.parquet(target).groupBy("asset").agg(F.count("*").alias("features")).join(told, "asset").select("asset", "features", "written", "layer_type")
 
 
 CHECKS_SQL = """checks AS (SELECT 'catalog-' || l_suppkey AS catalog, l_orderkey || '/' || l_linenumber AS document,
