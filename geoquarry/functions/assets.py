@@ -41,24 +41,29 @@ ENDINGS = {
     "geoparquet": "parquet", "fgb": "flatgeobuf", "copc.las": "copc", "copc.laz": "copc", "csv": "csv",
 }
 _ENDING = r"\.((?:copc\.la[sz])|[a-z]+)$"
+_BEFORE_QUERY = r"\.(copc\.la[sz]|pmtiles|geojson|tiff?|(?:geo)?parquet|fgb|csv)(?=$|\?)"
 
 
 def asset_format(href: Column, media_type: Column) -> Column:
     """Return the format of an http(s) href: by media type, then by file name, else NULL.
 
-    Without a ``?`` only the end of the name can match, so one lookup decides.
+    Without a ``?`` only the end of the name can match, so one lookup decides;
+    otherwise the foremost format of all endings before a ``?`` or the end.
+    Short code matters more than branches here: a generated method beyond 8,000
+    bytes is never compiled.
     """
-    media = F.lower(F.coalesce(media_type, F.lit("")))
-    by_pattern = F.lit(None).cast("string")
-    for name, _fragment, pattern in reversed(FORMATS):
-        by_pattern = F.when(href.rlike(pattern), F.lit(name)).otherwise(by_pattern)
+    names = [name for name, _fragment, _pattern in FORMATS]
     known = F.create_map(*(F.lit(part) for pair in ENDINGS.items() for part in pair))
     by_ending = F.try_element_at(known, F.regexp_extract(F.lower(href), _ENDING, 1))
-    by_media = F.lit(None).cast("string")
-    for name, fragment, _pattern in reversed(FORMATS):
-        by_media = F.when(media.contains(fragment), F.lit(name)).otherwise(by_media)
+    places = F.create_map(*(F.lit(part) for ending, name in ENDINGS.items() for part in (ending, names.index(name))))
+    found = F.regexp_extract_all(F.lower(href), F.lit(_BEFORE_QUERY), F.lit(1))
+    first = F.array_min(F.transform(found, lambda ending: F.try_element_at(places, ending)))
+    by_pattern = F.get(F.array(*(F.lit(name) for name in names)), first)
+    media = F.lower(media_type)
+    fragments = F.array(*(F.struct(F.lit(fragment).alias("part"), F.lit(name).alias("name")) for name, fragment, _pattern in FORMATS))
+    by_media = F.get(F.filter(fragments, lambda one: media.contains(one["part"])), F.lit(0))["name"]
     by_name = F.when(href.contains("?"), by_pattern).otherwise(by_ending)
-    return F.when(is_http_url(href), F.coalesce(F.when(media != "", by_media), by_name))
+    return F.when(is_http_url(href), F.coalesce(F.when(media_type != "", by_media), by_name))
 
 
 def is_style(roles: Column, media_type: Column) -> Column:
@@ -99,8 +104,8 @@ def is_tabular(columns: Column) -> Column:
 
 def rank_of(file_format: Column, order: tuple[str, ...]) -> Column:
     """Return the place of a format in an order, NULL when it is not there."""
-    place = F.array_position(F.array(*(F.lit(name) for name in order)), file_format)
-    return F.when(place > 0, place)
+    places = F.create_map(*(F.lit(part) for place, name in enumerate(order, 1) for part in (name, place)))
+    return F.try_element_at(places, file_format)
 
 
 def asset_label(title: Column, key: Column) -> Column:
