@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquarry.llm.common import prepared
@@ -252,7 +252,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, like: Likeness) -> DataFrame:
-    """Return ``doc_id, digest, n, v, component_id``, one row per row of the documents."""
+    """Return ``doc_id, digest, n, v, component, component_id``, one row per row of the documents."""
     prepared(docs)
     texts = _texts(docs)
     base = described(texts, like, frequency_levels(texts, lambda block: shingle_sets(block, like.words)[0])).checkpoint()
@@ -262,7 +262,7 @@ def _classes(docs: DataFrame, like: Likeness) -> DataFrame:
     rows = rows.withColumn("component", F.coalesce("component", "v"))
     least = rows.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "component", "left").select(
-        "doc_id", "digest", "n", "v", F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "digest", "n", "v", "component", F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -279,18 +279,26 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFram
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """Keep the document of the smallest id of each component, with all columns; of repeated rows one stays.
+    """Keep one document of each component, with all columns: the smallest id, then the smallest digest of the text.
 
-    Documents without words are no copies of anything and all stay.
+    A null id is larger than all others. Of rows equal in id and text one
+    stays. Documents without words are no copies of anything and all stay.
     """
-    classes = _classes(docs, like)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "digest").agg(F.max("n").alias("n"))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_its"), "n")
+    classes = _classes(docs, like).checkpoint()
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    leads = classes.filter("n > 0").groupBy("component").agg(F.min(order).alias("lead"), F.max("n").alias("n"))
+    leads = leads.select(F.col("lead.doc_id").alias("_id"), F.col("lead.digest").alias("_its"), F.lit(False).alias("_all"))
+    wordless = classes.filter("n = 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_its"), F.lit(True).alias("_all")).distinct()
+    repeats = classes.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_its")).agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    twice = repeats.select(F.col("_id").alias("_rid"), F.col("_its").alias("_rits"), "_rows")
+    kept = leads.unionByName(wordless).join(twice, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_its") == F.col("_rits")), "left")
+    kept = kept.select("_id", "_its", (F.col("_all") | F.col("_rows").isNull()).alias("_plain")).checkpoint()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.struct(*(docs[name] for name in docs.columns)).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64(text).alias("_digest")
     )
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_its"))
     joined = rows.join(kept, same)
-    turn = F.row_number().over(Window.partitionBy("_doc", "_digest").orderBy(F.lit(1)))
-    return joined.withColumn("_turn", turn).filter("_turn = 1 OR n = 0").select("_row.*")
+    # Equal rows are combined in their tasks before one of them is taken.
+    once = joined.filter("NOT _plain").groupBy("_doc", "_digest").agg(F.first("_row").alias("_row"))
+    return joined.filter("_plain").select("_row").unionByName(once.select("_row")).select("_row.*")

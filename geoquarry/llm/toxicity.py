@@ -20,8 +20,6 @@ LEXICON = 600
 STEMS = (4, 5, 6)
 NEAR = 5
 
-# Insults that count without any training.
-SEED_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 # Words that address the reader in four languages.
 SECOND_PERSON = (
     "you", "your", "yours", "you're", "u", "ur",
@@ -46,7 +44,7 @@ _PLAIN_APART = _APART.copy()
 _PLAIN_APART[[ord(c) for c in LOOKALIKES]] = False
 
 FEATURES = (
-    "lexicon density", "lexicon hits", "strongest hit", "weight density", "seed density", "obfuscated rate",
+    "lexicon density", "lexicon hits", "strongest hit", "weight density", "obfuscated rate",
     "hits near second person", "second person density", "capitals", "words in capitals", "exclamation rate",
     "punctuation rate", "digit rate", "odd words", "words",
 )
@@ -114,9 +112,6 @@ def features(block: Block, lexicon: Lexicon) -> np.ndarray:
     hashes = span_hashes(low, block.starts, block.ends)
     weights = lexicon.weights(block, low)
     hit = weights > 0
-    seed_keys = np.sort(word_hashes(list(SEED_WORDS)))
-    seeds = np.isin(hashes, seed_keys)
-    hit |= seeds
     persons = np.isin(hashes, word_hashes(list(SECOND_PERSON)))
     owner = np.repeat(np.arange(block.count), np.diff(bounds))
     at = np.flatnonzero(persons)
@@ -127,11 +122,11 @@ def features(block: Block, lexicon: Lexicon) -> np.ndarray:
         for side in (after, np.maximum(after - 1, 0)):
             near[places] |= (np.abs(at[side] - places) <= NEAR) & (owner[at[side]] == owner[places])
     strongest = np.zeros(block.count)
-    np.maximum.at(strongest, owner[places], np.maximum(weights[places], 3.0 * seeds[places]))
+    np.maximum.at(strongest, owner[places], weights[places])
     words = np.maximum(np.diff(bounds), 1)
     hits = _per_text(hit, bounds)
     plain = _normalised(block)
-    hidden = np.isin(span_hashes(plain.data, plain.starts, plain.ends), seed_keys) | (lexicon.weights(plain, plain.data) > 0)
+    hidden = lexicon.weights(plain, plain.data) > 0
     hidden_hits = np.maximum(_per_text(hidden, plain.bounds) - hits, 0)
     chars = np.maximum(np.diff(block.offsets), 1)
     upper = (block.data >= 0x41) & (block.data <= 0x5A)
@@ -144,7 +139,7 @@ def features(block: Block, lexicon: Lexicon) -> np.ndarray:
     inner = np.zeros(len(mark), bool)
     inner[1:-1] = (mark | digit)[1:-1] & _LETTER[block.data[:-2]] & _LETTER[block.data[2:]]
     return np.column_stack([
-        hits / words, np.log1p(hits), strongest, _per_text(weights, bounds) / words, _per_text(seeds, bounds) / words,
+        hits / words, np.log1p(hits), strongest, _per_text(weights, bounds) / words,
         hidden_hits / words, _per_text(near, bounds) / words, _per_text(persons, bounds) / words,
         _per_text(upper, block.offsets) / letters, _per_text(shouted, bounds) / words,
         _per_text(block.data == 0x21, block.offsets) / chars, _per_text(mark, block.offsets) / chars,
@@ -164,7 +159,7 @@ class ToxicityModel:
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
         """Return the uncalibrated log-odds of rows of features."""
-        return self.start + sum(tree.predict(rows) for tree in self.trees)
+        return self.start + sum((tree.predict(rows) for tree in self.trees), np.zeros(len(rows)))
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         """Return chances; inside a step the order of the raw scores is kept by a small tilt."""
@@ -210,40 +205,45 @@ def learn_lexicon(rows: DataFrame, *, size: int = LEXICON, least: int = 5) -> li
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled rows: half for the lexicon, the rest for trees and calibration.
+    """Fit on at most ``sample`` labelled rows, by one rule at every size.
 
-    ``labels`` holds only rows that may be learned from. Without labels of
-    both kinds the model knows the fixed words only.
+    ``labels`` holds only rows that may be learned from. Trees learn from
+    features that the lexicon of the other half of the rows gives, and the
+    calibration from scores of trees that have not seen the row's third.
+    The fitted lexicon and trees use all rows. Labels of one kind only give
+    all documents the same chance.
     """
     prepared(docs)
     rows = training_rows(docs, labels, "toxic", sample).checkpoint()
-    lexicon = Lexicon.of(learn_lexicon(rows.filter("part < 5")))
+    lexicon = Lexicon.of(learn_lexicon(rows))
+    first, second = (Lexicon.of(learn_lexicon(rows.filter(half))) for half in ("part < 5", "part >= 5"))
 
     @F.arrow_udf("array<double>")
-    def measured(column: pa.Array) -> pa.Array:
-        parts = [features(block, lexicon) for block in text_blocks(column)]
-        values = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+    def measured(column: pa.Array, part: pa.Array) -> pa.Array:
+        late = np.asarray(part) >= 5
+        values = np.zeros((len(late), len(FEATURES)))
+        for other, own in ((first, late), (second, ~late)):
+            parts = [features(block, other) for block in text_blocks(column.filter(pa.array(own)))]
+            if parts:
+                values[own] = np.concatenate(parts)
         return pa.array(list(values), pa.list_(pa.float64()))
 
     # At most ``sample`` rows of a few numbers.
-    seen = rows.select("label", "part", measured("text").alias("values")).collect()
+    seen = rows.select("label", "part", measured("text", "part").alias("values")).collect()
     values = np.array([row["values"] for row in seen]).reshape(len(seen), len(FEATURES))
     truth = np.array([row["label"] for row in seen], float)
     part = np.array([row["part"] for row in seen], int)
     order = np.lexsort((*values.T, truth, part))  # the same trees whatever the order of arrival
     values, truth, part = values[order], truth[order], part[order]
     if len(set(truth.tolist())) < 2:
-        return ToxicityModel(lexicon, 0.0, [_fixed_tree()], np.array([-1.0, 1.0]), np.array([0.05, 0.95]))
-    fold = part >= 5 if len(truth) >= 2000 else np.ones(len(truth), bool)
-    start, trees = grow(values[fold & (part % 3 != 0)], truth[fold & (part % 3 != 0)], rounds=60, depth=3, rate=0.2)
-    model = ToxicityModel(lexicon, start, trees, np.zeros(1), np.zeros(1))
-    rest = fold & (part % 3 == 0) if len(truth) >= 2000 else fold
-    model.ends, model.heights = isotonic(model.raw(values[rest]), truth[rest])
-    return model
-
-
-def _fixed_tree() -> Tree:
-    return Tree(np.array([FEATURES.index("seed density")]), np.array([0.0]), np.array([-1.0, 1.0]))
+        return ToxicityModel(lexicon, 0.0, [], np.zeros(1), np.array([(truth.sum() + 0.1) / (len(truth) + 0.2)]))
+    settings = {"rounds": 60, "depth": 3, "rate": 0.2}
+    raw = np.zeros(len(truth))
+    for third in range(3):
+        own = part % 3 == third
+        if own.any() and not own.all():
+            raw[own] = ToxicityModel(lexicon, *grow(values[~own], truth[~own], **settings), np.zeros(1), np.zeros(1)).raw(values[own])
+    return ToxicityModel(lexicon, *grow(values, truth, **settings), *isotonic(raw, truth))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

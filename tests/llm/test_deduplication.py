@@ -105,6 +105,16 @@ def test_one_document_of_each_group_stays(spark):
     ]
 
 
+def test_near_copies_with_equal_or_null_ids_leave_one(spark):
+    text = "one two three four five six seven eight nine ten " * 4
+    copies = [text + f"and {number}" for number in range(6)]
+    rows = [(4, copies[0]), (4, copies[1]), (4, copies[1]), (None, copies[2]), (None, None), (None, "")]
+    nameless = [(None, text.upper().replace("ONE", "UNO").lower() + f" end {number}") for number in range(3)]
+    kept = one_of_each(frame(spark, rows + nameless + nameless, extra=True)).collect()
+    assert sorted((str(row["doc_id"]), bool(row["text"])) for row in kept) == [("4", True), ("None", False), ("None", False), ("None", True)]
+    assert one_of_each(frame(spark, [(None, copies[0])] * 50 + [(2, copies[3])], extra=True)).collect()[0]["doc_id"] == 2
+
+
 def passages(seed=11):
     pick, words = random.Random(seed), vocabulary(400, 9)
     stock = [pick.choices(words, k=pick.choice([30, 49, 50, 51, 70, 130])) for _ in range(8)]

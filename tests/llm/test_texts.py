@@ -16,7 +16,7 @@ from geoquarry.llm.boosting import grow, isotonic
 from geoquarry.llm.byte_bpe import Vocabulary, bpe_digests, decoded, encode
 from geoquarry.llm.html_extraction import extracted, is_aside, wrappers
 from geoquarry.llm.html_pages import blocks
-from geoquarry.llm.labelled import remainder
+from geoquarry.llm.labelled import remainder, training_rows
 from geoquarry.llm.queries import QUERIES
 from geoquarry.llm.text_arrays import shingle_hashes, text_blocks
 from geoquarry.llm.url_filter import url_host
@@ -346,6 +346,37 @@ def test_odd_documents_have_scores(spark, fit, score, column, label):
     assert score(docs.limit(0), fit(docs.limit(0), known)).collect() == []
 
 
+@pytest.mark.parametrize("count", [300, 3_000])
+def test_toxicity_is_fitted_alike_at_every_size(spark, count):
+    pick = np.random.default_rng(4)
+    words = np.array([f"word{number}" for number in range(300)])
+    rows = []
+    for number in range(2 * count):
+        text = list(pick.choice(words, 30))
+        toxic = number % 3 == 0
+        if toxic:
+            text[::6] = pick.choice(["grubbel", "fnarz", "zwolk"], 5)
+        rows.append((number, " ".join(text), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit_toxicity(docs, docs.filter(F.col("doc_id") < count).select("doc_id", "toxic"))
+    out = toxicity.toxicity(docs.filter(F.col("doc_id") >= count), model).select("toxic", "toxicity").collect()
+    truth, scores = np.array([row[0] for row in out]), np.array([row[1] for row in out])
+    assert ranked(scores, truth) > 0.98 and ((scores >= 0.5) == truth).mean() > 0.97
+    # Labels without meaning give scores near their share, not those of learned rows.
+    noise = docs.filter(F.col("doc_id") < count).select("doc_id", (F.xxhash64("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    plain = toxicity.fit_toxicity(docs, noise)
+    guesses = np.array([row[0] for row in toxicity.toxicity(docs.filter(F.col("doc_id") < count), plain).select("toxicity").collect()])
+    assert np.quantile(np.abs(guesses - 0.5), 0.5) < 0.25
+
+
+def test_repeated_ids_are_one_training_row(spark):
+    docs = spark.range(50_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "other"), (None, "nobody")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id bigint, toxic int")
+    assert sorted(row["label"] for row in training_rows(docs, labels, "toxic", 20_000).collect()) == [0, 1]
+    assert training_rows(docs, labels, "toxic", 1).count() == 1
+
+
 def test_disguised_insults_count(spark):
     model = toxicity.ToxicityModel(toxicity.Lexicon.of([("moron", 0, 4.0)]), 0.0, [], np.zeros(1), np.zeros(1))
     for block in text_blocks(pa.array(["you m0ron there", "what a moron", "m.o.r.o.n", "more on that"])):
