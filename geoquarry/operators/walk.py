@@ -4,7 +4,10 @@ The catalog is an edge table and a table of readable documents. Each level is
 a join of the frontier with the edges, an aggregate that keeps the first
 mention of each child, and an anti join with what is already placed. Levels
 are cut with a checkpoint in the shared folder, so a lost executor costs the
-current level only.
+current level only. What the walk needs of documents and edges is written
+there once, at the begin: no level parses a document again. A frontier of few
+rows goes to the tables, which then are read in place; a large one is joined
+by a shuffle, where a hot parent is split.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from geoquarry.operators.ranking import first_by, numbered
 from geoquarry.session import ensure_checkpoints
 
+# Rows of a frontier that go along with the tasks.
+CARRIED_ROWS = 50_000
 VISITED = "href string, depth int, place bigint, kind string, error string"
 
 
@@ -47,14 +52,22 @@ def walk(
     followed = followed.withColumnRenamed("parent", "href")
     if isinstance(starts, str):
         starts = spark.createDataFrame([(starts,)], "root string")
+    read, followed = read.checkpoint(), followed.checkpoint()
     frontier = starts.select("root", F.col("root").alias("href"), F.lit(0).cast("bigint").alias("place")).distinct()
     levels: list[DataFrame] = []
-    depth, reads = 0, 0
+    depth = 0
     while True:
         if budget is not None:
             frontier = _within_budget(frontier, levels, budget)
+        # The files of a checkpoint hold the rows: counting them is a metadata-sized job.
+        frontier = frontier.checkpoint(eager=True)
+        found = frontier.count()
+        if found == 0:
+            break
+        few = found <= CARRIED_ROWS
+        own = read.join(F.broadcast(frontier.select("href").distinct()), "href", "left_semi") if few else read
         level = (
-            frontier.join(read, "href", "left")
+            frontier.join(own, "href", "left")
             .select(
                 "root",
                 "href",
@@ -65,14 +78,10 @@ def walk(
             )
             .checkpoint(eager=True)
         )
-        # The files of the checkpoint hold the rows: counting them is a metadata-sized job.
-        found = level.count()
-        if found == 0:
-            break
         levels.append(level)
-        reads += found
         placed = reduce(DataFrame.unionByName, levels).select("root", "href")
-        mentions = level.where("error is null").select("root", "href", F.col("place").alias("parent_place")).join(followed, "href")
+        parents = level.where("error is null").select("root", "href", F.col("place").alias("parent_place"))
+        mentions = (F.broadcast(parents) if few else parents).join(followed, "href")
         first = first_by(
             mentions, ["root", "child"], ["parent_place", "late", "pos"], ["parent_place", "late", "pos"]
         ).withColumnRenamed("child", "href")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from geoquarry.functions import extents
 from geoquarry.operators import catalog
 from geoquarry.operators.ranking import first_by, numbered
 from geoquarry.operators.walk import failures, truncated, walk
@@ -122,3 +123,23 @@ def test_walk_order_cycles_failures_and_budget(spark):
     assert order(walk(documents, table, "r", first_item_only=True)) == ["r", "b", "a", "z", "bad", "y", "x"]
     both = walk(documents, table, spark.createDataFrame([("a",), ("b",)], "root string"))
     assert order(both.where("root = 'b'")) == ["b", "z", "y", "w", "gone", "bad"]
+
+
+def test_boxes_meet_as_sets_of_longitudes(spark):
+    """Compare with the whole degrees that a box covers, once whole turns are taken off."""
+    def covered(west, east):
+        if east - west >= 360:
+            return set(range(-180, 181))
+        west, east = (side if -180 <= side <= 180 else (side + 180) % 360 - 180 for side in (west, east))
+        return {degree for degree in range(-180, 181) if (west <= degree <= east if west <= east else degree >= west or degree <= east)}
+
+    sides = [(-10, 10), (10, 20), (170, -170), (-180, 180), (180, -180), (175, 190), (-190, -175), (350, 370), (0, 720), (20, 10), (-180, -180), (180, 180), (540, 541)]
+    rows = [(*map(float, one), *map(float, two)) for one in sides for two in sides]
+    frame = spark.createDataFrame(rows, "w double, e double, v double, f double")
+    one = extents.box(F.col("w"), F.lit(0.0), F.col("e"), F.lit(1.0))
+    two = extents.box(F.col("v"), F.lit(1.0), F.col("f"), F.lit(2.0))
+    for row in frame.select("*", extents.boxes_meet(one, two).alias("meet")).collect():
+        assert row.meet == bool(covered(row.w, row.e) & covered(row.v, row.f)), row
+    far = extents.box(F.col("v"), F.lit(1.5), F.col("f"), F.lit(2.0))
+    assert not any(row[0] for row in frame.select(extents.boxes_meet(one, far)).collect())
+    assert all(row[0] for row in frame.select(extents.boxes_meet(one, F.lit(None).cast(extents.BOX_TYPE))).collect())
