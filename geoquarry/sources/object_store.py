@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from typing import Any
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrameReader, SparkSession
 
 REGION = re.compile(r"^([a-z]{2}(?:-gov)?-[a-z]+-\d)\.")
 DEFAULT_REGION = "us-east-1"
@@ -30,11 +30,9 @@ def bucket_settings(urls: Iterable[str]) -> dict[str, str]:
     return settings
 
 
-def use_buckets(spark: SparkSession, urls: Iterable[str]) -> None:
-    """Apply the bucket settings to a running session."""
-    for key, value in bucket_settings(urls).items():
-        spark.conf.set(f"spark.hadoop.{key}", value)
-        spark.sparkContext._jsc.hadoopConfiguration().set(key, value)
+def reader_of(spark: SparkSession, urls: Iterable[str]) -> DataFrameReader:
+    """Return a reader that has the settings of the buckets it is going to read."""
+    return spark.read.options(**bucket_settings(urls))
 
 
 def store_of(path: str) -> tuple[Any, str]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions.wkb import point_wkb
 from geoquarry.plans.dataset import GeoDataset
+from geoquarry.session import scratch_path
 from geoquarry.sources.parquet import plan_read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, write: Callable[[str], None]) -> str:
+    """Return the path of a table that a query reads, written once for each application and folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def flag(value: Column) -> Column:
     """Return a boolean as 0 or 1."""
     return value.cast("bigint")
@@ -142,6 +156,11 @@ def shape_rows(spark: SparkSession, folder: str) -> DataFrame:
     return corners.select("o_orderkey", "kind", "o_orderstatus", box.alias("bbox"), shape.alias("geometry"))
 
 
+def stored_shapes(spark: SparkSession, folder: str) -> str:
+    """Return the path of the mixed features as Parquet."""
+    return stored(spark, folder, "shapes", lambda path: shape_rows(spark, folder).write.parquet(path))
+
+
 def shapes(spark: SparkSession, folder: str) -> GeoDataset:
     """Return the mixed features as a dataset."""
     rows = shape_rows(spark, folder)

@@ -437,6 +437,13 @@ def h01_joined_links(spark, folder):
     return joined.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("hrefs"))
 
 
+@query("h01_item_addresses", f"""WITH {ITEM_SQL} SELECT url, 'self' AS rel, url AS href FROM item WHERE {OK_ITEM} UNION ALL SELECT url, 'parent', '{HOST}/catalog.json' FROM item WHERE {OK_ITEM}
+UNION ALL SELECT url, 'icon', '{HOST}/items/' || k || CASE WHEN k % 5 = 0 THEN '/i.tif' ELSE '/i.png' END FROM item WHERE {OK_ITEM} UNION ALL SELECT url, 'license', '{HOST}/license.txt' FROM item, (VALUES (1), (2)) WHERE {OK_ITEM}
+UNION ALL SELECT url, 'pmtiles', '{HOST}/items/' || k || '/t.pmtiles' FROM item WHERE {OK_ITEM} AND k % 3 = 0""")
+def h01_item_addresses(spark, folder):
+    return docs.links_of(docs.read_documents(order_bodies(spark, folder))).select("url", "rel", "href")
+
+
 @query("h01_dotted_paths", "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/a/c/d' || page_id || '.json?v=1' AS href FROM pages")
 def h01_dotted_paths(spark, folder):
     relative = F.concat(F.lit("/a/b/../c/./d"), "page_id", F.lit(".json?v=1"))
@@ -546,6 +553,27 @@ def h17_excerpts_of_whole_texts(spark, folder):
     return table(spark, folder, "documents").select("doc_id", flag(~labels.excerpt(F.col("text")).endswith("…")).alias("whole"))
 
 
+@query("h17_excerpts", r"""SELECT doc_id, CASE WHEN length(line) <= 240 THEN line ELSE rtrim(line[1:239]) || '…' END AS excerpt
+FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x85\xA0\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS line FROM documents)""")
+def h17_excerpts(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", labels.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("h17_license_names", "SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Custom terms' WHEN '5-LOW' THEN '' ELSE o_orderpriority END AS name, count(*) AS n FROM orders GROUP BY 1")
+def h17_license_names(spark, folder):
+    rank = F.col("o_orderpriority")
+    value = F.when(rank == "1-URGENT", " Other ").when(rank != "5-LOW", rank)
+    return table(spark, folder, "orders").groupBy(labels.license_name(value).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("h17_link_labels", """SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'Mine ' || o_orderkey WHEN 1 THEN 'h' || o_orderkey || '.test' ELSE 'r' || o_orderkey || '.md' END AS label FROM orders""")
+def h17_link_labels(spark, folder):
+    key = F.col("o_orderkey")
+    title = F.when(key % 4 == 0, F.concat(F.lit(" Mine "), key)).when(key % 4 == 3, "License")
+    href = F.when(key % 4 == 1, F.concat(F.lit("https://www.h"), key, F.lit(".test/x"))).otherwise(F.concat(F.lit("https://h.test/a/r"), key, F.lit(".md?v=1")))
+    return table(spark, folder, "orders").select(key.alias("k"), labels.link_label(href, title).alias("label"))
+
+
 @query("h17_catalog_lines", f"""WITH {REGISTRY_SQL} SELECT id, concat_ws(', ', CASE WHEN collections = 1 THEN '1 collection' WHEN collections IS NOT NULL THEN collections || ' collections' END, NULLIF(replace(licenses, ' ', ' and '), '')) AS line FROM entry""")
 def h17_catalog_lines(spark, folder):
     unknown = F.lit(None).cast("bigint")

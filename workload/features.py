@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoquarry.functions import wkb
@@ -18,11 +18,12 @@ from geoquarry.plans.custom_select import check_select
 from geoquarry.plans.dataset import GeoDataset, rerun
 from geoquarry.plans.download import write_all_clipped
 from geoquarry.session import scratch_path
+from geoquarry.sources.object_store import bucket_settings
 from geoquarry.sources.parquet import list_files, read_footers
 from geoquarry.sources.text_features import read_csv, read_geojson
 from workload.base import (
     AREA, AREA_BOX, BOX, BOX_SQL, EDGES_SQL, IN_AREA_SQL, PLACES_SQL, SHAPE_BOX_SQL, SHAPE_COVER_SQL, SHAPES_SQL,
-    flag, place_columns, place_rows, places, query, shape_rows, shapes, table,
+    flag, place_columns, place_rows, places, query, shape_rows, shapes, stored, stored_shapes, table,
 )
 
 CLIP = Clip(BOX)
@@ -30,17 +31,16 @@ AREA_CLIP = Clip(AREA_BOX, AREA)
 
 
 def stored_places(spark, folder) -> str:
-    """Write the point features below status folders and return the path."""
-    path = scratch_path(spark, "places")
-    place_rows(spark, folder).write.partitionBy("o_orderstatus").parquet(path)
-    return path
+    """Return the path of the point features below status folders."""
+    return stored(spark, folder, "places", lambda path: place_rows(spark, folder).write.partitionBy("o_orderstatus").parquet(path))
 
 
 @query("slice_box_filter_columns", f"""WITH {PLACES_SQL}
 SELECT o_orderkey, o_totalprice, day FROM places
 WHERE {BOX_SQL} AND o_orderstatus = 'O' AND o_totalprice > 150000.0""")
 def slice_box_filter_columns(spark, folder):
-    kept = places(spark, folder).within(CLIP).where(Compare("o_orderstatus", "=", "O") & Compare("o_totalprice", ">", 150000.0))
+    data = GeoDataset.read(spark, stored_places(spark, folder)).within(CLIP)
+    kept = data.where(Compare("o_orderstatus", "=", "O") & Compare("o_totalprice", ">", 150000.0))
     return kept.select("o_totalprice", "o_orderkey", "day").rows().drop("geometry")
 
 
@@ -60,6 +60,33 @@ def s02_list_files(spark, folder):
     return listed.groupBy(segment.alias("segment")).agg(F.count("*").alias("files"))
 
 
+@query("l02_listing_order", "SELECT o_orderstatus AS status, row_number() OVER (ORDER BY o_orderstatus) AS place, CAST(1 AS BIGINT) AS together FROM (SELECT DISTINCT o_orderstatus FROM orders)")
+def l02_listing_order(spark, folder):
+    listed = list_files(spark, stored_places(spark, folder) + "/o_orderstatus=*/*.parquet")
+    status = F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("status")
+    # Ids grow in the order of the listing; three groups of files are left for the window.
+    rows = listed.select(status, F.monotonically_increasing_id().alias("n")).groupBy("status").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    order = Window.orderBy("low")
+    apart = F.coalesce(F.col("high") < F.lead("low").over(order), F.lit(True))
+    return rows.select("status", F.row_number().over(order).cast("bigint").alias("place"), flag(apart).alias("together"))
+
+
+BUCKET_SQL = """bucket AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'eu-west-' || (n_nationkey % 3 + 1) || '.' ELSE 'data.' END || lower(replace(n_name, ' ', '-')) AS name,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'eu-west-' || (n_nationkey % 3 + 1) ELSE 'us-east-1' END AS region FROM nation)"""
+
+
+@query("s13_bucket_settings", f"""WITH {BUCKET_SQL} SELECT 'fs.s3a.bucket.' || name || '.path.style.access' AS setting, 'true' AS value FROM bucket
+UNION ALL SELECT 'fs.s3a.bucket.' || name || '.endpoint.region', region FROM bucket""")
+def s13_bucket_settings(spark, folder):
+    key = F.col("n_nationkey")
+    start = F.when(key % 2 == 0, F.concat(F.lit("eu-west-"), key % 3 + 1, F.lit("."))).otherwise("data.")
+    named = F.concat(F.lit("s3://"), start, F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit("/x.parquet"))
+    # Settings belong to the session: one URL a bucket comes to the driver, and plain buckets need none.
+    urls = [row[0] for row in table(spark, folder, "nation").select(named).distinct().collect()]
+    found = bucket_settings([*urls, "s3://plain/x.parquet", "https://a.b/x.parquet"])
+    return spark.createDataFrame(sorted(found.items()), "setting string, value string")
+
+
 @query("s03_read_footers", f"WITH {PLACES_SQL} SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS features FROM places GROUP BY 1")
 def s03_read_footers(spark, folder):
     footers = read_footers(list_files(spark, stored_places(spark, folder) + "/*/*.parquet"))
@@ -409,6 +436,13 @@ def g07_intersects_triangles(spark, folder):
     return shape_rows(spark, folder).where("kind = 2").where(touches("geometry")).select("o_orderkey")
 
 
+@query("g07_intersects_shapes", f"WITH {SHAPES_SQL} SELECT o_orderkey FROM shapes WHERE {SHAPE_BOX_SQL}")
+def g07_intersects_shapes(spark, folder):
+    from geoquarry.functions.shapes import box_polygon
+
+    return shape_rows(spark, folder).where(wkb.intersects_test(box_polygon(*BOX))("geometry")).select("o_orderkey")
+
+
 @query("g08_envelope", f"WITH {SHAPES_SQL} SELECT o_orderkey, x AS xmin, y AS ymin, CASE WHEN kind = 0 THEN x ELSE x + w END AS xmax, CASE WHEN kind = 0 THEN y ELSE y + h END AS ymax FROM shapes")
 def g08_envelope(spark, folder):
     return shape_rows(spark, folder).select("o_orderkey", wkb.envelope("geometry").alias("b")).select("o_orderkey", "b.*")
@@ -435,7 +469,7 @@ def k01_write_features(spark, folder):
     from dataclasses import replace
 
     path = scratch_path(spark, "copy")
-    data = shapes(spark, folder).within(CLIP)
+    data = GeoDataset.read(spark, stored_shapes(spark, folder)).within(CLIP)
     typed = replace(data, plan=replace(data.plan, shape=data.plan.shape._replace(kind="MultiPoint")))
     written = typed.write(path, confirmed=True)
     about = "$.columns.geom"
