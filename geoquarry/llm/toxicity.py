@@ -205,31 +205,24 @@ def learn_lexicon(rows: DataFrame, *, size: int = LEXICON, least: int = 5) -> li
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled rows, by one rule at every size.
+    """Fit on at most ``sample`` labelled rows: half for the lexicon, the rest for trees and calibration.
 
-    ``labels`` holds only rows that may be learned from. Trees learn from
-    features that the lexicon of the other half of the rows gives, and the
-    calibration from scores of trees that have not seen the row's third.
-    The fitted lexicon and trees use all rows. Labels of one kind only give
-    all documents the same chance.
+    ``labels`` holds only rows that may be learned from. Below 2,000 rows
+    there are too few for separate parts: trees and calibration then use all
+    of them. Labels of one kind only give all documents the same chance.
     """
     prepared(docs)
     rows = training_rows(docs, labels, "toxic", sample).checkpoint()
-    lexicon = Lexicon.of(learn_lexicon(rows))
-    first, second = (Lexicon.of(learn_lexicon(rows.filter(half))) for half in ("part < 5", "part >= 5"))
+    lexicon = Lexicon.of(learn_lexicon(rows.filter("part < 5")))
 
     @F.arrow_udf("array<double>")
-    def measured(column: pa.Array, part: pa.Array) -> pa.Array:
-        late = np.asarray(part) >= 5
-        values = np.zeros((len(late), len(FEATURES)))
-        for other, own in ((first, late), (second, ~late)):
-            parts = [features(block, other) for block in text_blocks(column.filter(pa.array(own)))]
-            if parts:
-                values[own] = np.concatenate(parts)
+    def measured(column: pa.Array) -> pa.Array:
+        parts = [features(block, lexicon) for block in text_blocks(column)]
+        values = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
         return pa.array(list(values), pa.list_(pa.float64()))
 
     # At most ``sample`` rows of a few numbers.
-    seen = rows.select("label", "part", measured("text", "part").alias("values")).collect()
+    seen = rows.select("label", "part", measured("text").alias("values")).collect()
     values = np.array([row["values"] for row in seen]).reshape(len(seen), len(FEATURES))
     truth = np.array([row["label"] for row in seen], float)
     part = np.array([row["part"] for row in seen], int)
@@ -237,13 +230,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) ->
     values, truth, part = values[order], truth[order], part[order]
     if len(set(truth.tolist())) < 2:
         return ToxicityModel(lexicon, 0.0, [], np.zeros(1), np.array([(truth.sum() + 0.1) / (len(truth) + 0.2)]))
-    settings = {"rounds": 60, "depth": 3, "rate": 0.2}
-    raw = np.zeros(len(truth))
-    for third in range(3):
-        own = part % 3 == third
-        if own.any() and not own.all():
-            raw[own] = ToxicityModel(lexicon, *grow(values[~own], truth[~own], **settings), np.zeros(1), np.zeros(1)).raw(values[own])
-    return ToxicityModel(lexicon, *grow(values, truth, **settings), *isotonic(raw, truth))
+    fold = part >= 5 if len(truth) >= 2000 else np.ones(len(truth), bool)
+    start, trees = grow(values[fold & (part % 3 != 0)], truth[fold & (part % 3 != 0)], rounds=60, depth=3, rate=0.2)
+    model = ToxicityModel(lexicon, start, trees, np.zeros(1), np.zeros(1))
+    rest = fold & (part % 3 == 0) if len(truth) >= 2000 else fold
+    model.ends, model.heights = isotonic(model.raw(values[rest]), truth[rest])
+    return model
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
