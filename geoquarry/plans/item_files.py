@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +15,12 @@ from geoquarry.model import Scope
 from geoquarry.operators.catalog import item_hrefs
 from geoquarry.operators.walk import truncated, walk
 from geoquarry.plans.dataset import GeoDataset
+from geoquarry.session import ensure_checkpoints
 from geoquarry.sources import mirror
 from geoquarry.sources.parquet import scan
 
+log = logging.getLogger(__name__)
+
 
 def walked_files(
     documents: DataFrame, edges: DataFrame, assets: DataFrame, start: str, scope: Scope, budget: int | None = None
@@ -53,7 +59,9 @@ def files_in_scope(
 ) -> DataFrame:
     """Return the files of a collection's items in scope as ``(href)``.
 
-    The collection's index answers when it can be opened; else the items are walked.
+    The collection's index answers when it can be opened and read to its end;
+    else the items are walked. What the index gives is staged at once: a file
+    that fails only while tasks read it is found here and not later.
     """
     own = assets.where(F.col("url") == collection)
     index = mirror.mirror_hrefs(own).first()
@@ -61,9 +69,10 @@ def files_in_scope(
         try:
             frame = scan(spark, index.href)
             links = edges.where(F.col("parent") == collection)
-            return indexed_files(frame, index.href, scope, links).select("href")
-        except (PySparkException, ValueError):
-            pass
+            ensure_checkpoints(spark)
+            return indexed_files(frame, index.href, scope, links).select("href").checkpoint(eager=True)
+        except (PySparkException, Py4JJavaError, ValueError) as error:
+            log.warning("The index %s cannot be read, its items are walked: %s", index.href, str(error).split("\n", 1)[0])
     return walked_files(documents, edges, assets, collection, scope, budget).select("href")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -141,6 +142,18 @@ def test_files_in_scope_falls_back_to_the_walk(spark, tmp_path):
     assert [r.href for r in found.collect()] == ["https://fields.test/own/upper.tif"]
     walked = item_files.files_in_scope(spark, *tables("/nowhere/at/all.parquet")[:3], ROOT, MapView((20, -3, 21, -2)))
     assert {r.href.rsplit("/", 1)[1] for r in walked.collect()} == {"quay.tif", "loose.tif", "pier.tif"}
+    # Footers that open, pages that do not read.
+    broken = stored_index(spark, str(tmp_path / "broken"))
+    for part in (name for name in os.listdir(broken) if name.endswith(".parquet")):
+        with open(f"{broken}/{part}", "rb+") as file:
+            body = file.read()
+            footer = int.from_bytes(body[-8:-4], "little") + 8
+            file.seek(4)
+            file.write(bytes(len(body) - footer - 4))
+    for sums in (name for name in os.listdir(broken) if name.endswith(".crc")):
+        os.remove(f"{broken}/{sums}")
+    again = item_files.files_in_scope(spark, *tables(broken)[:3], ROOT, MapView((20, -3, 21, -2)))
+    assert {r.href.rsplit("/", 1)[1] for r in again.collect()} == {"quay.tif", "loose.tif", "pier.tif"}
     stopped = item_files.walked_files(*tables(index)[:3], ROOT, Everything(), 3).collect()
     assert len(stopped) == 2 and all(row.truncated for row in stopped)
 

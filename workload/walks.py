@@ -15,7 +15,7 @@ from geoquarry.plans.download import DownloadPlan, plan_download
 from geoquarry.plans.sweep import sweep
 from geoquarry.session import scratch_path
 from geoquarry.sources import mirror
-from workload.base import HOST, flag, query, table
+from workload.base import HOST, flag, query, stored, table
 from workload.features import CHECKS_SQL, check_rows
 
 # ---- the graph: root -> regions -> nations -> customers -> orders, and links back to the root.
@@ -116,7 +116,7 @@ def b03_redirected_documents(spark, folder):
 
 @query("j02_one_step_of_the_walk", f"WITH {GRAPH_SQL} SELECT href, turn FROM (SELECT href, row_number() OVER (ORDER BY place) AS turn FROM l2)")
 def j02_one_step_of_the_walk(spark, folder):
-    visited = walk(*graph(spark, folder), "root", 31).where("depth = 2")
+    visited = walk(*graph(spark, folder), "root").where("depth = 2")
     return turns(visited).select("href", "turn")
 
 
@@ -177,6 +177,37 @@ def index_links(spark, folder) -> DataFrame:
     return rows.select(F.lit("m").alias("parent"), F.col("o_orderkey").alias("pos"), child.alias("child"), F.lit("item").alias("kind"))
 
 
+def damaged_index(spark, folder) -> str:
+    """Return the path of an item index whose footers are whole and whose pages are not."""
+    import pyarrow.fs as fs
+
+    from geoquarry.sources.object_store import store_of
+
+    def write(path: str) -> None:
+        index_rows(spark, folder).write.parquet(path)
+        store, inner = store_of(path)
+        for part in store.get_file_info(fs.FileSelector(inner)):
+            if part.path.endswith(".parquet"):
+                with store.open_input_file(part.path) as whole:
+                    body = whole.read()
+                footer = int.from_bytes(body[-8:-4], "little") + 8
+                with store.open_output_stream(part.path) as out:
+                    out.write(body[:4] + bytes(len(body) - footer - 4) + body[-footer:])
+        for sums in store.get_file_info(fs.FileSelector(inner)):
+            if sums.path.endswith(".crc"):
+                store.delete_file(sums.path)
+
+    return stored(spark, folder, "damaged", write)
+
+
+@query("b02_damaged_index", f"WITH {GRAPH_SQL}, {ASSETS_OF_ORDERS} SELECT DISTINCT f.href FROM walked w JOIN files f ON f.doc = w.href WHERE NOT w.failed AND f.inside AND f.s <> 'P'")
+def b02_damaged_index(spark, folder):
+    assets = order_assets(spark, folder)
+    index = spark.range(1).select(F.lit("root").alias("url"), F.lit(-1).alias("pos"), F.lit(damaged_index(spark, folder)).alias("href"), F.array(F.lit("collection-mirror")).alias("roles"))
+    index = index.withColumn("pos", F.col("pos").cast(assets.schema["pos"].dataType))
+    return item_files.files_in_scope(spark, *graph(spark, folder), assets.unionByName(index, allowMissingColumns=True), "root", VIEW)
+
+
 @query("s10_item_index", f"WITH {MIRROR_SQL} SELECT DISTINCT href FROM idx WHERE NOT nobox AND y <= 45 AND y + 1 >= -30 AND (k % 9 = 0 AND (x <= 40 OR x - 1 >= -60) OR k % 9 <> 0 AND x <= 40 AND x + 1 >= -60)")
 def s10_item_index(spark, folder):
     return item_files.indexed_files(index_rows(spark, folder), MIRROR_URL, VIEW, index_links(spark, folder)).select("href")
