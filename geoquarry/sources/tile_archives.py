@@ -24,6 +24,8 @@ from geoquarry.session import ensure_checkpoints
 HEADER_LENGTH = 127
 MAGIC = b"PMTiles"
 FIRST_READ = 16384
+# Headers that a task holds at once; their metadata may be long.
+HEADER_ROWS = 64
 TILE_TYPES = ("unknown", "mvt", "png", "jpeg", "webp", "avif", "mlt")
 COMPRESSIONS = ("unknown", "none", "gzip", "brotli", "zstd")
 
@@ -117,6 +119,9 @@ def read_headers(archives: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path in batch.column(0).to_pylist():
+                if len(rows) == HEADER_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
                 row: dict = dict.fromkeys(schema.names)
                 row["archive"] = path
                 try:
@@ -184,12 +189,12 @@ def read_entries(archives: DataFrame) -> DataFrame:
         from geoquarry.sources.object_store import open_input
 
         for batch in batches:
-            for row in batch.to_pylist():
-                with open_input(row["archive"]) as handle:
-                    handle.seek(row["leaf_start"] + row["offset"])
-                    raw = handle.read(row["length"])
-                found = directory(inflate(raw, row["compression"]))
-                yield _rows(row["archive"], found, row["leaf_start"], row["compression"])
+            for archive, offset, length, leaf_start, compression in zip(*(batch.column(name) for name in ("archive", "offset", "length", "leaf_start", "compression")), strict=True):
+                path, start, codec = archive.as_py(), leaf_start.as_py(), compression.as_py()
+                with open_input(path) as handle:
+                    handle.seek(start + offset.as_py())
+                    raw = handle.read(length.as_py())
+                yield _rows(path, directory(inflate(raw, codec)), start, codec)
 
     level = archives.select("archive").mapInArrow(roots, ENTRIES).checkpoint()
     every = level.where("run_length > 0")

@@ -24,3 +24,12 @@ def test_use_marks_move_hashes_only(spark):
         ("https://h/a b.tif", "s3://b/1", True), ("https://h/c.tif", "s3://b/2", True), ("https://h/d.tif", None, True), (None, "s3://b/4", False), (None, None, False)}
     plan = plan_of(marked)
     assert "hashpartitioning(href" not in plan and "hashpartitioning(read_url" not in plan
+
+
+def test_one_archive_at_a_time_is_turned_into_objects(spark, sf_dir, monkeypatch):
+    from geoquarry.sources import tile_archives
+
+    monkeypatch.setattr(tile_archives, "HEADER_ROWS", 1)
+    written = tiles.write_archives(spark, sf_dir)
+    heads = tile_archives.read_headers(written.coalesce(1)).collect()
+    assert len(heads) == written.count() > 1 and all(row["error"] is None for row in heads)

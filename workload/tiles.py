@@ -117,11 +117,12 @@ def write_archives(spark, folder) -> DataFrame:
         store.create_dir(root, recursive=True)
         for batch in batches:
             paths = []
-            for row in batch.to_pylist():
-                path = f"{root}/{row['name']}.pmtiles"
-                with store.open_output_stream(path) as out:
-                    out.write(_archive([tuple(entry.values()) for entry in row["entries"]]))
-                paths.append(f"{target}/{row['name']}.pmtiles")
+            # One archive's entries are Python objects at a time, not those of a whole batch.
+            for at in range(batch.num_rows):
+                name, entries = (column[at].as_py() for column in batch.columns)
+                with store.open_output_stream(f"{root}/{name}.pmtiles") as out:
+                    out.write(_archive([tuple(entry.values()) for entry in entries]))
+                paths.append(f"{target}/{name}.pmtiles")
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["archive"])
 
     # A written table of paths, so that reading never writes again.
