@@ -26,6 +26,13 @@ def test_use_marks_move_hashes_only(spark):
     assert "hashpartitioning(href" not in plan and "hashpartitioning(read_url" not in plan
 
 
+def test_files_of_a_status_are_written_by_several_tasks(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(walks, "WRITE_ROWS", 300)
+    monkeypatch.setattr(walks, "scratch_path", lambda _spark, name: str(tmp_path / name))
+    walks.q05_parquet_checks(spark, sf_dir).collect()
+    assert len(list((tmp_path / "footers").glob("o_orderstatus=F/*.parquet"))) > 1
+
+
 def test_one_archive_at_a_time_is_turned_into_objects(spark, sf_dir, monkeypatch):
     from geoquarry.sources import tile_archives
 
