@@ -108,13 +108,16 @@ def match_archives(named: DataFrame, archives: DataFrame) -> DataFrame:
         .where("_count = 1")
     )
     keyed = wanted.withColumn("_name", last_segment(url_path(F.col("archive"))))
-    joined = keyed.join(exact, ["url", "archive"], "left").join(by_name, ["url", "_name"], "left")
+    # Files look smaller than what is read from them: neither side is broadcast by their sizes.
+    joined = keyed.join(exact.hint("merge"), ["url", "archive"], "left").join(by_name.hint("merge"), ["url", "_name"], "left")
     return joined.select("url", "archive", F.coalesce("_exact", "_named").alias("href"))
 
 
 def stray_archives(named: DataFrame, archives: DataFrame) -> DataFrame:
     """Return the archives that styles name and the document does not list."""
-    return named.select("url", "archive").subtract(archives.select("url", F.col("href").alias("archive")))
+    listed = archives.select(F.col("url").alias("_url"), F.col("href").alias("_href")).hint("merge")
+    same = F.col("url").eqNullSafe(F.col("_url")) & F.col("archive").eqNullSafe(F.col("_href"))
+    return named.select("url", "archive").join(listed, same, "left_anti").distinct()
 
 
 # A name that a repeat may get: another name and a number from 2.

@@ -26,6 +26,22 @@ def test_use_marks_move_hashes_only(spark):
     assert "hashpartitioning(href" not in plan and "hashpartitioning(read_url" not in plan
 
 
+def test_archives_are_matched_without_broadcasts(spark, tmp_path):
+    rows = stored(spark, tmp_path / "names", spark.range(50).select(F.concat(F.lit("u"), F.col("id")).alias("url"), F.concat(F.lit("https://h/"), F.col("id"), F.lit(".pmtiles")).alias("archive")))
+    other = rows.where("url <> 'u7'").select("url", F.col("archive").alias("href"))
+    matched = styles.match_archives(rows, other)
+    assert "BroadcastHashJoin" not in plan_of(matched)
+    assert {r.url for r in matched.where("href IS NULL").collect()} == {"u7"}
+
+
+def test_stray_archives_are_found_without_broadcasts(spark, tmp_path):
+    none = spark.createDataFrame([("u7", "x"), ("u7", "x"), (None, "y"), (None, None), ("z", None)], "url string, archive string")
+    rows = stored(spark, tmp_path / "stray", none)
+    stray = styles.stray_archives(rows, rows.where("archive IS NULL").select("url", F.col("archive").alias("href")))
+    assert "BroadcastHashJoin" not in plan_of(stray)
+    assert sorted(stray.collect(), key=str) == sorted([("u7", "x"), (None, "y")], key=str)
+
+
 def test_files_of_a_status_are_written_by_several_tasks(spark, sf_dir, monkeypatch, tmp_path):
     monkeypatch.setattr(walks, "WRITE_ROWS", 300)
     monkeypatch.setattr(walks, "scratch_path", lambda _spark, name: str(tmp_path / name))
