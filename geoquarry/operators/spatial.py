@@ -30,6 +30,8 @@ CELL_KEY = ["e", "ix", "iy", "up"]
 CUT_ROWS = 256
 # Features, and pieces, of one cell that one task joins.
 BLOCK_ROWS = 20_000
+# Tables derived from files look smaller than they are: what grows with the features is never broadcast.
+SORTED = "merge"
 # Relative step between neighbouring floats.
 FLOAT_STEP = 2.0**-23
 
@@ -210,9 +212,9 @@ def _by_cells(
     left = judged.where("NOT _hit")
     if not left.isEmpty():
         whole = features.where(F.col(geometry).isNotNull()).select(F.col(key).alias("_id"), F.col(geometry).alias("_shape"))
-        tested = left.join(whole, "_id").where(_piece_test()(F.col("_shape"), F.col("cell.e"), F.col("cell.ix"), F.col("cell.iy"), F.col("body")))
+        tested = left.hint(SORTED).join(whole, "_id").where(_piece_test()(F.col("_shape"), F.col("cell.e"), F.col("cell.ix"), F.col("cell.iy"), F.col("body")))
         hits = hits.unionByName(tested.select("_id"))
-    return features.join(hits.distinct().withColumnRenamed("_id", key), key, "left_semi")
+    return features.join(hits.distinct().withColumnRenamed("_id", key).hint(SORTED), key, "left_semi")
 
 
 def _met(cells: DataFrame, found: DataFrame, path: str) -> DataFrame:
@@ -226,7 +228,7 @@ def _met(cells: DataFrame, found: DataFrame, path: str) -> DataFrame:
     if size["bytes"] + 100 * size["n"] <= CARRIED_BYTES:
         return cells.join(F.broadcast(found), CELL_KEY).where(near)
     stored = scratch_path(cells.sparkSession, "cells")
-    cells.join(found.select(*CELL_KEY).distinct(), CELL_KEY, "left_semi").write.parquet(stored)
+    cells.join(found.select(*CELL_KEY).distinct().hint(SORTED), CELL_KEY, "left_semi").write.parquet(stored)
     cells = cells.sparkSession.read.parquet(stored)
     counts = cells.groupBy(*CELL_KEY).agg(F.count("*").alias("_features")).join(
         found.groupBy(*CELL_KEY).agg(F.count("*").alias("_pieces")), CELL_KEY
@@ -242,7 +244,7 @@ def _met(cells: DataFrame, found: DataFrame, path: str) -> DataFrame:
     one = one.withColumn("_i", F.pmod(F.xxhash64("_id"), F.col("_features")).cast("int")).withColumn("_j", every("_pieces"))
     two = two.withColumn("_j", F.pmod(F.xxhash64("body", "px0", "py0"), F.col("_pieces")).cast("int")).withColumn("_i", every("_features"))
     extra = ["_features", "_pieces"]
-    return one.drop(*extra).join(two.drop(*extra), [*CELL_KEY, "_i", "_j"]).where(near)
+    return one.drop(*extra).join(two.drop(*extra).hint(SORTED), [*CELL_KEY, "_i", "_j"]).where(near)
 
 
 def _point_test():

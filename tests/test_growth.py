@@ -42,6 +42,17 @@ def test_stray_archives_are_found_without_broadcasts(spark, tmp_path):
     assert sorted(stray.collect(), key=str) == sorted([("u7", "x"), (None, "y")], key=str)
 
 
+def test_cells_never_broadcast_what_grows_with_the_features(spark, tmp_path):
+    box = F.struct(*(F.col("id").cast("double").alias(side) for side in ("xmin", "ymin", "xmax", "ymax")))
+    from geoquarry.functions.wkb import point_wkb
+
+    rows = stored(spark, tmp_path / "points", spark.range(40).select("id", box.alias("bbox"), point_wkb(F.col("id").cast("double"), F.col("id").cast("double")).alias("geometry")))
+    areas = tiles.triangles(spark.createDataFrame([(3.0, 3.0, 4.0, 4.0)], "ax double, ay double, aw double, ah double"))
+    found = spatial.touching(rows, areas, "id", carried_bytes=0)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert sorted(row["id"] for row in found.collect()) == [3, 4, 5]
+
+
 def test_files_of_a_status_are_written_by_several_tasks(spark, sf_dir, monkeypatch, tmp_path):
     monkeypatch.setattr(walks, "WRITE_ROWS", 300)
     monkeypatch.setattr(walks, "scratch_path", lambda _spark, name: str(tmp_path / name))

@@ -235,6 +235,6 @@ def j09_shapes_by_both_ways(spark, folder):
     features, areas = shape_rows(spark, folder), supplier_areas(spark, folder)
     near = spatial.touching(features, areas, "o_orderkey").select("o_orderkey", F.lit(1).alias("near"))
     cells = spatial.touching(features, areas, "o_orderkey", carried_bytes=0).select("o_orderkey", F.lit(1).alias("cells"))
-    both = features.select("o_orderkey").join(near, "o_orderkey", "left").join(cells, "o_orderkey", "left")
+    both = features.select("o_orderkey").join(near.hint("merge"), "o_orderkey", "left").join(cells.hint("merge"), "o_orderkey", "left")
     same = F.bool_and(F.col("near").eqNullSafe(F.col("cells")))
     return both.agg(flag(same).alias("same"), F.count("*").alias("features"))
