@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 
@@ -12,6 +12,8 @@ ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=
 SYMBOLS = len(ALPHABET)
 CODES = np.full(256, -1, np.int16)
 CODES[list(ALPHABET)] = np.arange(SYMBOLS)
+# Stands for the end of a word where symbols are counted.
+END = -1
 # Chance of calling two equal frequencies different.
 ALPHA = 0.05
 # What every count gives away to what no example had: a path of a single example says nothing.
@@ -25,7 +27,7 @@ SIDE_BY_SIDE = 512
 class _Tree:
     """The prefix tree of examples, with counts; states are merged in place."""
 
-    def __init__(self, words: Sequence[bytes]) -> None:
+    def __init__(self, words: Sequence[bytes] = ()) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.arcs: list[dict[int, int]] = [{}]
         self.ends = [0]
@@ -45,6 +47,30 @@ class _Tree:
                 self.passed[state] += 1
             self.ends[state] += 1
 
+    @classmethod
+    def of_prefixes(cls, counts: Mapping[bytes, Mapping[int, int]], least: float) -> _Tree:
+        """Build the tree of the prefixes that at least so many examples have.
+
+        ``counts`` holds, by prefix, how many examples go on with each symbol and how many end (``END``).
+        Arcs to rarer prefixes are counted and lead nowhere yet.
+        """
+        tree, places = cls(), {b"": 0}
+        for prefix in sorted(counts, key=lambda prefix: (len(prefix), prefix)):
+            own = counts[prefix]
+            passed = sum(own.values())
+            if prefix and (passed < least or prefix[:-1] not in places):
+                continue
+            state = places.setdefault(prefix, len(tree.next))
+            if prefix:
+                tree.next[places[prefix[:-1]]][int(CODES[prefix[-1]])] = state
+                tree.next.append({})
+                tree.arcs.append({})
+                tree.ends.append(0)
+                tree.passed.append(0)
+            tree.arcs[state] = {symbol: count for symbol, count in sorted(own.items()) if symbol != END}
+            tree.ends[state], tree.passed[state] = own.get(END, 0), passed
+        return tree
+
     def alike(self, kept: int, other: int, reach: float) -> bool:
         """Tell whether two states, and those that follow both, have frequencies within their Hoeffding bounds."""
         waiting = [(kept, other)]
@@ -72,7 +98,9 @@ class _Tree:
             self.ends[a] += self.ends[b]
             for symbol, count in self.arcs[b].items():
                 self.arcs[a][symbol] = self.arcs[a].get(symbol, 0) + count
-                below = self.next[b][symbol]
+                below = self.next[b].get(symbol)
+                if below is None:
+                    continue
                 if symbol in self.next[a]:
                     waiting.append((self.next[a][symbol], below))
                 else:
@@ -95,8 +123,19 @@ class Automaton:
         example had gets the letter frequencies of all examples; if
         ``strict``, it is no word of the format.
         """
-        words = sorted(words)
-        tree = _Tree(words)
+        automaton = cls._merged(_Tree(sorted(words)), alpha)
+        codes = [CODES[np.frombuffer(word, np.uint8)] for word in words]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        stops = np.cumsum([len(code) for code in codes], dtype=np.int64)
+        return automaton.refitted(automaton.visits(data, stops - [len(code) for code in codes], stops), strict=strict)
+
+    @classmethod
+    def of_prefixes(cls, counts: Mapping[bytes, Mapping[int, int]], least: float, alpha: float = ALPHA) -> Automaton:
+        """Infer the states from the prefixes that at least so many examples have; ``refitted`` gives the chances."""
+        return cls._merged(_Tree.of_prefixes(counts, least), alpha)
+
+    @classmethod
+    def _merged(cls, tree: _Tree, alpha: float) -> Automaton:
         reach = (0.5 * np.log(2 / alpha)) ** 0.5
         kept = [0]
         number = {0: 0}
@@ -114,23 +153,46 @@ class Automaton:
                 else:
                     number[state] = len(kept)
                     kept.append(state)
-        return cls._smoothed(tree, kept, number, strict)
-
-    @classmethod
-    def _smoothed(cls, tree: _Tree, kept: list[int], number: dict[int, int], strict: bool) -> Automaton:
-        counts = np.zeros((len(kept) + 1, SYMBOLS))
-        ends = np.zeros(len(kept) + 1)
         steps = np.full((len(kept) + 1, SYMBOLS), len(kept), np.int32)
         for at, state in enumerate(kept):
-            ends[at] = tree.ends[state]
-            for symbol, count in tree.arcs[state].items():
-                counts[at, symbol] = count
-                steps[at, symbol] = number[tree.next[state][symbol]]
-        counts = np.column_stack([counts, ends])
+            for symbol, to in tree.next[state].items():
+                steps[at, symbol] = number[to]
+        return cls(steps, np.zeros(steps.shape), np.zeros(len(steps)))
+
+    def visits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Count what examples do in each state: the symbols they go on with, and in the last column that they end.
+
+        What leads nowhere, being rare, is merged with the state before it.
+        """
+        found = np.zeros((len(self.steps), SYMBOLS + 1), np.int64)
+        nowhere = len(self.steps) - 1
+        steps = np.where(self.steps == nowhere, np.arange(len(self.steps))[:, None], self.steps)
+        sizes = ends - starts
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        state = np.zeros(len(order), np.int64)
+        for step in range(int(sizes[0]) if len(order) else 0):
+            active = int(np.searchsorted(-sizes, -step, "left"))
+            here, symbol = state[:active], CODES[data[starts[:active] + step]]
+            np.add.at(found, (here, symbol), 1)
+            state[:active] = steps[here, symbol]
+        np.add.at(found, (state, SYMBOLS), 1)
+        return found
+
+    def refitted(self, counts: np.ndarray, *, strict: bool = False) -> Automaton:
+        """Return the automaton with the chances of ``counts``, the ``visits`` of all its examples."""
+        nowhere = len(self.steps) - 1
+        own = np.broadcast_to(np.arange(len(self.steps), dtype=np.int32)[:, None], self.steps.shape)
+        steps = np.where((self.steps == nowhere) & (counts[:, :-1] > 0), own, self.steps)
+        return self._smoothed(counts.astype(float), steps, strict)
+
+    @classmethod
+    def _smoothed(cls, counts: np.ndarray, steps: np.ndarray, strict: bool) -> Automaton:
+        kept = steps[:-1]
         letters = (counts.sum(axis=0) + 1) / (counts.sum() + SYMBOLS + 1)
         given = np.minimum(counts, 0.0 if strict else DISCOUNT)
         # The last state has no examples of its own.
-        nothing = (np.arange(len(ends)) == len(kept))[:, None]
+        nothing = (np.arange(len(steps)) == len(kept))[:, None]
         whole = counts - given + (given.sum(axis=1, keepdims=True) + nothing) * letters
         with np.errstate(divide="ignore"):
             logs = np.maximum(np.log(whole / whole.sum(axis=1, keepdims=True)), IMPOSSIBLE)

@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and formats learned from what the patterns find.
 
-What the patterns match are labelled credentials. Of each kind a bounded
-sample of distinct ones, and one of each sort of other candidates, is turned
-into a probabilistic automaton (``automata``). Every candidate of every text is
+What the patterns match are labelled credentials. All distinct ones of a kind,
+and all distinct other candidates of a sort, are turned into a probabilistic
+automaton (``automata``). Every candidate of every text is
 then scored: how much likelier the best format is than an ordinary token,
 given how many distinct ones of each there are. Ordinary tokens are told apart
 by sort, so that the many words do not stand for card numbers or addresses.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoquarry.llm.automata import CODES, Automaton
+from geoquarry.llm.automata import CODES, END, SYMBOLS, Automaton
 from geoquarry.llm.common import prepared
 from geoquarry.llm.text_arrays import Block, span_hashes, text_blocks
 
@@ -33,9 +33,10 @@ HEX = b"0123456789abcdef"
 # Candidates are runs of the alphabet, without dots and dashes at their ends.
 SHORTEST = 8
 TRIMMED = b".-"
-# Distinct examples that one automaton is fitted on at most, and their longest; all candidates are scored whole.
-SAMPLE = 4_000
-LONGEST = 128
+# States of an automaton are told apart by prefixes of one in so many examples, up to so many bytes;
+# what all examples do, whole, is counted in these states.
+RESOLUTION = 1_000
+DEEPEST = 128
 # A candidate is reported when it is so many times likelier to be a credential than not.
 ODDS = 99.0
 # Other tokens by what they hold: no digits, no letters, both. Each sort has an automaton of its own.
@@ -116,74 +117,136 @@ def _sorts(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.where(with_digits, np.where(with_letters, 2, 1), 0)
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Return the examples of each kind whose hashes are smallest in this task; distinct ones have distinct hashes."""
-    held: dict[str, dict[int, bytes]] = {kind: {} for kind in [*KINDS, *SORTS]}
-
-    def keep(kind: str, hashes: np.ndarray, spans: list[tuple[int, int]], data: np.ndarray) -> None:
-        own = held[kind]
-        worst = max(own) if len(own) >= SAMPLE else 1 << 64
-        for hash_, (start, stop) in zip(hashes.tolist(), spans, strict=True):
-            if hash_ < worst and stop - start <= LONGEST:
-                own[hash_] = data[start:stop].tobytes()
-        if len(own) > 2 * SAMPLE:
-            for hash_ in sorted(own)[SAMPLE:]:
-                del own[hash_]
-
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Return the examples of each kind and sort, whole, once a block."""
     for batch in batches:
         for block in text_blocks(batch.column(0)):
             base = _base_spans(block)
+            kinds: list[str] = []
+            words: list[bytes] = []
             for number, kind in enumerate(KINDS):
-                spans = [(span[3], span[2]) for span in base if span[0] == number]
-                if spans:
-                    keep(kind, span_hashes(block.data, *np.array(spans).T), spans, block.data)
+                own = {block.data[span[3] : span[2]].tobytes() for span in base if span[0] == number}
+                kinds += [kind] * len(own)
+                words += own
             starts, ends = _candidates(block, base)
             if len(starts):
-                hashes, first = np.unique(span_hashes(block.data, starts, ends), return_index=True)
+                first = np.unique(span_hashes(block.data, starts, ends), return_index=True)[1]
                 starts, ends = starts[first], ends[first]
-                sorts = _sorts(block, starts, ends)
-                for number, sort in enumerate(SORTS):
-                    own = np.flatnonzero((sorts == number) & (ends - starts <= LONGEST))[:SAMPLE]
-                    keep(sort, hashes[own], list(zip(starts[own].tolist(), ends[own].tolist(), strict=True)), block.data)
-    rows = [(kind, hash_, own[hash_]) for kind, own in held.items() for hash_ in sorted(own)[:SAMPLE]]
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([row[0] for row in rows], pa.string()),
-            # Signed numbers in the order of the unsigned ones.
-            pa.array([row[1] - (1 << 63) for row in rows], pa.int64()),
-            pa.array([row[2] for row in rows], pa.binary()),
-        ],
-        ["kind", "hash", "word"],
-    )
-
-
-def _inferred(examples: pa.Table) -> pa.Table:
-    kind = examples.column("kind")[0].as_py()
-    model = Automaton.inferred(examples.column("word").to_pylist(), strict=kind in KINDS)
-    return pa.table([pa.array([kind]), pa.array([model.packed()], pa.binary())], ["kind", "body"])
+                kinds += [SORTS[sort] for sort in _sorts(block, starts, ends)]
+                words += [block.data[start:stop].tobytes() for start, stop in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.large_binary()).cast(pa.binary())], ["kind", "word"])
+
+
+class _Prefixes:
+    """Counts of the prefixes of one kind's examples, which come in order."""
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+        self.first: bytes | None = None
+        self.word = b""
+        self.open: list[dict[int, int]] = []
+        self.found: list[tuple[bytes, int, int]] = []
+
+    def add(self, word: bytes) -> None:
+        cut = word[:DEEPEST]
+        if self.first is None:
+            self.first, self.open = cut, [{}]
+        shared = 0
+        while shared < min(len(cut), len(self.word)) and cut[shared] == self.word[shared]:
+            shared += 1
+        self._close(shared, last=False)
+        self.word = cut
+        self.open += [{} for _ in range(len(cut) - shared)]
+        ended = int(CODES[word[DEEPEST]]) if len(word) > DEEPEST else END
+        self.open[-1][ended] = self.open[-1].get(ended, 0) + 1
+
+    def _close(self, depth: int, *, last: bool) -> None:
+        while len(self.open) > depth + 1:
+            own = self.open.pop()
+            size = len(self.open)
+            passed, symbol = sum(own.values()), int(CODES[self.word[size - 1]])
+            self.open[-1][symbol] = self.open[-1].get(symbol, 0) + passed
+            self._keep(self.word[:size], own, passed, last)
+
+    def _keep(self, prefix: bytes, own: dict[int, int], passed: int, last: bool) -> None:
+        # Other tasks may hold more of the prefixes of the first and the last example.
+        if passed >= self.least or last or (self.first or b"").startswith(prefix):
+            self.found += [(prefix, symbol, count) for symbol, count in own.items()]
+
+    def done(self) -> list[tuple[bytes, int, int]]:
+        self._close(0, last=True)
+        self._keep(b"", self.open[0], sum(self.open[0].values()), True)
+        return self.found
+
+
+def _prefix_counts(least: dict[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, _Prefixes] = {}
+        for batch in batches:
+            for kind, word in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if kind not in own:
+                    own[kind] = _Prefixes(least[kind])
+                own[kind].add(word.as_py())
+        for kind, prefixes in own.items():
+            rows = prefixes.done()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind] * len(rows), pa.string()), *(pa.array([row[at] for row in rows], as_) for at, as_ in enumerate((pa.binary(), pa.int32(), pa.int64())))],
+                ["kind", "prefix", "symbol", "n"],
+            )
+
+    return run
+
+
+def _visit_counts(shapes: dict[str, Automaton]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            kinds = np.array(batch.column(0).to_pylist(), object)
+            for kind in set(kinds.tolist()):
+                words = batch.column(1).filter(pa.array(kinds == kind)).cast(pa.large_binary())
+                offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+                data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+                found = shapes[kind].visits(data, offsets[:-1], offsets[1:])
+                totals[kind] = totals[kind] + found if kind in totals else found
+        for kind, found in totals.items():
+            states, symbols = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind] * len(states), pa.string()), pa.array(states, pa.int32()), pa.array(symbols, pa.int32()), pa.array(found[states, symbols], pa.int64())],
+                ["kind", "state", "symbol", "n"],
+            )
+
+    return run
 
 
 def learn_formats(docs: DataFrame) -> Formats:
     """Infer the formats from the whole texts of a table.
 
-    Each kind's automaton is fitted on the ``SAMPLE`` distinct credentials
-    (up to ``LONGEST`` bytes) with the smallest hashes of the whole table;
-    how many distinct ones there are is read off the largest of these.
+    All distinct examples of a kind or sort are sorted by Spark. Prefixes
+    that one in ``RESOLUTION`` of them has make the states; then every
+    example, at its whole length, is counted in them. Per kind the driver
+    gets its number of examples, its states and their counts.
     """
     prepared(docs)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_labelled, "kind string, hash bigint, word binary").dropDuplicates(["kind", "hash"]).checkpoint()
-    counts: dict[str, float] = {}
-    chosen = None
-    for kind in [*KINDS, *SORTS]:
-        own = found.filter(F.col("kind") == kind).orderBy("hash").limit(SAMPLE)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    chosen = chosen.checkpoint()  # SAMPLE rows a kind
-    for row in chosen.groupBy("kind").agg(F.count("*").alias("n"), F.max("hash").alias("last")).collect():
-        share = (row["last"] + 2.0**63 + 1) / 2.0**64
-        counts[row["kind"]] = float(row["n"]) if row["n"] < SAMPLE else (SAMPLE - 1) / share
-    models = chosen.groupBy("kind").applyInArrow(_inferred, "kind string, body binary").collect()
-    return Formats({row["kind"]: Automaton.unpacked(bytes(row["body"])) for row in models}, counts)
+    found = texts.mapInArrow(_examples, "kind string, word binary").distinct()
+    examples = found.repartitionByRange("kind", "word").sortWithinPartitions("kind", "word").checkpoint()
+    counts = {row["kind"]: float(row["n"]) for row in examples.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    least = {kind: max(count / RESOLUTION, 1.0) for kind, count in counts.items()}
+    prefixes = examples.mapInArrow(_prefix_counts(least), "kind string, prefix binary, symbol int, n bigint").groupBy("kind", "prefix", "symbol").agg(F.sum("n").alias("n"))
+
+    def inferred(rows: pa.Table) -> pa.Table:
+        kind = rows.column("kind")[0].as_py()
+        own: dict[bytes, dict[int, int]] = {}
+        for prefix, symbol, count in zip(*(rows.column(name).to_pylist() for name in ("prefix", "symbol", "n")), strict=True):
+            own.setdefault(prefix, {})[symbol] = count
+        return pa.table([pa.array([kind]), pa.array([Automaton.of_prefixes(own, least[kind]).packed()], pa.binary())], ["kind", "body"])
+
+    shapes = {row["kind"]: Automaton.unpacked(bytes(row["body"])) for row in prefixes.groupBy("kind").applyInArrow(inferred, "kind string, body binary").collect()}
+    visits = examples.mapInArrow(_visit_counts(shapes), "kind string, state int, symbol int, n bigint").groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n"))
+    totals = {kind: np.zeros((len(shape.steps), SYMBOLS + 1), np.int64) for kind, shape in shapes.items()}
+    for row in visits.collect():
+        totals[row["kind"]][row["state"], row["symbol"]] = row["n"]
+    return Formats({kind: shape.refitted(totals[kind], strict=kind in KINDS) for kind, shape in shapes.items()}, counts)
 
 
 def _learned_spans(block: Block, base: list[tuple[int, int, int, int]], formats: Formats) -> list[tuple[int, int, int]]:

@@ -86,6 +86,20 @@ def test_secrets_of_odd_tables(spark):
     assert all((one.automata[kind].logs == other.automata[kind].logs).all() for kind in one.automata)
 
 
+def test_every_example_counts_whole(spark):
+    dice = random.Random(9)
+    secrets = ["".join(dice.choices("abcdefghij", k=12)) for _ in range(4_500)] + ["k" * 300]
+    docs = spark.createDataFrame([(at, f"token={secret}") for at, secret in enumerate(secrets)], "doc_id bigint, text string")
+    one, other = (secret_scan.learn_formats(docs.repartition(parts)) for parts in (2, 7))
+    assert one.counts == other.counts == {"assign": float(len(set(secrets)))}
+    long = np.frombuffer(secrets[-1].encode(), np.uint8)
+    for formats in (one, other):
+        model = formats.automata["assign"]
+        assert model.scores(long, np.array([0]), np.array([300]))[0] > automata.IMPOSSIBLE / 2
+        assert model.steps[0, automata.CODES[ord("k")]] != len(model.steps) - 1
+    assert (one.automata["assign"].logs == other.automata["assign"].logs).all()
+
+
 def test_query_of_secrets_agrees_with_brute_force(spark, sf_dir):
     texts = {row["doc_id"]: row["text"] for row in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     rows = QUERIES["op11_secret_scan"](spark, sf_dir).collect()
