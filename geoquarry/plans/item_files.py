@@ -61,7 +61,9 @@ def files_in_scope(
 
     The collection's index answers when it can be opened and read to its end;
     else the items are walked. What the index gives is staged at once: a file
-    that fails only while tasks read it is found here and not later.
+    that fails only while tasks read it is found here and not later. All its
+    boxes are read first, since a scope alone skips row groups by their
+    statistics and would not notice that they are damaged.
     """
     own = assets.where(F.col("url") == collection)
     index = mirror.mirror_hrefs(own).first()
@@ -70,7 +72,9 @@ def files_in_scope(
             frame = scan(spark, index.href)
             links = edges.where(F.col("parent") == collection)
             ensure_checkpoints(spark)
-            return indexed_files(frame, index.href, scope, links).select("href").checkpoint(eager=True)
+            found = indexed_files(frame, index.href, scope, links).select("href")
+            frame.select(F.xxhash64("bbox").alias("box")).agg(F.max("box")).first()
+            return found.checkpoint(eager=True)
         except (PySparkException, Py4JJavaError, ValueError) as error:
             log.warning("The index %s cannot be read, its items are walked: %s", index.href, str(error).split("\n", 1)[0])
     return walked_files(documents, edges, assets, collection, scope, budget).select("href")
