@@ -21,6 +21,12 @@ GCS_HOST = "storage.googleapis.com"
 DFS_SUFFIX = ".dfs.core.windows.net"
 AZURE_SCHEMES = ("abfs", "abfss", "az")
 RELATIVE_SCHEMES = ("", "http", "https", "ftp", "file")
+STORE_ADDRESS = r"^(?i:s3|gs|abfss?|az):"
+# Folders and a name without dots to fold, empty folders, query or fragment; a base and paths made of them.
+_STEPS = r"(?:(?!\.{1,2}/)[^:/?#\x01]++/){0,64}+(?!\.{1,2}\z)[^:/?#\x01]*+\z"
+PLAIN_BASE = r"^https?://[^/?#\x01]++/" + _STEPS
+PLAIN_PATH = r"^(?:\./)?+" + _STEPS
+PLAIN_ROOTED = r"^/(?!/)" + _STEPS
 S3_WEBSITE = r"(?i)^(.+)\.s3-website[.-]([a-z0-9-]+)\.amazonaws\.com$"
 S3_VIRTUAL = r"(?i)^(.+)\.s3(?:[.-]([a-z0-9-]+))?\.amazonaws\.com$"
 S3_PATH = r"(?i)^s3(?:[.-]([a-z0-9-]+))?\.amazonaws\.com$"
@@ -115,6 +121,12 @@ def join_url(href: Column, base: Column) -> Column:
         lambda pair: F.when(F.coalesce(pair["base"], F.lit("")) == "", pair["href"])
         .when(pair["href"] == "", pair["base"])
         .when(pair["href"].rlike(r"^(?i:https?)://[^?#]+$"), _with_low_scheme(pair["href"]))
+        .when(pair["href"].rlike(STORE_ADDRESS), _with_low_scheme(pair["href"]))
+        .when(pair["base"].rlike(PLAIN_BASE) & pair["href"].rlike(PLAIN_PATH), _below(pair["href"], pair["base"]))
+        .when(
+            pair["base"].rlike(PLAIN_BASE) & pair["href"].rlike(PLAIN_ROOTED),
+            F.concat(F.regexp_extract(pair["base"], r"^(https?://[^/]+)", 1), pair["href"]),
+        )
         .otherwise(
             with_parts(
                 pair["href"],
@@ -126,6 +138,12 @@ def join_url(href: Column, base: Column) -> Column:
     )
 
 
+def _below(href: Column, base: Column) -> Column:
+    """Resolve a plain path against a plain base: the usual case, without splitting either."""
+    bare = F.when(href.startswith("./"), F.substring(href, F.lit(3), F.length(href))).otherwise(href)
+    return F.concat(F.regexp_extract(base, r"(?s)^(.*/)", 1), bare)
+
+
 def _resolve(href: Column, own: UrlParts, root: UrlParts) -> Column:
     scheme = F.when(own.scheme == "", root.scheme).otherwise(own.scheme)
     foreign = (scheme != root.scheme) | ~scheme.isin(*RELATIVE_SCHEMES)
@@ -263,7 +281,7 @@ def asset_href(
     return let(
         absolute_href(href, base),
         lambda url: F.when(
-            url.rlike(r"^(?i:s3|gs|abfss?|az):"),
+            url.rlike(STORE_ADDRESS),
             with_parts(url, lambda parts: store_form(url, parts)),
         ).otherwise(url),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from geoquarry.functions import assets as rules
 from geoquarry.functions.urls import is_image
 from geoquarry.operators.ranking import first_by, numbered
+from geoquarry.session import scratch_path
 
 
 def only_data(assets: DataFrame) -> DataFrame:
@@ -129,15 +130,18 @@ def styles_of(assets: DataFrame) -> DataFrame:
     ``is_default`` marks the document's default style: the first one marked
     ``default``, or the only style there is.
     """
-    styles = assets.where(rules.is_style(F.col("roles"), F.col("type"))).withColumn(
-        "marked", F.array_contains("roles", "default")
-    )
+    path = scratch_path(assets.sparkSession, "styles")
+    found = assets.where(rules.is_style(F.col("roles"), F.col("type")))
+    # Numbering reads its rows several times; documents are read once.
+    found.select("url", "pos", "key", "href", "title", F.array_contains("roles", "default").alias("marked")).write.parquet(path)
+    styles = assets.sparkSession.read.parquet(path)
     # Default styles keep their positions, the others move behind every position.
     placed = styles.withColumn(
         "_place", F.col("pos").cast("bigint") + F.when(F.col("marked"), 0).otherwise(2**31)
     )
-    ranked = numbered(placed, ["url"], "_place", alias="number", bits=33)
-    counts = styles.groupBy("url").agg(F.count("*").alias("styles"))
+    ranked = numbered(placed, ["url"], "_place", alias="number", bits=32)
+    # Files look smaller than what is read from them.
+    counts = styles.groupBy("url").agg(F.count("*").alias("styles")).hint("merge")
     return (
         ranked.join(counts, "url")
         .withColumn("is_default", (F.col("number") == 1) & (F.col("marked") | (F.col("styles") == 1)))
@@ -154,8 +158,9 @@ def icons(links: DataFrame) -> DataFrame:
 def thumbnails(assets: DataFrame) -> DataFrame:
     """Return the first image with the thumbnail role, else with the overview role."""
     role = F.when(F.array_contains("roles", "thumbnail"), 0).when(F.array_contains("roles", "overview"), 1)
-    images = assets.where(is_image(F.col("href"), F.col("type"))).withColumn("_role", role)
-    return first_by(images.where("_role is not null"), ["url"], ["_role", "pos"], ["key", "href"])
+    # Few assets have such a role: it is asked first.
+    images = assets.withColumn("_role", role).where("_role is not null").where(is_image(F.col("href"), F.col("type")))
+    return first_by(images, ["url"], ["_role", "pos"], ["key", "href"])
 
 
 def document_sizes(assets: DataFrame) -> DataFrame:

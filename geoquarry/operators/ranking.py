@@ -59,7 +59,8 @@ def running_sums(
     same = F.lit(True)
     for index, place in enumerate(places):
         same = same & local[place].eqNullSafe(shifts[f"_r{index}"])
-    joined = local.join(shifts, same, "left")
+    # There are as many shifts as groups: they are never broadcast by the size of the files behind them.
+    joined = local.join(shifts.hint("merge"), same, "left")
     return joined.select(
         *(local[name] for name in rows.columns),
         *((local[f"_local_{name}"] + shifts[name]).alias(name) for name in names),
@@ -79,7 +80,7 @@ def _shifts(totals: DataFrame, keys: list[str], names: list[str], bits: int) ->
     inner = upper.select(*keys, "_upper", "_chunk", *before(upper, [*keys, "_upper"], "_in_"))
     coarse = upper.groupBy(*keys, F.col("_upper").alias("_chunk")).agg(*(F.sum(name).alias(name) for name in names))
     outer = _shifts(coarse, keys, names, bits - CHUNK_BITS).withColumnRenamed("_chunk", "_upper")
-    return inner.join(outer, [*keys, "_upper"], "left").select(
+    return inner.join(outer.hint("merge"), [*keys, "_upper"], "left").select(
         *keys, "_chunk", *((F.col("_in_" + name) + F.col(name)).alias(name) for name in names)
     )
 

@@ -185,8 +185,9 @@ def assets_of(documents: DataFrame) -> DataFrame:
     format, tabular, glob, read_url``. ``read_url`` is what a scan reads: the
     href, or the bucket form of the glob, NULL when only HTTPS serves it.
 
-    The list is built inside the row of its document and exploded last, so
-    the rule that looks at all assets of a document needs no join.
+    Keys and values are listed inside the row of their document, so the rule
+    that looks at all assets of a document needs no join. The rest is read from
+    each asset's value after that: only for the columns and rows that are used.
     """
     raw = F.col("raw")
     properties = raw["properties"]
@@ -204,105 +205,103 @@ def assets_of(documents: DataFrame) -> DataFrame:
         F.when(
             raw.isNotNull(), F.map_entries(variants.ordered_object(F.col("body"), "$.assets"))
         ).alias("entries"),
-    ).withColumn("shared_url", urls.bucket_url(F.col("shared_glob")))
-    built = F.transform(
-        F.coalesce(F.col("entries"), F.array().cast("array<struct<key:string,value:variant>>")),
-        lambda entry, place: _asset(entry["key"], entry["value"], place),
     )
-    context = ["url", "shared_glob", "shared_url", "shared_tabular"]
-    listed = prepared.select(*context, built.alias("built")).select(
-        *context,
-        F.filter("built", lambda asset: asset.isNotNull()).alias("own"),
+    listed = F.transform(
+        F.coalesce(F.col("entries"), F.array().cast("array<struct<key:string,value:variant>>")),
+        lambda entry, place: record(
+            pos=place, key=entry["key"], value=entry["value"], text=variants.text_at(entry["value"], "href")
+        ),
     )
+    context = ["url", "base", "account", "shared", "shared_glob", "shared_tabular"]
+    # An address is NULL only where its text is.
+    known = prepared.select(*context, F.filter(listed, lambda asset: asset["text"].isNotNull()).alias("own"))
     holds_parquet = F.exists(
         F.col("own"),
-        lambda asset: F.coalesce(asset["format"] == "parquet", F.lit(False))
-        & is_data(asset["roles"], asset["type"]),
+        lambda asset: let(
+            variants.text_at(asset["value"], "type"),
+            lambda media: F.coalesce(asset_format(_asset_address(asset["text"], asset["value"]), media) == "parquet", F.lit(False))
+            & is_data(_roles(asset["value"]), media),
+        ),
+    )
+    stand_in = F.array(
+        record(
+            pos=F.lit(LAST_POSITION), key=F.lit("partition:glob"),
+            value=F.lit(None).cast("variant"), text=F.col("shared_glob"),
+        )
     )
-    stand_in = F.array(_partition_asset())
     every = F.when(
         F.col("shared_glob").isNotNull() & ~holds_parquet, F.concat(F.col("own"), stand_in)
     ).otherwise(F.col("own"))
-    return listed.select("url", F.explode(every).alias("asset")).select("url", "asset.*")
+    return _asset_columns(known.select(*context, F.explode(every).alias("asset")).select(*context, "asset.*"))
 
 
-def _asset(key: Column, value: Column, place_number: Column) -> Column:
-    """Return one asset as a struct; its href is NULL when it is not well formed."""
+def _asset_address(text: Column, value: Column) -> Column:
+    """Resolve the address of an asset; its account is looked up only where the address needs one."""
     account = F.coalesce(
         variants.text_at(value, "table:storage_options", "account_name"), F.col("account")
     )
-    # Both addresses of an asset resolve in one pass: its href, and the glob of its partitions.
-    addresses = F.transform(
-        F.array(
-            record(text=variants.text_at(value, "href"), account=account),
-            record(
-                text=variants.filled_text_at(value, "partition:glob"),
-                account=F.lit(None).cast("string"),
-            ),
-        ),
-        lambda item: F.when(
-            item["text"].isNotNull(), urls.asset_href(item["text"], F.col("base"), item["account"])
-        ),
+    return urls.asset_href(text, F.col("base"), account)
+
+
+def _roles(value: Column) -> Column:
+    return F.coalesce(variants.texts_of(variants.list_at(value, "roles")), F.array().cast("array<string>"))
+
+
+def _asset_columns(rows: DataFrame) -> DataFrame:
+    """Read the columns of assets; the one at ``LAST_POSITION`` reads its document's own glob.
+
+    Each column is bound on its own: it is left out where nobody asks for it,
+    and the generated code stays short enough to be compiled.
+    """
+    stand_in = F.col("pos") == LAST_POSITION
+    own = F.col("value")
+    address = F.when(stand_in, F.col("text")).otherwise(_asset_address(F.col("text"), own))
+    read = rows.withColumn("href", address).withColumn("media", F.when(stand_in, F.lit(PARQUET_MEDIA)).otherwise(let(own, lambda value: variants.text_at(value, "type"))))
+    found = let(record(href=F.col("href"), media=F.col("media")), lambda asset: asset_format(asset["href"], asset["media"]))
+    read = read.withColumn("format", F.when(stand_in, F.lit("parquet")).otherwise(found))
+    columns = F.coalesce(variants.member(own, "table:columns"), F.col("shared"))
+    tabular = let(columns, is_tabular)
+    shared = let(F.col("shared_glob"), lambda glob: record(glob=glob, read_url=urls.bucket_url(glob)))
+    read = read.withColumn("place", F.when(stand_in, shared).otherwise(_place(own)))
+    return read.select(
+        "url",
+        "pos",
+        "key",
+        "href",
+        F.when(stand_in, F.lit("All partitions")).otherwise(let(own, lambda value: variants.text_at(value, "title"))).alias("title"),
+        F.col("media").alias("type"),
+        F.when(stand_in, F.array(F.lit("data"))).otherwise(let(own, _roles)).alias("roles"),
+        let(own, lambda value: variants.integer_at(value, "file:size")).alias("size"),
+        let(own, lambda value: variants.text_at(value, "file:checksum")).alias("checksum"),
+        "format",
+        F.when(stand_in, F.col("shared_tabular"))
+        .otherwise(F.coalesce(F.col("format") == "parquet", F.lit(False)) & tabular)
+        .alias("tabular"),
+        F.col("place.glob").alias("glob"),
+        F.col("place.read_url").alias("read_url"),
     )
-    columns = F.coalesce(variants.member(value, "table:columns"), F.col("shared"))
-    none = F.array().cast("array<string>")
+
+
+def _place(own: Column) -> Column:
+    """Return glob and read URL of an asset; a glob nobody can list gives way to the document's own."""
+    declared = _glob(variants.filled_text_at(own, "partition:glob"), F.col("base"))
 
     def place_of(found: Column) -> Column:
-        """Return glob and read URL; a glob nobody can list gives way to the document's own."""
-        href = found["href"]
-        unlisted = found["glob"].isNotNull() & found["url"].isNull() & F.col("shared_glob").isNotNull()
+        shared = F.col("shared_glob")
+        unlisted = found["glob"].isNotNull() & found["url"].isNull() & shared.isNotNull()
         return (
-            F.when(unlisted, record(glob=F.col("shared_glob"), read_url=F.col("shared_url")))
-            .when(found["glob"].isNull(), record(glob=found["glob"], read_url=href))
+            F.when(unlisted, record(glob=shared, read_url=urls.bucket_url(shared)))
+            .when(found["glob"].isNull(), record(glob=found["glob"], read_url=found["href"]))
             .otherwise(record(glob=found["glob"], read_url=found["url"]))
         )
 
-    def shaped(resolved: Column) -> Column:
-        href = F.get(resolved, F.lit(0))
-        glob = F.coalesce(F.get(resolved, F.lit(1)), F.when(urls.is_glob(href), href))
-        place = let(glob, lambda text: record(href=href, glob=text, url=urls.bucket_url(text)))
-        media = variants.text_at(value, "type")
-        made = let(
-            record(format=asset_format(href, media), type=media, place=let(place, place_of)),
-            lambda found: record(
-                pos=place_number,
-                key=key,
-                href=href,
-                title=variants.text_at(value, "title"),
-                type=found["type"],
-                roles=F.coalesce(variants.texts_of(variants.list_at(value, "roles")), none),
-                size=variants.integer_at(value, "file:size"),
-                checksum=variants.text_at(value, "file:checksum"),
-                format=found["format"],
-                tabular=F.coalesce(found["format"] == "parquet", F.lit(False)) & is_tabular(columns),
-                glob=found["place"]["glob"],
-                read_url=found["place"]["read_url"],
-            ),
-        )
-        return F.when(href.isNotNull(), made)
+    def placed(asset: Column) -> Column:
+        glob = F.coalesce(asset["declared"], F.when(urls.is_glob(asset["href"]), asset["href"]))
+        listed = let(glob, lambda text: record(href=asset["href"], glob=text, url=urls.bucket_url(text)))
+        return let(listed, place_of)
 
-    return let(addresses, shaped)
+    return let(record(href=F.col("href"), declared=declared), placed)
 
 
 def _unless_null(value: Column) -> Column:
     return F.when(variants.kind_of(value) != "VOID", value)
-
-
-def _partition_asset() -> Column:
-    """Return the asset that reads a document's own glob when it has no Parquet data."""
-    none = F.lit(None)
-    glob = F.col("shared_glob")
-    return record(
-        pos=F.lit(LAST_POSITION),
-        key=F.lit("partition:glob"),
-        href=glob,
-        title=F.lit("All partitions"),
-        type=F.lit(PARQUET_MEDIA),
-        roles=F.array(F.lit("data")),
-        size=none.cast("bigint"),
-        checksum=none.cast("string"),
-        format=F.lit("parquet"),
-        tabular=F.col("shared_tabular"),
-        glob=glob,
-        read_url=F.col("shared_url"),
-    )

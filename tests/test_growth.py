@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from geoquarry.operators import spatial, styles, usage
+from geoquarry.functions import assets as rules
+from geoquarry.functions import urls
+from geoquarry.operators import catalog, spatial, styles, usage
+from geoquarry.sources import documents as docs
 from workload import tiles, walks
 
 
@@ -67,3 +70,32 @@ def test_one_archive_at_a_time_is_turned_into_objects(spark, sf_dir, monkeypatch
     written = tiles.write_archives(spark, sf_dir)
     heads = tile_archives.read_headers(written.coalesce(1)).collect()
     assert len(heads) == written.count() > 1 and all(row["error"] is None for row in heads)
+
+
+def test_assets_read_only_what_is_asked(spark):
+    body = '{"type":"Catalog","id":"c","assets":{"a":{"href":"a.json","roles":["style"]},"b":{"href":7},"c":{"href":"s3://k/c.tif"}},"partition:glob":"s3://k/p/*.parquet"}'
+    read = docs.read_documents(spark.createDataFrame([("https://h/c/catalog.json", None, body)], "url string, base string, body string"))
+    assets = docs.assets_of(read)
+    assert [(r.key, r.pos, r.href, r.format, r.read_url) for r in assets.orderBy("pos").collect()] == [
+        ("a", 0, "https://h/c/a.json", None, "https://h/c/a.json"), ("c", 2, "https://k.s3.amazonaws.com/c.tif", "cog", "https://k.s3.amazonaws.com/c.tif"),
+        ("partition:glob", 2**31 - 1, "https://k.s3.amazonaws.com/p/*.parquet", "parquet", "s3://k/p/*.parquet")]
+    lean = assets.where(rules.is_style(F.col("roles"), F.col("type"))).select("url", "pos")
+    assert "file:checksum" in plan_of(assets) and "file:checksum" not in plan_of(lean)
+
+
+def test_styles_are_numbered_from_one_reading_of_documents(spark):
+    body = '{"type":"Catalog","id":"c","assets":{"a":{"href":"a.json","roles":["style"]},"b":{"href":"b.json","roles":["style","default"]}}}'
+    read = docs.read_documents(spark.createDataFrame([("https://h/catalog.json", None, body), (None, None, body)], "url string, base string, body string"))
+    ranked = catalog.styles_of(docs.assets_of(read))
+    plan = plan_of(ranked)
+    assert "from_json" not in plan and "BroadcastHashJoin" not in plan
+    assert [(r.url, r.key, r.number, r.is_default) for r in ranked.orderBy("number").collect()] == [("https://h/catalog.json", "b", 1, True), ("https://h/catalog.json", "a", 2, False)]
+
+
+def test_plain_addresses_resolve_like_all_others(spark):
+    bases = ["https://h/a/b/c.json", "http://h:8/x.json", "https://h/a/", "https://h", "HTTPS://h/a/c.json", "https://h/a/../c.json", "https://h//a/c.json", "https://h/a?q=/z/y", "s3://b/a/c.json", "file:///a/c.json"]
+    hrefs = ["p.png", "./p.png", "./", "././p", ".", "..", "../p", "a/b", "a/", "a//b", "a/./b", "a/..", "/r/p", "/", "//o/p", "/a/../b", "p?q", "p#f", "a:b", "S3://b/k", "az://c/k", "gs:x", ".p", "..p", "...", "a b", "p.png\n", "a\nb/c\n"]
+    pairs = spark.createDataFrame([(href, base) for href in hrefs for base in bases], "h string, b string")
+    href, base = F.col("h"), F.col("b")
+    whole = urls.with_parts(href, lambda own: urls.with_parts(base, lambda root: urls._resolve(href, own, root)))
+    assert [r for r in pairs.select("h", "b", urls.join_url(href, base).alias("got"), whole.alias("want")).collect() if r.got != r.want] == []
