@@ -26,6 +26,10 @@ STARS = 2
 # One bucket of neighbouring ids for so many documents, with limits on how many.
 BUCKET_ROWS = 2_000
 MOST_BUCKETS = 100_000
+# Ranges that a task compares, with limits on how many tasks.
+TASK_RANGES = 1
+FILTER_ROWS = 1_000
+MOST_TASKS = 10_000
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,17 +88,16 @@ def fingerprint(text: Column) -> Column:
 def jaccard(left: Column, right: Column) -> Column:
     """Return the Jaccard similarity of the five-word shingle sets of two texts; two empty ones have 1."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        found: list[np.ndarray] = []
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
         for block in text_blocks(column):
             block.find_words()
             shingles, bounds = shingle_hashes(block.hashes(), block.bounds, SHINGLE)
-            found += [np.unique(shingles[bounds[at] : bounds[at + 1]]) for at in range(block.count)]
-        return found
+            yield from (np.unique(shingles[bounds[at] : bounds[at + 1]]) for at in range(block.count))
 
     @F.arrow_udf("double")
     def similar(one: pa.Array, two: pa.Array) -> pa.Array:
         values = []
+        # One block of each side is held at a time, not the sets of the whole batch.
         for a, b in zip(sets(one), sets(two), strict=True):
             common = len(np.intersect1d(a, b, assume_unique=True))
             union = len(a) + len(b) - common
@@ -176,7 +179,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         map_ = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            yield batch.filter(pa.array(marked(map_, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            # Copies of a few rows at a time, not of the whole batch.
+            for at in range(0, batch.num_rows, FILTER_ROWS):
+                part = batch.slice(at, FILTER_ROWS)
+                yield part.filter(pa.array(marked(map_, part.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
     whole = texts.mapInArrow(run, "v bigint, text string").join(names, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")).checkpoint()
     both = pairs.join(whole, "v").join(whole.select(F.col("v").alias("w"), F.col("text").alias("other")), "w")
@@ -241,7 +247,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     groups = _grouped(docs, SIMILARITY).filter("NOT doc_id <=> component_id").distinct()
     ahead = range_(groups).select("doc_id", F.lit("").alias("text"), "_range", F.lit(-1).alias("_peek"), F.col("v").alias("_v"), F.col("component_id").alias("_component"))
     together = together.unionByName(ahead)
-    sorted_ = together.repartition("_range").sortWithinPartitions("_range", "_peek", F.desc_nulls_last("doc_id"), F.desc("_v"))
+    # A task's texts go through Arrow in one batch, so tasks stay small: a few ranges each.
+    tasks = min(max(len(known) // TASK_RANGES, spark.sparkContext.defaultParallelism), MOST_TASKS)
+    sorted_ = together.repartition(tasks, "_range").sortWithinPartitions("_range", "_peek", F.desc_nulls_last("doc_id"), F.desc("_v"))
     fields = (
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double, component_id bigint"
@@ -254,7 +262,8 @@ def with_next(docs: DataFrame) -> DataFrame:
             first = pc.equal(batch.column(3), -1)
             for range_number, id_, name, component in zip(*(batch.filter(first).column(at).to_pylist() for at in (2, 0, 4, 5)), strict=True):
                 groups.setdefault(range_number, {})[id_, name] = component
-            for piece in _pieces(batch.filter(pc.invert(first))):
+            texts = batch.filter(pc.invert(first)) if pc.any(first).as_py() else batch
+            for piece in _pieces(texts):
                 joined = piece if held is None else pa.concat_tables([held, piece]).combine_chunks()
                 held = joined.slice(joined.num_rows - 1)
                 made = _neighbours(joined, groups)

@@ -1,9 +1,12 @@
 """What tasks, broadcasts and files hold as tables grow."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from geoquarry.functions import assets as rules
 from geoquarry.functions import urls
+from geoquarry.llm import fingerprints
 from geoquarry.operators import catalog, spatial, styles, usage
 from geoquarry.sources import documents as docs
 from workload import tiles, walks
@@ -99,3 +102,9 @@ def test_plain_addresses_resolve_like_all_others(spark):
     href, base = F.col("h"), F.col("b")
     whole = urls.with_parts(href, lambda own: urls.with_parts(base, lambda root: urls._resolve(href, own, root)))
     assert [r for r in pairs.select("h", "b", urls.join_url(href, base).alias("got"), whole.alias("want")).collect() if r.got != r.want] == []
+
+
+def test_neighbours_are_compared_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
+    texts = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("one of many texts "), F.col("id")).alias("text"))
+    assert re.search(r"hashpartitioning\(_range#\d+, (2\d|30)\), REPARTITION_BY_NUM", plan_of(fingerprints.with_next(texts)))
