@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geoquarry.llm.common import prepared
 from geoquarry.llm.components import components
 from geoquarry.llm.sketches import bitmap, marked
-from geoquarry.llm.text_arrays import shingle_hashes, text_blocks
+from geoquarry.llm.text_arrays import Block, shingle_hashes, text_blocks
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -23,6 +23,9 @@ BANDS = 32
 SIMILARITY = 0.8
 # So often a bucket's outsiders are compared with the first of them before all that is left is paired.
 STARS = 2
+# Longs of a set's parity sketch, and texts of a bucket that one task meets with all others of it.
+PARITY_LONGS = 16
+BLOCK_ROWS = 2_000
 # One bucket of neighbouring ids for so many documents, with limits on how many.
 BUCKET_ROWS = 2_000
 MOST_BUCKETS = 100_000
@@ -46,31 +49,56 @@ def signatures(column: pa.Array) -> np.ndarray:
     """
     parts = [np.zeros((0, PERMUTATIONS), np.uint16)]
     for block in text_blocks(column):
-        block.find_words()
-        shingles, bounds = shingle_hashes(block.hashes(), block.bounds, SHINGLE)
-        least = np.full((block.count, PERMUTATIONS), 0xFFFFFFFF, np.uint64)
-        # Texts are worked on in strides that stay in the cache.
-        first = 0
-        while first < block.count:
-            stop = max(int(np.searchsorted(bounds, bounds[first] + _STRIDE, "right")) - 1, first + 1)
-            texts = np.arange(first, stop)[np.diff(bounds[first : stop + 1]) > 0]
-            for low in range(bounds[first], bounds[stop], _STRIDE):
-                high = min(low + _STRIDE, bounds[stop])
-                here = texts[(bounds[texts] < high) & (bounds[texts + 1] > low)]
-                begin = np.maximum(bounds[here], low) - low
-                values = shingles[low:high]
-                work = np.empty_like(values)
-                for number in range(PERMUTATIONS):
-                    np.multiply(values, _FACTORS[number], out=work)
-                    np.add(work, _SHIFTS[number], out=work)
-                    found = np.minimum.reduceat(work, begin) >> np.uint64(32)
-                    least[here, number] = np.minimum(least[here, number], found)
-            first = stop
-        # The minima of large texts are small numbers; scramble before the low bits are kept.
-        parts.append(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16))
+        parts.append(_minima(*_shingles(block)))
     return np.concatenate(parts)
 
 
+def _shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Return the shingle hashes of a block of texts, and the bounds of each text's."""
+    block.find_words()
+    return shingle_hashes(block.hashes(), block.bounds, SHINGLE)
+
+
+def _minima(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    count = len(bounds) - 1
+    least = np.full((count, PERMUTATIONS), 0xFFFFFFFF, np.uint64)
+    # Texts are worked on in strides that stay in the cache.
+    first = 0
+    while first < count:
+        stop = max(int(np.searchsorted(bounds, bounds[first] + _STRIDE, "right")) - 1, first + 1)
+        texts = np.arange(first, stop)[np.diff(bounds[first : stop + 1]) > 0]
+        for low in range(bounds[first], bounds[stop], _STRIDE):
+            high = min(low + _STRIDE, bounds[stop])
+            here = texts[(bounds[texts] < high) & (bounds[texts + 1] > low)]
+            begin = np.maximum(bounds[here], low) - low
+            values = shingles[low:high]
+            work = np.empty_like(values)
+            for number in range(PERMUTATIONS):
+                np.multiply(values, _FACTORS[number], out=work)
+                np.add(work, _SHIFTS[number], out=work)
+                found = np.minimum.reduceat(work, begin) >> np.uint64(32)
+                least[here, number] = np.minimum(least[here, number], found)
+        first = stop
+    # The minima of large texts are small numbers; scramble before the low bits are kept.
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+
+
+def _parities(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Return each text's number of distinct shingles, and a bit per slot that an odd number of them falls into."""
+    values = shingles.copy()
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        values[low:high].sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[bounds[:-1][np.diff(bounds) > 0]] = True
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[fresh]
+    values = values[fresh]
+    parity = np.zeros((len(bounds) - 1, PARITY_LONGS), np.uint64)
+    place = (values >> np.uint64(6)) & np.uint64(PARITY_LONGS - 1)
+    np.bitwise_xor.at(parity.reshape(-1), owner * PARITY_LONGS + place.astype(np.int64), np.uint64(1) << (values & np.uint64(63)))
+    return np.bincount(owner, minlength=len(parity)), parity
+
+
 def _hex(values: np.ndarray) -> list[str]:
     return [row.tobytes().hex() for row in values]
 
@@ -85,13 +113,44 @@ def fingerprint(text: Column) -> Column:
     return made(text)
 
 
+def _sketched(text: Column) -> Column:
+    """Return ``signature, n, parity`` of a text: its fingerprint, its number of distinct shingles, and their parities."""
+
+    @F.arrow_udf("signature string, n bigint, parity array<bigint>")
+    def made(column: pa.Array) -> pa.Array:
+        signature, sizes, parity = [], [np.zeros(0, np.int64)], [np.zeros((0, PARITY_LONGS), np.uint64)]
+        for block in text_blocks(column):
+            shingles, bounds = _shingles(block)
+            signature += _hex(_minima(shingles, bounds))
+            size, odd = _parities(shingles, bounds)
+            sizes.append(size)
+            parity.append(odd)
+        flat = np.concatenate(parity).reshape(-1).view(np.int64)
+        places = pa.array(np.arange(len(column) + 1, dtype=np.int32) * PARITY_LONGS)
+        fields = [pa.array(signature, pa.string()), pa.array(np.concatenate(sizes).astype(np.int64)), pa.ListArray.from_arrays(places, pa.array(flat))]
+        return pa.StructArray.from_arrays(fields, ["signature", "n", "parity"])
+
+    return made(text)
+
+
+def _may_link(similarity: float) -> Column:
+    """Return whether two sets ``n, parity`` and ``m, other`` can be alike.
+
+    Slots of unequal parity, and the sizes, bound the symmetric difference
+    from below, so no pair that is alike is left out.
+    """
+    odd = sum((F.bit_count(F.col("parity")[at].bitwiseXOR(F.col("other")[at])) for at in range(PARITY_LONGS)), F.lit(0))
+    apart = F.greatest(odd, F.abs(F.col("n") - F.col("m")))
+    # A little more than the bound: it is computed in doubles.
+    return apart * (1 + similarity) <= (F.col("n") + F.col("m")) * ((1 - similarity) * (1 + 1e-9)) + 1e-9
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Return the Jaccard similarity of the five-word shingle sets of two texts; two empty ones have 1."""
 
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         for block in text_blocks(column):
-            block.find_words()
-            shingles, bounds = shingle_hashes(block.hashes(), block.bounds, SHINGLE)
+            shingles, bounds = _shingles(block)
             yield from (np.unique(shingles[bounds[at] : bounds[at + 1]]) for at in range(block.count))
 
     @F.arrow_udf("double")
@@ -138,12 +197,17 @@ def _linked(texts: DataFrame, similarity: float) -> DataFrame:
     its component with the first of them. That joins copies without pairing
     them with each other. In the end all texts of a bucket that are still in
     different components are paired, so no link of two components is lost.
+    Sketches of the sets rule out most pairs before any text moves.
     """
     width = 4 * PERMUTATIONS // BANDS
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.xxhash64(band, F.substring("signature", band * width + 1, F.lit(width)))
     )
-    named = texts.select("v", fingerprint(F.col("text")).alias("signature")).select("v", bands.alias("bands")).dropDuplicates(["v"]).checkpoint()
+    named = texts.select("v", _sketched(F.col("text")).alias("s")).select("v", "s.*").select("v", bands.alias("bands"), "n", "parity")
+    named = named.dropDuplicates(["v"]).checkpoint()
+    sketches = named.select("v", "n", "parity")
+    others = sketches.select(F.col("v").alias("w"), F.col("n").alias("m"), F.col("parity").alias("other"))
+    possible = _may_link(similarity)
     shared = named.select("v", F.explode("bands").alias("band"))
     crowds = shared.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1").select("band")
     shared = shared.join(crowds, "band").checkpoint()
@@ -152,13 +216,14 @@ def _linked(texts: DataFrame, similarity: float) -> DataFrame:
     left = shared
     for turn in range(STARS + 1):
         placed = (left if turn < STARS else shared).join(found, "v").select("band", "v", "component").checkpoint()
-        leads = placed.groupBy("band").agg(F.min(F.struct("component", "v")).alias("lead"))
-        leads = leads.select("band", F.col("lead.v").alias("w"), F.col("lead.component").alias("its"))
-        outside = placed.join(leads, "band").filter("component <> its")
-        if turn == STARS:
-            others = placed.select("band", F.col("v").alias("w"), F.col("component").alias("its"))
-            outside = outside.drop("w", "its").join(others, "band").filter("component <> its")
-        pairs = outside.select(F.greatest("v", "w").alias("v"), F.least("v", "w").alias("w")).distinct()
+        if turn < STARS:
+            leads = placed.groupBy("band").agg(F.min(F.struct("component", "v")).alias("lead"))
+            leads = leads.select("band", F.col("lead.v").alias("w"), F.col("lead.component").alias("its"))
+            outside = placed.join(leads, "band").filter("component <> its")
+            pairs = outside.select(F.greatest("v", "w").alias("v"), F.least("v", "w").alias("w")).distinct()
+            pairs = pairs.join(sketches, "v").join(others, "w").filter(possible).select("v", "w")
+        else:
+            pairs = _met(placed, sketches, possible)
         pairs = (pairs if tried is None else pairs.join(tried, ["v", "w"], "left_anti")).checkpoint()
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = _verified(pairs, texts, similarity).checkpoint()
@@ -171,6 +236,23 @@ def _linked(texts: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
+def _met(placed: DataFrame, sketches: DataFrame, possible: Column) -> DataFrame:
+    """Return the pairs ``v, w`` of a band's texts in different components whose sketches allow a link, each once.
+
+    Texts of a large bucket are dealt in blocks, each of which meets the whole bucket.
+    """
+    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held"))
+    several = several.filter("low < high").select("band", F.ceil(F.col("held") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = placed.join(several, "band").join(sketches, "v")
+    one = rows.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).drop("blocks")
+    two = rows.select(
+        "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        *(F.col(name).alias(its) for name, its in (("v", "w"), ("component", "its"), ("n", "m"), ("parity", "other"))),
+    )
+    pairs = one.join(two, ["band", "block"]).filter(F.col("component") < F.col("its")).filter(possible)
+    return pairs.select(F.greatest("v", "w").alias("v"), F.least("v", "w").alias("w")).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Return the pairs ``v, w`` as ``a, b`` whose whole texts are alike; only texts of pairs are moved."""
     names = pairs.select("v").unionByName(pairs.select(F.col("w").alias("v"))).distinct().checkpoint()

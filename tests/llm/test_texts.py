@@ -137,6 +137,39 @@ def test_near_copies_on_one_template_meet(spark):
     assert {row["doc_id"]: row["component_id"] for row in got} == near
 
 
+def test_sketches_rule_out_pairs_of_a_template_before_texts_move(spark, monkeypatch):
+    # All share buckets with all, at about 0.6 to each other; each has one near copy.
+    pick = random.Random(22)
+    words = ["".join(pick.choices("abcdefghij", k=6)) for _ in range(5000)]
+    frame, rows = pick.choices(words, k=150), []
+    for number in range(80):
+        own = [*frame, *pick.choices(words, k=50)]
+        rows += [(2 * number, " ".join(own)), (2 * number + 1, " ".join([*own[:-8], *pick.choices(words, k=8)]))]
+    moved, verified = [], fingerprints._verified
+    monkeypatch.setattr(fingerprints, "_verified", lambda pairs, *rest: moved.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 30, raising=False)
+    got = fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {row["doc_id"]: row["component_id"] for row in got} == {id_: id_ - id_ % 2 for id_, _ in rows}
+    assert sum(moved) < 1000, moved
+
+
+def test_sketches_keep_every_link(spark):
+    pick = random.Random(23)
+    rows = []
+    for number in range(400):
+        one = [f"w{pick.randrange(900)}" for _ in range(pick.choice([0, 1, 5, 40, 200, 3000]))]
+        other = [word if pick.random() > 0.02 else "x" for word in one] if number % 2 else one[: int(len(one) * 0.83)]
+        rows.append((number, " ".join(one), " ".join(other)))
+    two = (fingerprints._sketched(F.col(name)).alias(name) for name in ("one", "other"))
+    frame = spark.createDataFrame(rows, "id int, one string, other string")
+    near = frame.select("id", fingerprints.jaccard(F.col("one"), F.col("other")).alias("near"))
+    may = frame.select("id", *two).select("id", "one.n", "one.parity", F.col("other.n").alias("m"), F.col("other.parity").alias("other"))
+    found = may.select("id", *(fingerprints._may_link(share).alias(f"at{share * 10:.0f}") for share in (0.5, 0.8, 1.0))).join(near, "id").collect()
+    for row in found:
+        assert all(row[f"at{share * 10:.0f}"] or row["near"] < share for share in (0.5, 0.8, 1.0)), row
+    assert sum(not row["at8"] for row in found) > 50
+
+
 def shingles(text):
     words = text.split()
     return {tuple(words[at : at + 5]) for at in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
