@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# So few edges are one task's work: dealt to all, every round would write many small files.
+TASK_ROWS = 50_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """Return ``v, component`` for every end of the links ``a, b``; the component is its smallest end.
@@ -25,11 +28,14 @@ def components(links: DataFrame) -> DataFrame:
         if seen == (print_["n"], print_["h"]):
             break
         seen = (print_["n"], print_["h"])
+        few = print_["n"] <= TASK_ROWS
         both = edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
+        both = both.coalesce(1) if few else both
         least = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
         below = large.groupBy("u").agg(F.min("w").alias("m"))
         joined = large.join(below, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w")
-        edges = joined.unionByName(below.select("u", F.col("m").alias("w"))).distinct().checkpoint()
+        next_ = joined.unionByName(below.select("u", F.col("m").alias("w")))
+        edges = (next_.coalesce(1) if few else next_).distinct().checkpoint()
     leaves = edges.select(F.col("u").alias("v"), F.col("w").alias("component"))
     return leaves.unionByName(edges.select(F.col("w").alias("v"), F.col("w").alias("component")).distinct())

@@ -238,3 +238,22 @@ def test_empty_tables(spark):
     assert kept_digests(docs).collect() == []
     assert without_repeats(docs).collect() == []
     assert near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
+
+
+def test_rounds_of_few_edges_take_few_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from geoquarry.llm import components as linked
+
+    chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.range(50, 53).select(F.col("id").alias("a"), F.lit(60).alias("b")))
+    want = {**dict.fromkeys(range(41), 0), **dict.fromkeys([50, 51, 52, 60], 50)}
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows, parts in ((50_000, 5), (5, 8)):
+            monkeypatch.setattr(linked, "TASK_ROWS", rows, raising=False)
+            got = linked.components(chain.repartition(4))
+            assert {row["v"]: row["component"] for row in got.collect()} == want
+            assert got.rdd.getNumPartitions() <= parts
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
