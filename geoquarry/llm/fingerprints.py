@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquarry.llm.common import prepared
-from geoquarry.llm.components import components
+from geoquarry.llm.components import components, sent, settled
 from geoquarry.llm.sketches import bitmap, marked
 from geoquarry.llm.text_arrays import Block, shingle_hashes, text_blocks
 
@@ -210,29 +210,33 @@ def _linked(texts: DataFrame, similarity: float) -> DataFrame:
     possible = _may_link(similarity)
     shared = named.select("v", F.explode("bands").alias("band"))
     crowds = shared.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1").select("band")
-    shared = shared.join(crowds, "band").checkpoint()
-    found = shared.select("v").distinct().withColumn("component", F.col("v")).checkpoint()
+    shared, held = settled(shared.join(crowds, "band"))
+    found, most = settled(shared.select("v").distinct().withColumn("component", F.col("v")), held)
     links = tried = None
-    left = shared
+    left, rest, met = shared, held, 0
     for turn in range(STARS + 1):
-        placed = (left if turn < STARS else shared).join(found, "v").select("band", "v", "component").checkpoint()
+        rows, many = (left, rest) if turn < STARS else (shared, held)
+        placed, _ = settled(rows.join(sent(found, most), "v").select("band", "v", "component"), many)
         if turn < STARS:
             leads = placed.groupBy("band").agg(F.min(F.struct("component", "v")).alias("lead"))
             leads = leads.select("band", F.col("lead.v").alias("w"), F.col("lead.component").alias("its"))
-            outside = placed.join(leads, "band").filter("component <> its")
-            pairs = outside.select(F.greatest("v", "w").alias("v"), F.least("v", "w").alias("w")).distinct()
-            pairs = pairs.join(sketches, "v").join(others, "w").filter(possible).select("v", "w")
+            outside = placed.join(sent(leads, many), "band").filter("component <> its")
+            pairs, many = settled(outside.select(F.greatest("v", "w").alias("v"), F.least("v", "w").alias("w")).distinct(), many)
+            pairs = sent(sent(pairs, many).join(sketches, "v"), many).join(others, "w").filter(possible).select("v", "w")
         else:
             pairs = _met(placed, sketches, possible)
-        pairs = (pairs if tried is None else pairs.join(tried, ["v", "w"], "left_anti")).checkpoint()
+        pairs, count = settled(pairs if tried is None else pairs.join(sent(tried, met), ["v", "w"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = _verified(pairs, texts, similarity).checkpoint()
-        links = new if links is None else links.unionByName(new)
+        met += count
+        new = _verified(pairs, count, texts, similarity)
+        links, _ = settled(new if links is None else links.unionByName(new), met)
         reached = components(links)
-        found = found.select("v").join(reached, "v", "left").select("v", F.coalesce("component", "v").alias("component")).checkpoint()
+        found = found.select("v").join(sent(reached, 2 * met), "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+        found, _ = settled(found, most)
         if turn < STARS:
             now = found.select(F.col("v").alias("w"), F.col("component").alias("its"))
-            left = outside.select("band", "v", "w").join(found, "v").join(now, "w").filter("component <> its").select("band", "v").checkpoint()
+            left = outside.select("band", "v", "w").join(sent(found, most), "v").join(sent(now, most), "w").filter("component <> its")
+            left, rest = settled(left.select("band", "v"), rest)
     return found
 
 
@@ -253,8 +257,8 @@ def _met(placed: DataFrame, sketches: DataFrame, possible: Column) -> DataFrame:
     return pairs.select(F.greatest("v", "w").alias("v"), F.least("v", "w").alias("w")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Return the pairs ``v, w`` as ``a, b`` whose whole texts are alike; only texts of pairs are moved."""
+def _verified(pairs: DataFrame, count: int, texts: DataFrame, similarity: float) -> DataFrame:
+    """Return the ``count`` pairs ``v, w`` as ``a, b`` whose whole texts are alike; only texts of pairs are moved."""
     names = pairs.select("v").unionByName(pairs.select(F.col("w").alias("v"))).distinct().checkpoint()
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(names).tobytes())  # 8 MB, fixed
 
@@ -267,7 +271,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 yield part.filter(pa.array(marked(map_, part.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
     whole = texts.mapInArrow(run, "v bigint, text string").join(names, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text")).checkpoint()
-    both = pairs.join(whole, "v").join(whole.select(F.col("v").alias("w"), F.col("text").alias("other")), "w")
+    both = sent(pairs, count).join(whole, "v").join(whole.select(F.col("v").alias("w"), F.col("text").alias("other")), "w")
     return both.filter(jaccard(F.col("text"), F.col("other")) >= similarity).select(F.col("v").alias("a"), F.col("w").alias("b"))
 
 

@@ -257,3 +257,30 @@ def test_rounds_of_few_edges_take_few_tasks(spark, monkeypatch):
             assert got.rdd.getNumPartitions() <= parts
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_few_texts_that_share_bands_take_few_tasks(spark, monkeypatch):
+    from geoquarry.llm import components as linked
+    from geoquarry.llm.fingerprints import near_duplicates
+
+    docs = spark.createDataFrame([(number, text) for number, text in enumerate(copies()[:60])], "doc_id bigint, text string").repartition(4)
+    context = spark.sparkContext
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {name: spark.conf.get(name) for name in settings}
+    found, tasks = [], []
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        for rows in (50_000, -1):
+            monkeypatch.setattr(linked, "TASK_ROWS", rows, raising=False)
+            context.setJobGroup(f"near copies {rows}", "")
+            found.append(sorted(tuple(row) for row in near_duplicates(docs).collect()))
+            tracker = context.statusTracker()
+            stages = {stage for job in tracker.getJobIdsForGroup(f"near copies {rows}") for stage in tracker.getJobInfo(job).stageIds}
+            tasks.append(sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert found[0] == found[1]
+    assert 2 * tasks[0] < tasks[1]
