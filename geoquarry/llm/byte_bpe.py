@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import io
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +27,8 @@ from geoquarry.llm.text_arrays import Block, span_hashes, text_blocks
 
 # Words of more bytes are merged one by one with a heap.
 SIDE_BY_SIDE = 64
+# Bytes of text encoded at once: about 60 bytes of work arrays for each of them.
+ENCODED_BYTES = 1 << 19
 NONE = np.int32(2**31 - 1)
 SPACE, LETTER, NUMBER, OTHER = range(4)
 # The characters that count as white space.
@@ -34,11 +38,8 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 @lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
     """Return the class of every code point."""
-    first = [unicodedata.category(chr(code))[0] for code in range(0x110000)]
-    letters = np.array(first)
-    classes = np.full(0x110000, OTHER, np.uint8)
-    classes[letters == "L"] = LETTER
-    classes[letters == "N"] = NUMBER
+    kinds = {"L": LETTER, "N": NUMBER}
+    classes = np.fromiter((kinds.get(unicodedata.category(chr(code))[0], OTHER) for code in range(0x110000)), np.uint8, 0x110000)
     classes[list(WHITE_SPACE)] = SPACE
     return classes
 
@@ -91,21 +92,23 @@ class Vocabulary:
     """Ranks of byte strings, as arrays for lookups."""
 
     def __init__(self, ranks: bytes) -> None:
-        table = [line.split() for line in ranks.splitlines() if line.strip()]
-        self.ranks = {base64.b64decode(piece): int(rank) for piece, rank in table}
+        lines = (line.split() for line in io.BytesIO(ranks) if line.strip())
+        self.ranks = {base64.b64decode(piece): int(rank) for piece, rank in lines}
         self.single = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int32)
         pieces = list(self.ranks)
         ends = np.cumsum([len(piece) for piece in pieces])
         keys = span_hashes(np.frombuffer(b"".join(pieces), np.uint8), ends - [len(piece) for piece in pieces], ends)
         order = np.argsort(keys)
         self.whole = keys[order], np.array([self.ranks[piece] for piece in pieces], np.int32)[order]
-        pairs: dict[int, int] = {}
+        # Flat numbers, not objects; pieces differ, so each pair is met once.
+        pairs, joined = array("q"), array("i")
         for piece, rank in self.ranks.items():
             for at in range(1, len(piece)):
                 left, right = self.ranks.get(piece[:at]), self.ranks.get(piece[at:])
                 if left is not None and right is not None:
-                    pairs[left << 20 | right] = rank
-        self._place(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32))
+                    pairs.append(left << 20 | right)
+                    joined.append(rank)
+        self._place(np.array(pairs, np.int64), np.array(joined, np.int32))
 
     def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Lay the pairs out in an open table with few probes."""
@@ -280,7 +283,7 @@ def encode(docs: DataFrame, ranks_path: str, *, keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(shared.value)
         for batch in batches:
-            for block in text_blocks(batch.column(len(kept))):
+            for block in text_blocks(batch.column(len(kept)), ENCODED_BYTES):
                 ids, bounds = words.encode(block)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 rows = batch.slice(block.first, block.count)

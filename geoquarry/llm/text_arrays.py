@@ -130,8 +130,8 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     return out, out_bounds
 
 
-def text_blocks(column: pa.Array) -> Iterator[Block]:
-    """Cut a string column into blocks of texts; a null text is empty."""
+def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Cut a string column into blocks of texts of about ``size`` bytes; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -140,6 +140,6 @@ def text_blocks(column: pa.Array) -> Iterator[Block]:
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        stop = max(int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1, at + 1)
+        stop = max(int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1, at + 1)
         yield Block(at, data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
         at = stop

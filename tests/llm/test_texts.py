@@ -422,3 +422,27 @@ def test_boosting_and_steps():
     assert ((scores > 0) == truth).mean() > 0.95
     ends, heights = isotonic(np.array([1.0, 2.0, 2.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 0.0, 1.0]))
     assert (np.diff(ends) > 0).all() and (np.diff(heights) >= 0).all()
+
+
+def test_encoding_holds_little_text_at_once():
+    import tracemalloc
+
+    from geoquarry.llm import byte_bpe
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        words = Vocabulary(file.read())
+    pick = random.Random(17)
+    stock = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyzäß语", k=pick.randint(1, 9))) for _ in range(3000)]
+    column = pa.array([" ".join(pick.choices(stock, k=400)) for _ in range(1200)])
+    whole = np.concatenate([words.encode(block)[0] for block in text_blocks(column)])
+    parts, peaks = [], []
+    tracemalloc.start()
+    try:
+        for block in text_blocks(column, byte_bpe.ENCODED_BYTES):
+            tracemalloc.reset_peak()
+            parts.append(words.encode(block)[0])
+            peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+    finally:
+        tracemalloc.stop()
+    assert len(parts) > 4 and (np.concatenate(parts) == whole).all()
+    assert max(peaks) < 48, peaks
