@@ -25,6 +25,11 @@ SPLITS = 9
 COPIES = 8
 # Pairs of segments and edges that one numpy step may hold.
 PAIRS = 2_000_000
+# Pieces that a shape is tried with at first, before those that touched one are left out.
+FIRST_TRIES = 8
+# Pairs of shapes and pieces that exist at once, and bytes of geometry that are decoded at once for them.
+TRIES = 250_000
+SHAPE_BYTES = 4 * 1024 * 1024
 
 PIECE_FIELDS = "e int, ix bigint, iy bigint, inside boolean, px0 double, py0 double, px1 double, py1 double, body binary"
 
@@ -261,16 +266,22 @@ def shapes_meet_pieces(
 ) -> np.ndarray:
     """Return which shapes touch the part of a polygon in the cell of their row; a null body is a cell inside."""
     bodies = Bodies(column)
+    return _shapes_meet(wkb, e, ix, iy, bodies.of_row, bodies)
+
+
+def _shapes_meet(
+    wkb: pa.Array, e: np.ndarray, ix: np.ndarray, iy: np.ndarray, of_row: np.ndarray, bodies: Bodies
+) -> np.ndarray:
     flat = shapes.decode(wkb)
     hit = np.zeros(flat.rows, bool)
     side = np.ldexp(1.0, e)
     left, bottom = ix * side, iy * side
     row = np.repeat(flat.part_row, np.diff(flat.part_start))
     within = (flat.x >= left[row]) & (flat.x <= (left + side)[row]) & (flat.y >= bottom[row]) & (flat.y <= (bottom + side)[row])
-    whole = bodies.of_row < 0
+    whole = of_row < 0
     hit[row[within & whole[row]]] = True
     tried = within & ~whole[row]
-    found = points_in_pieces(flat.x[tried], flat.y[tried], bodies.of_row[row[tried]], bodies)
+    found = points_in_pieces(flat.x[tried], flat.y[tried], of_row[row[tried]], bodies)
     hit[row[tried][found]] = True
 
     undecided = ~hit & ~whole
@@ -280,12 +291,12 @@ def shapes_meet_pieces(
     flat = flat.rows_only(undecided)
     segments, part, polygon = shapes.segments_of(flat)
     row = flat.part_row[part]
-    hit |= _crossing(segments, row, bodies, flat.rows)
+    hit |= _crossing(segments, row, of_row[row], bodies, flat.rows)
     # A shape around the piece has any point of its edges inside.
     around = (polygon >= 0) & ~hit[row]
     if around.any():
         segments, row, polygon = segments[around], row[around], polygon[around]
-        corner = bodies.edges[bodies.edge_start[bodies.of_row[row]], :2]
+        corner = bodies.edges[bodies.edge_start[of_row[row]], :2]
         b, d = segments[:, 1], segments[:, 3]
         q = corner[:, 1]
         turn = shapes.orientation(*segments.T, corner[:, 0], q)
@@ -297,10 +308,9 @@ def shapes_meet_pieces(
     return hit
 
 
-def _crossing(segments: np.ndarray, row: np.ndarray, bodies: Bodies, rows: int) -> np.ndarray:
+def _crossing(segments: np.ndarray, row: np.ndarray, of: np.ndarray, bodies: Bodies, rows: int) -> np.ndarray:
     """Return the rows of which a segment meets an edge of their piece."""
     hit = np.zeros(rows, bool)
-    of = bodies.of_row[row]
     sizes = bodies.edge_start[of + 1] - bodies.edge_start[of]
     step = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + PAIRS, PAIRS))
     for begin, end in zip(step[:-1], np.maximum(step[1:], step[:-1] + 1), strict=True):
@@ -319,3 +329,121 @@ def _crossing(segments: np.ndarray, row: np.ndarray, bodies: Bodies, rows: int)
         )
         hit[row[int(begin) : int(end)][segment[across]]] = True
     return hit
+
+
+class _Grid:
+    """Places of pieces by cells of one size."""
+
+    def __init__(self, ix: np.ndarray, iy: np.ndarray, piece: np.ndarray) -> None:
+        self.columns, column = np.unique(ix, return_inverse=True)
+        self.lines, line = np.unique(iy, return_inverse=True)
+        code = column * len(self.lines) + line
+        order = np.argsort(code, kind="stable")
+        self.piece = piece[order]
+        self.cells, first = np.unique(code[order], return_index=True)
+        self.start = np.append(first, len(order))
+
+    def spans(self, ix: np.ndarray, iy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Return where the pieces of each cell begin and end in ``piece``."""
+        column = np.minimum(np.searchsorted(self.columns, ix), len(self.columns) - 1)
+        line = np.minimum(np.searchsorted(self.lines, iy), len(self.lines) - 1)
+        code = column * len(self.lines) + line
+        at = np.minimum(np.searchsorted(self.cells, code), len(self.cells) - 1)
+        known = (self.columns[column] == ix) & (self.lines[line] == iy) & (self.cells[at] == code)
+        return np.where(known, self.start[at], 0), np.where(known, self.start[at + 1], 0)
+
+
+class Layer:
+    """Pieces of a layer, or of a part of it, in memory: tells which shapes touch any of them.
+
+    Only some pairs of shapes and pieces exist at a time, and a shape that
+    touched a piece is tried with no other one.
+    """
+
+    def __init__(self, table: pa.Table) -> None:
+        body = table.column("body").cast(pa.large_binary()).combine_chunks()
+        self.e, self.ix, self.iy, self.inside = (table.column(name).to_numpy() for name in ("e", "ix", "iy", "inside"))
+        self.boxes = np.column_stack([table.column(name).to_numpy() for name in ("px0", "py0", "px1", "py1")])
+        self.bodies = Bodies(body)
+        self.levels = np.unique(self.e)
+        self.reach = np.concatenate([self.boxes[:, :2].min(axis=0), self.boxes[:, 2:].max(axis=0)])
+        self.grids: dict[tuple[int, bool], _Grid] = {}
+
+    def _grid(self, level: int, below: bool) -> _Grid:
+        """Return the pieces of a level by cell, or the smaller ones by the cells of that level that they lie in."""
+        if (level, below) not in self.grids:
+            piece = np.flatnonzero(self.e < level if below else self.e == level)
+            shift = np.minimum(level - self.e[piece], 63).astype(np.int64)
+            self.grids[level, below] = _Grid(self.ix[piece] >> shift, self.iy[piece] >> shift, piece)
+        return self.grids[level, below]
+
+    def touched(self, boxes: np.ndarray, wkb: pa.Array) -> np.ndarray:
+        """Return which shapes touch a piece, given the boxes of all and the WKB of those that are not points."""
+        hit = np.zeros(len(boxes), bool)
+        low, high = np.fmax(boxes[:, :2], self.reach[:2]), np.fmin(boxes[:, 2:], self.reach[2:])
+        rows = np.flatnonzero((low <= high).all(axis=1))
+        if not len(rows):
+            return hit
+        wkb = wkb.cast(pa.large_binary())
+        cut = np.zeros((len(boxes), 4))
+        cut[:, :2], cut[:, 2:] = low, high
+        own = np.maximum(level_of((high - low)[rows].max(axis=1), np.zeros(len(rows))), self.levels[0])
+        looks = [(int(level), False, rows[own <= level]) for level in self.levels]
+        looks += [(int(level), True, rows[own == level]) for level in np.unique(own) if level > self.levels[0]]
+        for level, below, asked in looks:
+            if not len(asked):
+                continue
+            grid = self._grid(level, below)
+            number = np.clip(np.floor(cut[asked] / 2.0**level), -(2.0**62), 2.0**62).astype(np.int64)
+            wide, tall = (int((number[:, side + 2] - number[:, side]).max()) + 1 for side in (0, 1))
+            for across in range(wide):
+                for up in range(tall):
+                    ix, iy = number[:, 0] + across, number[:, 1] + up
+                    own_cell = (ix <= number[:, 2]) & (iy <= number[:, 3]) & ~hit[asked]
+                    begin, end = grid.spans(ix[own_cell], iy[own_cell])
+                    self._try(grid, asked[own_cell], begin, end, boxes, cut, wkb, hit)
+        return hit
+
+    def _try(self, grid, rows, begin, end, boxes, cut, wkb, hit) -> None:
+        """Mark the rows that touch a piece of their span; some pieces of each come first."""
+        tries = FIRST_TRIES
+        while True:
+            left = (begin < end) & ~hit[rows]
+            rows, begin, end = rows[left], begin[left], end[left]
+            if not len(rows):
+                return
+            take = np.minimum(end - begin, tries)
+            step = max(1, TRIES // tries)
+            for first in range(0, len(rows), step):
+                own = slice(first, first + step)
+                row = np.repeat(rows[own], take[own])
+                begins = np.concatenate([[0], np.cumsum(take[own])[:-1]])
+                piece = grid.piece[np.arange(len(row)) + np.repeat(begin[own] - begins, take[own])]
+                self._test(row, piece, boxes, cut, wkb, hit)
+            begin = begin + take
+            tries = min(tries * 4, TRIES)
+
+    def _test(self, row, piece, boxes, cut, wkb, hit) -> None:
+        """Mark the rows that touch their piece: by boxes, as points, and at last by their geometry."""
+        near = (cut[row, :2] <= self.boxes[piece, 2:]).all(axis=1) & (cut[row, 2:] >= self.boxes[piece, :2]).all(axis=1)
+        row, piece = row[near], piece[near]
+        held = self.inside[piece] & (boxes[row, :2] >= self.boxes[piece, :2]).all(axis=1) & (boxes[row, 2:] <= self.boxes[piece, 2:]).all(axis=1)
+        hit[row[held]] = True
+        point = (boxes[row, :2] == boxes[row, 2:]).all(axis=1)
+        tried = point & ~self.inside[piece] & ~hit[row]
+        if tried.any():
+            found = points_in_pieces(boxes[row[tried], 0], boxes[row[tried], 1], self.bodies.of_row[piece[tried]], self.bodies)
+            hit[row[tried][found]] = True
+        tried = ~point & ~hit[row]
+        row, piece = row[tried], piece[tried]
+        if not len(row):
+            return
+        sizes = np.cumsum(np.diff(np.frombuffer(wkb.buffers()[1], np.int64, len(wkb) + 1, wkb.offset * 8))[row])
+        bounds = np.unique(np.concatenate([np.searchsorted(sizes, np.arange(SHAPE_BYTES, sizes[-1], SHAPE_BYTES)) + 1, [0, len(row)]]))
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            own, of = row[first:last], piece[first:last]
+            # A shape that touched a piece of an earlier part is settled.
+            own, of = own[~hit[own]], of[~hit[own]]
+            if len(own):
+                met = _shapes_meet(wkb.take(pa.array(own)), self.e[of], self.ix[of], self.iy[of], self.bodies.of_row[of], self.bodies)
+                hit[own[met]] = True

@@ -3,13 +3,14 @@
 A small layer travels to the features inside the task closure, so nothing is
 shuffled. A layer beyond the checked size is cut into cells of a quadtree, each
 polygon at its own size: cells that lie inside a polygon settle their features
-at once, other cells keep the few edges that come near them. Features meet the
-pieces of their cells by box; points are settled there, and the geometry of the
-rest is fetched once.
+at once, other cells keep the few edges that come near them. Features are tried
+with the pieces of their cells in memory, by box, as points, and by geometry;
+few pieces travel to the features as well, many meet them in tiles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,20 @@ from geoquarry.session import scratch_path
 # A layer up to this many bytes and polygons is sent along with the tasks.
 CARRIED_BYTES = 8 * 1024 * 1024
 CARRIED_POLYGONS = 2_000
-CELL_KEY = ["e", "ix", "iy", "up"]
+BOX = ["x0", "y0", "x1", "y1"]
+TILE = ["e", "tx", "ty"]
 # Polygons that are cut at once.
 CUT_ROWS = 256
-# Features, and pieces, of one cell that one task joins.
+# Features, and pieces, that a task holds at once; one counts again for so many bytes of geometry.
 BLOCK_ROWS = 20_000
+ROW_BYTES = 512
+# Tiles along the longer side of a layer, how often crowded ones are split, and
+# the exponent by which a tile is at least wider than its features.
+TILES = 64
+SPLIT_ROUNDS = 8
+ROOM = 3
+# The exponent of a box without any width: below that of all numbers.
+FINEST = -2_000
 # Tables derived from files look smaller than they are: what grows with the features is never broadcast.
 SORTED = "merge"
 # Relative step between neighbouring floats.
@@ -136,133 +146,154 @@ def _exact_box(features: DataFrame, covering: str) -> list[Column]:
     return found
 
 
-def _numbers(low: Column, high: Column, side: Column) -> Column:
-    return F.sequence(F.floor(low / side), F.floor(high / side))
-
-
-def _feature_cells(levels: list[int], own: Column) -> Column:
-    """Return the cells that a box touches: of its own level, and of each coarser level that pieces have.
-
-    ``up`` marks a cell that looks for pieces below itself; others look for pieces of just that cell.
-    """
-
-    def cells(level: Column, up: bool) -> Column:
-        side = F.pow(F.lit(2.0), level)
-        columns, lines = _numbers(F.col("x0"), F.col("x1"), side), _numbers(F.col("y0"), F.col("y1"), side)
-        return F.flatten(F.transform(columns, lambda x: F.transform(lines, lambda y: F.struct(
-            level.cast("int").alias("e"), x.alias("ix"), y.alias("iy"), F.lit(up).alias("up")
-        ))))
-
-    known = F.filter(F.array(*(F.lit(level) for level in levels)), lambda level: level >= own)
-    exact = F.flatten(F.transform(known, lambda level: cells(level, False)))
-    return F.when(own > levels[0], F.concat(exact, cells(own, True))).otherwise(exact)
-
-
-def _own_level(levels: list[int]) -> Column:
-    """Return the level of a box: its cells are about as wide as it is, and no finer than the finest pieces."""
-    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    wide = F.ceil(F.ceil(F.log2(extent)) / pieces.STEP) * pieces.STEP
-    return F.greatest(F.coalesce(wide, F.lit(levels[0])), F.lit(levels[0])).cast("int")
-
-
 def _by_cells(
     features: DataFrame, areas: DataFrame, key: str, geometry: str, covering: str, area_geometry: str
 ) -> DataFrame:
-    """Join features and pieces of polygons by cell; geometry moves only for features that boxes do not settle.
+    """Find features that touch pieces of polygons; what is written are the ids of those that do, never pairs.
 
-    Features are read four times: the levels of their boxes, their cells,
-    the geometry of open ones, and the result.
+    Few pieces go along with the tasks. Otherwise features and pieces meet in
+    tiles. Features are read twice, or three times and once more for each
+    round in which crowded tiles are split.
     """
     spark = features.sparkSession
     path = scratch_path(spark, "pieces")
     area_pieces(areas, area_geometry).write.parquet(path)
     cut = spark.read.parquet(path)
-    # A handful of numbers: exponents of cell sides.
-    levels = sorted(row["e"] for row in cut.select("e").distinct().collect())
-    if not levels:
+    layer = cut.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("bytes"),
+        F.min("px0").alias("west"), F.min("py0").alias("south"), F.max("px1").alias("east"), F.max("py1").alias("north"),
+    ).first()
+    if not layer["n"]:
         return features.limit(0)
-    boxed = features.where(F.col(geometry).isNotNull() & F.col(covering).isNotNull()).select(F.col(key).alias("_id"), *_exact_box(features, covering))
-    boxed = boxed.where("x0 <= x1 AND y0 <= y1")
-    placed = boxed.withColumn("_own", _own_level(levels))
-    coarser = sorted(row["_own"] for row in placed.select("_own").distinct().collect() if row["_own"] > levels[0])
-    above = [
-        cut.where(F.col("e") < level).select(
-            F.lit(level).alias("e"), *(F.floor(F.col(axis) / F.pow(F.lit(2.0), level - F.col("e"))).alias(axis) for axis in ("ix", "iy")),
-            F.lit(True).alias("up"), F.struct("e", "ix", "iy").alias("cell"), "inside", "px0", "py0", "px1", "py1", "body",
-        )
-        for level in coarser
-    ]
-    found = cut.select("e", "ix", "iy", F.lit(False).alias("up"), F.struct("e", "ix", "iy").alias("cell"), "inside", "px0", "py0", "px1", "py1", "body")
-    for rows in above:
-        found = found.unionByName(rows)
-    cells = placed.select("_id", "x0", "y0", "x1", "y1", F.explode(_feature_cells(levels, F.col("_own"))).alias("_c"))
-    cells = cells.select("_id", "x0", "y0", "x1", "y1", *(F.col(f"_c.{name}").alias(name) for name in CELL_KEY))
-    met = _met(cells, found, path)
-
-    held = (F.col("x0") >= F.col("px0")) & (F.col("x1") <= F.col("px1")) & (F.col("y0") >= F.col("py0")) & (F.col("y1") <= F.col("py1"))
     point = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
-    by_point = _point_test()(F.col("x0"), F.col("y0"), F.when(point, F.col("body")))
-    judged = met.withColumn("_hit", F.when(F.col("inside") & held, F.lit(True)).otherwise(by_point)).where("_hit IS NULL OR _hit")
-    settled = F.coalesce("_hit", F.lit(False))
-    judged = judged.select("_id", settled.alias("_hit"), F.when(~settled, F.col("cell")).alias("cell"), F.when(~settled, F.col("body")).alias("body"))
+    boxed = features.where(F.col(geometry).isNotNull() & F.col(covering).isNotNull()).select(
+        F.col(key).alias("_id"), *_exact_box(features, covering), F.col(geometry).alias("_shape")
+    )
+    boxed = boxed.where("x0 <= x1 AND y0 <= y1").where(
+        (F.col("x0") <= layer["east"]) & (F.col("x1") >= layer["west"]) & (F.col("y0") <= layer["north"]) & (F.col("y1") >= layer["south"])
+    )
+    # Points are settled by their box.
+    boxed = boxed.withColumn("_shape", F.when(~point, F.col("_shape")))
+    found = T.StructType([T.StructField("_id", features.schema[key].dataType)])
+    if layer["bytes"] + 100 * layer["n"] <= CARRIED_BYTES:
+        hits = boxed.mapInArrow(_hits_of(cut.toArrow()), found)
+    else:
+        hits = _in_tiles(boxed, cut, [layer[name] for name in ("west", "south", "east", "north")], found)
     path = scratch_path(spark, "met")
-    judged.write.parquet(path)
-    judged = spark.read.parquet(path)
-    hits = judged.where("_hit").select("_id")
-    left = judged.where("NOT _hit")
-    if not left.isEmpty():
-        whole = features.where(F.col(geometry).isNotNull()).select(F.col(key).alias("_id"), F.col(geometry).alias("_shape"))
-        tested = left.hint(SORTED).join(whole, "_id").where(_piece_test()(F.col("_shape"), F.col("cell.e"), F.col("cell.ix"), F.col("cell.iy"), F.col("body")))
-        hits = hits.unionByName(tested.select("_id"))
+    hits.write.parquet(path)
+    hits = spark.read.parquet(path)
     return features.join(hits.distinct().withColumnRenamed("_id", key).hint(SORTED), key, "left_semi")
 
 
-def _met(cells: DataFrame, found: DataFrame, path: str) -> DataFrame:
-    """Return features with the pieces of their cells whose boxes meet theirs.
+def _touched(layer: pieces.Layer, rows: pa.RecordBatch | pa.Table) -> pa.RecordBatch | pa.Table:
+    """Return the ids of the features that touch a piece."""
+    boxes = np.column_stack([rows.column(name).to_numpy() for name in BOX])
+    shape = rows.column("_shape")
+    if isinstance(shape, pa.ChunkedArray):
+        shape = shape.cast(pa.large_binary()).combine_chunks()
+    return rows.select(["_id"]).filter(pa.array(layer.touched(boxes, shape)))
+
 
-    Few pieces go along with the tasks. Otherwise cells in which many
-    features would meet many pieces are dealt in blocks of both.
+def _hits_of(cut: pa.Table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layer = pieces.Layer(cut)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                yield _touched(layer, batch.slice(start, BLOCK_ROWS))
+
+    return run
+
+
+def _in_tiles(boxed: DataFrame, cut: DataFrame, envelope: list[float], found: T.StructType) -> DataFrame:
+    """Return the ids of features that touch a piece; both go to the tiles that they touch, once each.
+
+    A feature goes to tiles much wider than it, a piece to those of all sizes
+    that have features. Tiles of many features and many pieces are split, and
+    what is still crowded is dealt in blocks of both: a task holds one block
+    of each at a time, whatever the layer and the features are.
     """
-    near = (F.col("x0") <= F.col("px1")) & (F.col("x1") >= F.col("px0")) & (F.col("y0") <= F.col("py1")) & (F.col("y1") >= F.col("py0"))
-    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("bytes")).first()
-    if size["bytes"] + 100 * size["n"] <= CARRIED_BYTES:
-        return cells.join(F.broadcast(found), CELL_KEY).where(near)
-    stored = scratch_path(cells.sparkSession, "cells")
-    cells.join(found.select(*CELL_KEY).distinct().hint(SORTED), CELL_KEY, "left_semi").write.parquet(stored)
-    cells = cells.sparkSession.read.parquet(stored)
-    counts = cells.groupBy(*CELL_KEY).agg(F.count("*").alias("_features")).join(
-        found.groupBy(*CELL_KEY).agg(F.count("*").alias("_pieces")), CELL_KEY
-    )
-    blocks = counts.where((F.col("_features") > BLOCK_ROWS) | (F.col("_pieces") > BLOCK_ROWS)).select(
-        *CELL_KEY, *(F.ceil(F.col(name) / BLOCK_ROWS).cast("int").alias(name) for name in ("_features", "_pieces"))
+    west, south, east, north = envelope
+    extent, reach = max(east - west, north - south), max(map(abs, envelope))
+    # Tile numbers stay far below 53 bits.
+    base = math.ceil(math.log2(max(extent / TILES, reach * 2.0**-40, 1e-300)))
+    top = base + math.ceil(math.log2(TILES))
+    wide = F.greatest(F.least("x1", F.lit(east)) - F.greatest("x0", F.lit(west)), F.least("y1", F.lit(north)) - F.greatest("y0", F.lit(south)))
+    # The logarithm of zero is null.
+    own = F.coalesce(F.ceil(F.log2(wide)).cast("int") + ROOM, F.lit(FINEST))
+    size = F.length(F.coalesce("_shape", F.lit(b"")))
+    one = boxed.withColumn("_own", own).withColumn("_weight", 1 + F.floor(size / ROW_BYTES))
+    one = one.withColumn("e", F.least(F.lit(top), F.greatest(F.lit(base), "_own")))
+    size = F.length(F.coalesce("body", F.lit(b"")))
+    two = cut.select(
+        F.struct("e", "ix", "iy").alias("cell"), "inside", *(F.col(f"p{name}").alias(name) for name in BOX), "body",
+        F.lit(None).cast("int").alias("_own"), (1 + F.floor(size / ROW_BYTES)).alias("_weight"),
+        F.explode(F.sequence(F.lit(base), F.lit(top))).alias("e"),
     )
-    one, two = (side.join(blocks, CELL_KEY, "left").fillna(1, ["_features", "_pieces"]) for side in (cells, found))
+    one, two = (_in_each(rows, _tiles(F.col("e"), envelope)) for rows in (one, two))
+    spark, split = boxed.sparkSession, set()
+    for turn in range(SPLIT_ROUNDS + 1):
+        path = scratch_path(spark, "tiles")
+        widest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        counts = one.groupBy(*TILE).agg(F.sum("_weight").alias("_features")).join(
+            two.groupBy(*TILE).agg(F.sum("_weight").alias("_pieces"), F.avg(widest).alias("_wide")).hint(SORTED), TILE
+        )
+        counts.write.parquet(path)
+        tiles = spark.read.parquet(path)
+        # Pieces must fit well into the smaller tiles, or there would be more copies and not less work.
+        side = F.pow(F.lit(2.0), F.col("e") - pieces.STEP)
+        crowded = tiles.where((F.col("_features") > BLOCK_ROWS) & (F.col("_pieces") > BLOCK_ROWS) & (side >= 2 * F.col("_wide")) & (side >= reach * 2.0**-40))
+        # There is less than one crowded tile for each BLOCK_ROWS features.
+        fresh = {tuple(row) for row in crowded.select(*TILE).collect()} - split if turn < SPLIT_ROUNDS else set()
+        if not fresh:
+            break
+        split |= fresh
+        marks = spark.createDataFrame(sorted(fresh), "e int, tx bigint, ty bigint").withColumn("_split", F.lit(True))
+        one, two = (_split(rows, marks, envelope) for rows in (one, two))
+    dealt = F.broadcast(tiles.select(*TILE, *(F.ceil(F.col(name) / BLOCK_ROWS).alias(name) for name in ("_features", "_pieces"))))
 
     def every(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
 
-    one = one.withColumn("_i", F.pmod(F.xxhash64("_id"), F.col("_features")).cast("int")).withColumn("_j", every("_pieces"))
-    two = two.withColumn("_j", F.pmod(F.xxhash64("body", "px0", "py0"), F.col("_pieces")).cast("int")).withColumn("_i", every("_features"))
-    extra = ["_features", "_pieces"]
-    return one.drop(*extra).join(two.drop(*extra).hint(SORTED), [*CELL_KEY, "_i", "_j"]).where(near)
+    block = F.xxhash64(*TILE, "_i", "_j").alias("_block")
+    one = one.join(dealt, TILE).withColumn("_i", F.pmod(F.xxhash64("_id", *BOX), F.col("_features"))).withColumn("_j", every("_pieces"))
+    two = two.join(dealt, TILE).withColumn("_j", F.pmod(F.xxhash64("cell", *BOX, "body"), F.col("_pieces"))).withColumn("_i", every("_features"))
+    one = one.select(block, "_id", *BOX, "_shape").groupBy("_block")
+    two = two.select(block, "cell.e", "cell.ix", "cell.iy", "inside", *(F.col(name).alias(f"p{name}") for name in BOX), "body").groupBy("_block")
 
+    def meet(rows: pa.Table, layer: pa.Table) -> pa.Table:
+        return _touched(pieces.Layer(layer), rows) if rows.num_rows and layer.num_rows else rows.select(["_id"]).slice(0, 0)
 
-def _point_test():
-    @F.arrow_udf(T.BooleanType())
-    def touches(x: pa.Array, y: pa.Array, body: pa.Array) -> pa.Array:
-        tried = np.asarray(body.is_valid())
-        found = np.zeros(len(tried), bool)
-        if tried.any():
-            bodies = pieces.Bodies(body.filter(pa.array(tried)))
-            found[tried] = pieces.points_in_pieces(x.to_numpy()[tried], y.to_numpy()[tried], bodies.of_row, bodies)
-        return pa.array(found, mask=~tried)
+    return one.cogroup(two).applyInArrow(meet, found)
 
-    return touches
 
+def _tiles(level: Column, envelope: list[float], within: bool = False) -> Column:
+    """Return the tiles of a level that a box touches inside of the envelope; ``within`` keeps those in the row's own tile."""
+    side, fan = F.pow(F.lit(2.0), level), 1 << pieces.STEP
+
+    def numbers(low: str, high: str, edge: int, own: str) -> Column:
+        begin = F.floor(F.greatest(F.col(low), F.lit(envelope[edge])) / side)
+        end = F.floor(F.least(F.col(high), F.lit(envelope[edge + 2])) / side)
+        if within:
+            begin, end = F.greatest(begin, F.col(own) * fan), F.least(end, F.col(own) * fan + (fan - 1))
+        return F.sequence(begin, end)
+
+    columns, lines = numbers("x0", "x1", 0, "tx"), numbers("y0", "y1", 1, "ty")
+    return F.flatten(F.transform(columns, lambda x: F.transform(lines, lambda y: F.struct(
+        level.alias("e"), x.alias("tx"), y.alias("ty")
+    ))))
+
+
+def _in_each(rows: DataFrame, places: Column) -> DataFrame:
+    """Repeat rows for each of their tiles."""
+    rows = rows.withColumn("_t", F.explode(places))
+    return rows.select(*(name for name in rows.columns if name not in (*TILE, "_t")), *(F.col(f"_t.{name}").alias(name) for name in TILE))
 
-def _piece_test():
-    @F.arrow_udf(T.BooleanType())
-    def touches(wkb: pa.Array, e: pa.Array, ix: pa.Array, iy: pa.Array, body: pa.Array) -> pa.Array:
-        return pa.array(pieces.shapes_meet_pieces(wkb, *(part.to_numpy() for part in (e, ix, iy)), body))
 
-    return touches
+def _split(rows: DataFrame, marks: DataFrame, envelope: list[float]) -> DataFrame:
+    """Move features of marked tiles to the tiles below that are wide enough for them; pieces go to both."""
+    marked = rows.join(F.broadcast(marks), TILE, "left")
+    here, below = F.array(F.struct(*TILE)), F.col("e") - pieces.STEP
+    inner = _tiles(below, envelope, within=True)
+    piece = F.col("_own").isNull()
+    places = F.when(F.col("_split").isNull() | (F.col("_own") > below), here).when(piece, F.concat(here, inner)).otherwise(inner)
+    return _in_each(marked, places).drop("_split")

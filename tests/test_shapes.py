@@ -2,6 +2,7 @@
 
 import random
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,20 @@ def test_orientation_is_exact_near_the_line():
     assert shapes.orientation(*a, np.array([0.5 + step]), np.array([0.5 + step * 2])).tolist()[0] in (0, 1)
 
 
+def test_turns_on_a_grid_are_exact_without_fractions(monkeypatch):
+    rng = np.random.default_rng(5)
+    grid = rng.integers(-9, 9, (4000, 6)) / 8
+    start, way = rng.random((2000, 2)), rng.random((2000, 2))
+    near = np.hstack([start, start + way, start + way * rng.random((2000, 1))])
+    mixed = rng.integers(-3, 3, (2000, 6)) * rng.choice([1e-300, 1e-160, 1.0, 1 / 3, 2.0**52], (2000, 6))
+    for places in (grid, grid + 2.0**30, near, mixed):
+        a, b, c, d, p, q = ([Fraction(value) for value in column] for column in places.T.tolist())
+        turns = [(c[i] - a[i]) * (q[i] - b[i]) - (d[i] - b[i]) * (p[i] - a[i]) for i in range(len(a))]
+        assert shapes.orientation(*places.T).tolist() == [(turn > 0) - (turn < 0) for turn in turns]
+    monkeypatch.setattr(shapes, "Fraction", None)
+    assert (shapes.orientation(*grid.T) == 0).any()
+
+
 @pytest.mark.parametrize("text", ["POINT(1 2)", "POLYGON EMPTY", "nonsense"])
 def test_other_texts_are_refused(text):
     with pytest.raises(ValueError):

@@ -97,6 +97,48 @@ def test_spatial_semi_join(spark, monkeypatch):
         spatial.touching(features, layer.limit(0), "id")
 
 
+@pytest.mark.parametrize("carried", [spatial.CARRIED_BYTES, 0])
+def test_a_semi_join_writes_ids_and_no_pairs(spark, monkeypatch, tmp_path, carried):
+    rng = random.Random(7)
+    spots = [(rng.uniform(0, 4), rng.uniform(0, 4)) for _ in range(150)]
+    layer = spark.createDataFrame([(polygon([(x, y), (x + 3, y + 0.1), (x + 1, y + 3), (x, y)]),) for x, y in spots], "geometry binary")
+    values = [line([(x, y), (x + 0.3, y - 0.2), (x + 0.5, y + 0.5)]) for x, y in ((rng.uniform(-1, 9), rng.uniform(-1, 9)) for _ in range(200))]
+    features = spark.createDataFrame(list(enumerate(values)), "id int, geometry binary").withColumn("bbox", wkb.envelope("geometry"))
+    near = sorted(row.id for row in spatial.touching(features, layer, "id").collect())
+    paths = []
+    monkeypatch.setattr(spatial, "CARRIED_BYTES", carried)
+    monkeypatch.setattr(spatial, "scratch_path", lambda _spark, name: paths.append(str(tmp_path / f"{name}-{len(paths)}")) or paths[-1])
+    assert sorted(row.id for row in spatial.touching(features, layer, "id", carried_bytes=0).collect()) == near and 50 < len(near) < 200
+    # Most features meet dozens of pieces; each is written a few times at most, and without a piece.
+    written = [spark.read.parquet(path) for path in paths if "pieces" not in path]
+    assert sum(rows.count() for rows in written) < 4 * len(values)
+    assert all("body" not in rows.columns for rows in written)
+
+
+def test_crowded_tiles_are_split(spark, monkeypatch, tmp_path):
+    rng = random.Random(11)
+    spots = [(rng.uniform(0, 8), rng.uniform(0, 8), rng.uniform(0.1, 0.6)) for _ in range(150)] + [(500, -300, 1.0)]
+    layer = spark.createDataFrame([(polygon([(x, y), (x + w, y), (x, y + w), (x, y)]),) for x, y, w in spots], "geometry binary")
+    # Small ones in the crowd, some that are larger than it, one around all, and one apart.
+    values = [line([(x, y), (x + rng.random() / 9, y + rng.random() / 9)]) for x, y in ((rng.uniform(-1, 9), rng.uniform(-1, 9)) for _ in range(400))]
+    values += [line([(-20, y), (30, y + 0.01), (31, 30)]) for y in (3.3, 8.9, 20)] + [polygon(square(-600, -600, 1300)), line([(499, -300), (501, -299.5)])]
+    features = spark.createDataFrame(list(enumerate(values)), "id int, geometry binary").withColumn("bbox", wkb.envelope("geometry"))
+    near = sorted(row.id for row in spatial.touching(features, layer, "id").collect())
+    tiles = []
+
+    def path(_spark, name):
+        at = str(tmp_path / f"{name}-{len(tiles)}")
+        tiles.extend([at] if name == "tiles" else [])
+        return at
+
+    for name, value in (("CARRIED_BYTES", 0), ("BLOCK_ROWS", 60), ("scratch_path", path)):
+        monkeypatch.setattr(spatial, name, value)
+    assert sorted(row.id for row in spatial.touching(features, layer, "id", carried_bytes=0).collect()) == near
+    assert {400, 403, 404} <= set(near) and 402 not in near and 30 < len(near) < 400
+    first, last = (spark.read.parquet(at).agg(F.max("_features")).first()[0] for at in (tiles[0], tiles[-1]))
+    assert len(tiles) > 1 and first > 200 and last < first / 2
+
+
 def star(rng, x, y, size, corners, grid):
     """Return a ring of alternating radii; on a grid many corners and edges fall together."""
     ring = []
