@@ -363,10 +363,10 @@ class Layer:
     def __init__(self, table: pa.Table) -> None:
         body = table.column("body").cast(pa.large_binary()).combine_chunks()
         self.e, self.ix, self.iy, self.inside = (table.column(name).to_numpy() for name in ("e", "ix", "iy", "inside"))
-        self.boxes = np.column_stack([table.column(name).to_numpy() for name in ("px0", "py0", "px1", "py1")])
+        self.box = [table.column(name).to_numpy() for name in ("px0", "py0", "px1", "py1")]
         self.bodies = Bodies(body)
         self.levels = np.unique(self.e)
-        self.reach = np.concatenate([self.boxes[:, :2].min(axis=0), self.boxes[:, 2:].max(axis=0)])
+        self.reach = [edge(side) for edge, side in zip((np.min, np.min, np.max, np.max), self.box, strict=True)]
         self.grids: dict[tuple[int, bool], _Grid] = {}
 
     def _grid(self, level: int, below: bool) -> _Grid:
@@ -377,29 +377,29 @@ class Layer:
             self.grids[level, below] = _Grid(self.ix[piece] >> shift, self.iy[piece] >> shift, piece)
         return self.grids[level, below]
 
-    def touched(self, boxes: np.ndarray, wkb: pa.Array) -> np.ndarray:
-        """Return which shapes touch a piece, given the boxes of all and the WKB of those that are not points."""
-        hit = np.zeros(len(boxes), bool)
-        low, high = np.fmax(boxes[:, :2], self.reach[:2]), np.fmin(boxes[:, 2:], self.reach[2:])
-        rows = np.flatnonzero((low <= high).all(axis=1))
+    def touched(self, boxes: list[np.ndarray], wkb: pa.Array) -> np.ndarray:
+        """Return which shapes touch a piece, given the sides of all boxes and the WKB of those that are not points."""
+        hit = np.zeros(len(wkb), bool)
+        cut = [np.fmax(boxes[0], self.reach[0]), np.fmax(boxes[1], self.reach[1]), np.fmin(boxes[2], self.reach[2]), np.fmin(boxes[3], self.reach[3])]
+        rows = np.flatnonzero((cut[0] <= cut[2]) & (cut[1] <= cut[3]))
         if not len(rows):
             return hit
         wkb = wkb.cast(pa.large_binary())
-        cut = np.zeros((len(boxes), 4))
-        cut[:, :2], cut[:, 2:] = low, high
-        own = np.maximum(level_of((high - low)[rows].max(axis=1), np.zeros(len(rows))), self.levels[0])
+        extent = np.maximum(cut[2] - cut[0], cut[3] - cut[1])[rows]
+        own = np.maximum(level_of(extent, np.zeros(len(rows))), self.levels[0])
         looks = [(int(level), False, rows[own <= level]) for level in self.levels]
         looks += [(int(level), True, rows[own == level]) for level in np.unique(own) if level > self.levels[0]]
         for level, below, asked in looks:
             if not len(asked):
                 continue
             grid = self._grid(level, below)
-            number = np.clip(np.floor(cut[asked] / 2.0**level), -(2.0**62), 2.0**62).astype(np.int64)
-            wide, tall = (int((number[:, side + 2] - number[:, side]).max()) + 1 for side in (0, 1))
-            for across in range(wide):
-                for up in range(tall):
-                    ix, iy = number[:, 0] + across, number[:, 1] + up
-                    own_cell = (ix <= number[:, 2]) & (iy <= number[:, 3]) & ~hit[asked]
+            left, bottom, right, top = (
+                np.clip(np.floor(side[asked] / 2.0**level), -(2.0**62), 2.0**62).astype(np.int64) for side in cut
+            )
+            for across in range(int((right - left).max()) + 1):
+                for up in range(int((top - bottom).max()) + 1):
+                    ix, iy = left + across, bottom + up
+                    own_cell = (ix <= right) & (iy <= top) & ~hit[asked]
                     begin, end = grid.spans(ix[own_cell], iy[own_cell])
                     self._try(grid, asked[own_cell], begin, end, boxes, cut, wkb, hit)
         return hit
@@ -425,15 +425,19 @@ class Layer:
 
     def _test(self, row, piece, boxes, cut, wkb, hit) -> None:
         """Mark the rows that touch their piece: by boxes, as points, and at last by their geometry."""
-        near = (cut[row, :2] <= self.boxes[piece, 2:]).all(axis=1) & (cut[row, 2:] >= self.boxes[piece, :2]).all(axis=1)
-        row, piece = row[near], piece[near]
-        held = self.inside[piece] & (boxes[row, :2] >= self.boxes[piece, :2]).all(axis=1) & (boxes[row, 2:] <= self.boxes[piece, 2:]).all(axis=1)
-        hit[row[held]] = True
-        point = (boxes[row, :2] == boxes[row, 2:]).all(axis=1)
-        tried = point & ~self.inside[piece] & ~hit[row]
+        for low, high in ((0, 2), (1, 3)):
+            near = (cut[low][row] <= self.box[high][piece]) & (cut[high][row] >= self.box[low][piece])
+            row, piece = row[near], piece[near]
+        inside = self.inside[piece]
+        one, of = row[inside], piece[inside]
+        held = (boxes[0][one] >= self.box[0][of]) & (boxes[1][one] >= self.box[1][of]) & (boxes[2][one] <= self.box[2][of]) & (boxes[3][one] <= self.box[3][of])
+        hit[one[held]] = True
+        point = (boxes[0][row] == boxes[2][row]) & (boxes[1][row] == boxes[3][row])
+        tried = point & ~inside & ~hit[row]
         if tried.any():
-            found = points_in_pieces(boxes[row[tried], 0], boxes[row[tried], 1], self.bodies.of_row[piece[tried]], self.bodies)
-            hit[row[tried][found]] = True
+            one = row[tried]
+            found = points_in_pieces(boxes[0][one], boxes[1][one], self.bodies.of_row[piece[tried]], self.bodies)
+            hit[one[found]] = True
         tried = ~point & ~hit[row]
         row, piece = row[tried], piece[tried]
         if not len(row):

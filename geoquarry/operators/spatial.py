@@ -187,7 +187,7 @@ def _by_cells(
 
 def _touched(layer: pieces.Layer, rows: pa.RecordBatch | pa.Table) -> pa.RecordBatch | pa.Table:
     """Return the ids of the features that touch a piece."""
-    boxes = np.column_stack([rows.column(name).to_numpy() for name in BOX])
+    boxes = [rows.column(name).to_numpy() for name in BOX]
     shape = rows.column("_shape")
     if isinstance(shape, pa.ChunkedArray):
         shape = shape.cast(pa.large_binary()).combine_chunks()
